@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tessella.llm import decontaminate, topk
 from tessella.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op9_topk": topk.op9_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
+    "op9_topk": topk.ORACLE,
+}
