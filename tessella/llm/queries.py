@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, language, token_file, topk
+from tessella.llm import decontaminate, language, main_text, mixing, token_file, topk
 from tessella.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_token_file": token_file.op6_token_file,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_main_text": main_text.op8_main_text,
     "op9_topk": topk.op9_topk,
     "op10_language": language.op10_language,
 }
