@@ -8,13 +8,15 @@
    ranges has one such range for each partner; else it emits its empty ranges as well. k depends on
    the size class of the larger set, so a set emits keys for its own class, and for the next one if a
    partner may lie there. Keys hold several shingles each: a line or passage that many documents share
-   doesn't bring them together.
-3. Nodes that share a key form a star around the smallest node. Stars become bounded blocks, each with
-   the centre, and a signature tree joins each block with itself: tree nodes hold OR-combined token
-   bitmaps and size ranges, and a dual traversal prunes pairs of tree nodes by the largest overlap
-   that is possible, and pairs that are already linked through others.
-4. Connected components over the links found. Keys whose star had several blocks and whose nodes are
-   still in several components get the pairs of blocks compared too, by the same tree.
+   doesn't bring them together. Keys travel as sorted, delta-coded blobs, one for each task and bucket;
+   nodes that share a key within a task are starred there, so a bucket gets one node a key and task.
+3. Nodes that share a key form a star around the smallest node. Stars become blocks of bounded size,
+   each with the centre, and a signature tree joins each block with itself: tree nodes hold
+   OR-combined token bitmaps and size ranges, and a dual traversal prunes pairs of tree nodes by the
+   largest overlap that is possible, and pairs that are already connected through others.
+4. Connected components over the links found. Stars of several blocks, and stars whose members have
+   stars of their own, may hold pairs that no block has seen: those that still lie in several
+   components get all their pairs of blocks compared, by the same tree.
 
 Every link between different sets is found or lies within a component already; nothing is capped.
 """
@@ -26,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,11 @@ CLASS_RATIO = 1.5
 #: Most nodes, and most shingles, in a block that one tree joins.
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 2_000_000
-#: Nodes whose keys a task holds before it gives them out, and shingles they have at most.
-FLUSH_KEYS = 1_000_000
+#: Keys that a task holds before it gives them out, and texts whose fingerprints it knows to skip copies.
+FLUSH_KEYS = 3_000_000
+SEEN = 200_000
+#: Slots of the bit field that tells which documents are read again.
+SLOTS = 1 << 23
 
 
 class Measure:
@@ -159,7 +163,8 @@ class SignatureTree:
             for x, y in zip(level[::2], level[1::2], strict=False):
                 t = TreeNode()
                 t.bits, t.low, t.high, t.extra = x.bits | y.bits, min(x.low, y.low), max(x.high, y.high), max(x.extra, y.extra)
-                t.first, t.one, t.left, t.right = x.first, False, x, y
+                t.first, t.left, t.right = x.first, x, y
+                t.one = x.one and y.one and self.find(x.first) == self.find(y.first)
                 up.append(t)
             if len(level) % 2:
                 up.append(level[-1])
@@ -221,140 +226,297 @@ def tree_links(sets: list[np.ndarray], m: Measure, side: list[int] | None = None
     return tree.links
 
 
-FEATURES = "doc_id long, n long, node long, key long, rest binary"
+DEALT = "bucket int, doc_id long, copy long, n long, node long, other long, blob binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_NAMES = ["bucket", "doc_id", "copy", "n", "node", "other", "blob"]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def _rows(length: int, /, **cols) -> pa.RecordBatch:
+    made = [pa.nulls(length, k) if name not in cols else cols[name] if isinstance(cols[name], pa.Array) else pa.array(cols[name], k) for name, k in zip(_NAMES, _KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=_NAMES)
 
 
-def _features(split, width: int, m: Measure, id_type: pa.DataType):
-    """Batches (doc_id, text bytes) -> a row for each document, and rows (key, node, further nodes) by key."""
+def _planes(x: np.ndarray) -> bytes:
+    """uint64s as byte planes, compressed: small numbers cost little."""
+    import zstandard
 
-    def give(keys: list[np.ndarray], nodes: list[int], counts: list[int]) -> pa.RecordBatch:
-        k = np.concatenate(keys)
-        v = np.repeat(np.array(nodes, np.uint64).view(np.int64), counts)
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        end = np.append(start[1:], len(k))
-        rest = np.full(len(start), None, object)
-        for i in np.flatnonzero(end - start > 1):
-            more = np.unique(v[start[i] : end[i]])[1:]
-            rest[i] = more.tobytes() if len(more) else None
-        n = len(start)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), none, pa.array(v[start]), pa.array(_signed(k[start])), pa.array(rest, pa.binary())], names=["doc_id", "n", "node", "key", "rest"])
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unplanes(b: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def pack_keys(keys: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Sorted keys with a node each."""
+    table, place = np.unique(nodes, return_inverse=True)
+    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), _planes(place.astype(np.uint64)), table.astype("<u8").tobytes()]
+    return b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c = (int.from_bytes(blob[8 * i : 8 * i + 8], "little") for i in range(3))
+    deltas, place = _unplanes(blob[24 : 24 + a]), _unplanes(blob[24 + a : 24 + a + b])
+    table = np.frombuffer(blob, "<u8", c // 8, 24 + a + b)
+    return np.cumsum(deltas, dtype=np.uint64), table[place.astype(np.int64)]
+
+
+def _star_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (centre, node) over equal keys, then the distinct keys with their centres (smallest nodes)."""
+    order = np.lexsort((nodes, keys))
+    k, v = keys[order], nodes[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(first)
+    centre = v[at][np.cumsum(first) - 1] if len(k) else v
+    pick = v != centre
+    pairs = np.unique(np.stack((centre[pick], v[pick])), axis=1) if pick.any() else np.empty((2, 0), np.uint64)
+    return pairs[0], pairs[1], k[at], v[at]
+
+
+def _features(split, width: int, m: Measure, buckets: int):
+    """Batches (doc_id, copy, text bytes) -> a row for each document, local stars (node, other), and blobs of keys."""
+
+    def give(keys: list[np.ndarray], nodes: list[int], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        a, b, k, v = _star_pairs(np.concatenate(keys), np.repeat(np.array(nodes, np.uint64), counts))
+        if len(a):
+            yield _rows(len(a), bucket=(a % np.uint64(buckets)).astype(np.int32), node=a.view(np.int64), other=b.view(np.int64))
+        edges = np.searchsorted(k, np.fromiter(((i << 64) // buckets for i in range(1, buckets)), np.uint64, buckets - 1))
+        cut = np.concatenate(([0], edges, [len(k)]))
+        full = [i for i in range(buckets) if cut[i + 1] > cut[i]]
+        for s in range(0, len(full), 64):
+            yield _rows(len(full[s : s + 64]), bucket=full[s : s + 64], blob=[pack_keys(k[cut[i] : cut[i + 1]], v[cut[i] : cut[i + 1]]) for i in full[s : s + 64]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, counts, held = [], [], [], 0
         seen: set[int] = set()
         for batch in batches:
             sizes, marks = [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 s = shingle_set(split(text.as_py()), width)
                 fp = fingerprint(s)
                 sizes.append(len(s))
                 marks.append(fp)
-                if fp and fp not in seen:
-                    if len(seen) < FLUSH_KEYS:
-                        seen.add(fp)
-                    k = keys_of(s, m)
-                    if len(k):
-                        keys.append(k)
-                        nodes.append(fp)
-                        counts.append(len(k))
-                        held += len(k)
-                    if held > FLUSH_KEYS:
-                        yield give(keys, nodes, counts)
-                        keys, nodes, counts, held = [], [], [], 0
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "node", "key", "rest"])
+                if not fp or fp in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(fp)
+                k = keys_of(s, m)
+                if len(k):
+                    keys.append(k)
+                    nodes.append(fp)
+                    counts.append(len(k))
+                    held += len(k)
+                if held > FLUSH_KEYS:
+                    yield from give(keys, nodes, counts)
+                    keys, nodes, counts, held = [], [], [], 0
+            fp = np.array(marks, np.uint64)
+            yield _rows(len(sizes), bucket=(mix64(fp + np.arange(len(fp), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=batch.column("doc_id"), copy=batch.column("copy"), n=sizes, node=fp.view(np.int64))
         if keys:
-            yield give(keys, nodes, counts)
+            yield from give(keys, nodes, counts)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, then node -> (centre, node) for each node that shares a key with a smaller one."""
-    last, centre = None, None
-    pairs: set[tuple[int, int]] = set()
+def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: document rows and local stars pass, blobs of a bucket become stars (other marks: copy = 1)."""
+    held: list[bytes] = []
+    bucket = None
 
-    def out():
-        a = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["centre", "node"])
+    def give() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            both = [unpack_keys(x) for x in held]
+            a, b, _, _ = _star_pairs(np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]))
+            for s in range(0, len(a), 100_000):
+                n = len(a[s : s + 100_000])
+                yield _rows(n, bucket=[bucket] * n, copy=[1] * n, node=a[s : s + n].view(np.int64), other=b[s : s + n].view(np.int64))
+        held.clear()
 
     for batch in batches:
-        key = batch.column("key").to_numpy(zero_copy_only=False)
-        node = batch.column("node").to_numpy(zero_copy_only=False)
-        rest = batch.column("rest")
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        if len(key):
-            same[0] = last is not None and last == key[0]
-        more = np.zeros(len(key), bool) if rest.null_count == len(rest) else ~rest.is_null().to_numpy(zero_copy_only=False)
-        # A key's first row matters only if it has further nodes or another row of its key follows.
-        follows = np.append(same[1:], True) if len(key) else same
-        for i in np.flatnonzero(same | more | follows):
-            if not same[i]:
-                centre = int(node[i])
-            elif int(node[i]) != centre:
-                pairs.add((centre, int(node[i])))
-            if more[i]:
-                pairs.update((centre, x) for x in np.frombuffer(rest[i].as_py(), np.int64).tolist() if x != centre)
-            if len(pairs) > 200_000:
-                yield out()
-        if len(key):
-            last = key[-1]
-    if pairs:
-        yield out()
-
-
-def _min_labels(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable over links (a long, b long). Hash-to-min with pointer jumping, in rounds."""
+        blobs = batch.column("blob")
+        plain = batch.filter(blobs.is_null())
+        if len(plain):
+            yield plain
+        if blobs.null_count < len(blobs):
+            for i, x in zip(batch.column("bucket").to_pylist(), blobs, strict=True):
+                if x.is_valid:
+                    if i != bucket:
+                        yield from give()
+                        bucket = i
+                    held.append(x.as_py())
+    yield from give()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, comp: the smallest node reachable over links (a long, b long), for nodes that have links.
+
+    Rounds of taking the neighbours' smallest label and then that label's label; each round is written
+    to the shared folder. A round sends one row a link and reads counts of changes alone.
+    """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("via"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("comp", "via").alias("comp"), F.col("comp").alias("was"))
-        step = written(step, "step")
+        step = written(labels.join(near, labels.node == near.a).select("node", F.least("comp", "via").alias("comp"), F.col("comp").alias("was")), "step")
         jump = step.select(F.col("node").alias("j"), F.col("comp").alias("far"))
-        new = step.join(jump, step.comp == jump.j).select("node", F.least("comp", "far").alias("comp"), "was")
-        new = written(new, "labels")
-        done = new.filter("comp <> was").isEmpty()
+        new = written(step.join(jump, step.comp == jump.j).select("node", F.least("comp", "far").alias("comp"), "was"), "labels")
         labels = new.select("node", "comp")
-        if done:
+        if new.filter("comp <> was").isEmpty():
             return labels
 
 
 class NearDuplicates:
-    """classes: doc_id, n, node and component_id for each row."""
+    """The join over ``docs``; ``split`` cuts a text's bytes into words."""
 
     def __init__(self, docs: DataFrame, split, width: int, m: Measure, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.m, self.split, self.width = docs.sparkSession, m, split, width
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-        self.all = written(self.docs.mapInArrow(_features(split, width, m, pa.int64()), FEATURES), "features")
-        self.rows = self.all.filter("key is null").select("doc_id", "n", "node")
-
-    def stars(self) -> DataFrame:
-        keys = self.all.filter("key is not null").select("key", "node", "rest")
-        dealt = keys.repartition(shuffle_parts(self.spark), "key").sortWithinPartitions("key", "node")
-        pairs = dealt.mapInArrow(_stars, "centre long, node long").distinct()
-        return written(pairs, "stars")
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, set (bytes of the sorted hashes) for the given distinct nodes: one text of each is read again."""
-        first = self.rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = first.join(nodes, "node", "left_semi")
-        split, width = self.split, self.width
-
-        def run(batches):
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("copy"), text_bytes(text_col).alias("text"))
+        parts = shuffle_parts(self.spark)
+        found = self.docs.mapInArrow(_features(split, width, m, 2 * parts), DEALT)
+        dealt = found.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        self.dealt = written(dealt.mapInArrow(_join_buckets, DEALT).drop("blob"), "dealt")
+        self.rows = self.dealt.filter("other is null").select("doc_id", "copy", "n", "node")
+        stars = self.dealt.filter("other is not null").groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"))
+        self.stars = written(stars, "stars")
+        first = self.rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy", "n")).alias("f"))
+        wanted = self.stars.select("node").union(self.stars.select("centre")).distinct()
+        self.nodes = written(first.join(wanted, "node", "left_semi").select("node", "f.*"), "nodes")
+
+    def texts(self) -> DataFrame:
+        """node, text of one document for each node that has a star, in a scan that drops other documents before the shuffle."""
+        slots = self.nodes.select(F.pmod("copy", F.lit(SLOTS)).cast("int").alias("slot"))
+        bits = slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("b"))
+        field = np.zeros(SLOTS // 32, np.uint32)
+        for r in bits.collect():  # SLOTS / 32 rows at most
+            field[r.w] = r.b
+        held = self.spark.sparkContext.broadcast(field)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = held.value
             for b in batches:
-                sets = [shingle_set(split(x.as_py()), width) for x in b.column("text")]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "set", "n"])
+                s = np.mod(b.column("copy").to_numpy(), SLOTS)
+                yield b.filter(pa.array(((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)))
+
+        docs = self.docs.mapInArrow(run, "doc_id long, copy long, text binary").dropDuplicates(["copy"])
+        return self.nodes.select("node", "n", "copy").join(docs, "copy").select("node", "n", "text")
+
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """Links within blocks. members: block string, node, side int (null: all pairs), comp long (null: unknown)."""
+        split, width, m = self.split, self.width, self.m
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, block = [], None
+
+            def give() -> pa.RecordBatch:
+                by = {r["node"]: r for r in rows} if rows and rows[0]["side"] is None else dict(enumerate(rows))
+                use = sorted(by.values(), key=lambda r: (r["node"], r["side"] or 0))
+                rows.clear()
+                sides = None if not use or use[0]["side"] is None else [r["side"] for r in use]
+                known = None if not use or use[0]["comp"] is None else [r["comp"] for r in use]
+                if known and len(set(known)) == 1:
+                    use = []
+                got = tree_links([shingle_set(split(r["text"]), width) for r in use], m, sides, known) if len(use) > 1 else []
+                return pa.RecordBatch.from_arrays([pa.array([use[i]["node"] for i, _ in got], pa.int64()), pa.array([use[j]["node"] for _, j in got], pa.int64())], names=["a", "b"])
 
-        texts = wanted.join(self.docs, "doc_id").select("node", "text")
-        made = texts.mapInArrow(run, "node long, set binary, n long")
-        return written(made.dropDuplicates(["node"]) if False else made, "sets")
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["block"] != block:
+                        yield give()
+                        block = r["block"]
+                    rows.append(r)
+            yield give()
+
+        dealt = members.join(self.texts(), "node").select("block", "node", "side", "comp", "text").repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
+        return dealt.mapInArrow(run, "a long, b long")
+
+    def links(self) -> DataFrame:
+        """Pairs of nodes that link, enough of them to connect each component."""
+        stars = self.stars.join(self.nodes.select("node", "n"), "node")
+        size = stars.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+        size = size.withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
+        name = F.concat_ws(".", "centre", "part")
+        rest = stars.join(size.filter("blocks > 1"), "centre", "left").select("centre", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int").alias("part"))
+        centres = size.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+        members = rest.union(centres).select(name.alias("block"), "node", F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("comp"))
+        links = written(self.block_links(members), "found")
+
+        # Pairs that no block has seen: stars of several blocks, and stars whose members have local stars.
+        wide = size.filter("blocks > 1").select("centre")
+        top = self.stars.filter("top = 1").select("centre", F.col("node").alias("mid"))
+        local = self.stars.select(F.col("centre").alias("mid"), "node")
+        below = top.join(local, "mid").select("centre", "node")
+        more = below.select("centre").union(wide).distinct()
+        group = self.stars.select("centre", "node").union(below).union(more.select("centre", F.col("centre").alias("node"))).join(more, "centre", "left_semi").distinct()
+        group = written(group, "groups")
+        if group.isEmpty():
+            return links
+        labels = components(links)
+        group = group.join(labels, "node", "left").join(self.nodes.select("node", "n"), "node").select("centre", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        open_ = group.groupBy("centre").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"), F.sum("n").alias("total")).filter("a < b")
+        open_ = open_.select("centre", F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = group.join(open_, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pairs = dealt.select("centre", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        low, high = F.least("part", "other"), F.greatest("part", "other")
+        side = F.when(low < high, (F.col("part") == high).cast("int"))
+        again = pairs.select(F.concat_ws(".", "centre", low, high).alias("block"), "node", side.alias("side"), "comp")
+        return links.union(written(self.block_links(again), "found"))
+
+    def classes(self) -> DataFrame:
+        """doc_id, copy, n, component_id for each row: the smallest id that links reach."""
+        labels = components(self.links())
+        nodes = self.rows.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        own = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+        least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        own = own.join(least, "comp").select("node", "component_id")
+        full = self.rows.filter("node <> 0").join(own, "node").select("doc_id", "copy", "n", "component_id")
+        return full.union(self.rows.filter("node = 0").select("doc_id", "copy", "n", F.col("doc_id").alias("component_id")))
+
+
+def blank_words(text: bytes) -> list[bytes]:
+    """A-Z lower-cased; words are runs of what isn't ASCII white space."""
+    return text.lower().split()
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``: components of documents with J >= num / den.
+
+    A text of fewer words than ``width`` has one shingle, of all its words. Null and empty texts, and
+    those without words, have none and are linked with nothing: their component is their own id.
+    Repeated rows give a row each. Null ids are in no one's way: a component's id is the smallest id
+    that isn't null (null if there is none). An empty table gives no rows. Other columns aren't read.
+    """
+    found = NearDuplicates(docs, blank_words, width, Measure(num, den), id_col, text_col)
+    return found.classes().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 9, 10)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sig AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+rep AS (SELECT k, min(doc_id) AS r FROM sig GROUP BY k),
+t AS (SELECT s.doc_id, g, n FROM s JOIN rep ON s.doc_id = rep.r JOIN n ON s.doc_id = n.doc_id),
+common AS (SELECT g FROM t GROUP BY g HAVING count(*) > 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT * FROM t SEMI JOIN common USING (g)) a JOIN (SELECT * FROM t SEMI JOIN common USING (g)) b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT r, r FROM rep),
+c AS (SELECT a AS x, b AS y FROM e UNION SELECT c.x, e.b FROM c JOIN e ON c.y = e.a),
+m AS (SELECT x, min(y) AS least_id FROM c GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.least_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN sig ON d.doc_id = sig.doc_id LEFT JOIN rep ON sig.k = rep.k LEFT JOIN m ON m.x = rep.r
+"""
