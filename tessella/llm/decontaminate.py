@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import text_bytes
+from tessella.llm.common import small_batches, text_bytes
 
 #: Words of a window.
 WINDOW = 10
@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text is split once for each block of items, in a scan without a shuffle.
     """
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"]
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     keep = [c for c in docs.columns if c not in new]
     work = docs.select(*keep, text_bytes(text_col).alias("__text"), F.array().cast("array<string>").alias("__items"), F.lit(None).cast("binary").alias("__mask"))
     for block in item_blocks(benchmark, item_col, item_text_col) or [[]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import mix64, text_bytes
+from tessella.llm.common import mix64, small_batches, text_bytes
 
 #: Hash table of n-grams; its size times the number of languages bounds the model.
 FEATURES = 1 << 16
@@ -109,7 +109,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", t
     Rows without language or text teach nothing. Counts are added by language and feature before they
     reach the driver, which gets FEATURES rows a language at most.
     """
-    known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = small_batches(labelled).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     comes first by name. Columns of ``docs`` named lang_pred or lang_score are replaced.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

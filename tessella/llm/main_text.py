@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.html import HEADINGS, VOID, tokens
+from tessella.llm.common import small_batches
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is no text of the page.
@@ -217,7 +218,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", tree: Tree | Non
     A null page is an empty one. Columns of ``pages`` with these names are replaced. No shuffle; a task
     holds the pages of a batch.
     """
-    keep = [c for c in pages.columns if c not in ("main_text", "main_chars")]
+    keep = [c for c in small_batches(pages).columns if c not in ("main_text", "main_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tree or default_tree()

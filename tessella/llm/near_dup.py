@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import MASK64, mix64, shingle_set, shuffle_parts, text_bytes, written
+from tessella.llm.common import MASK64, mix64, shingle_set, shuffle_parts, small_batches, text_bytes, written
 
 #: Largest size over smallest size in a size class.
 CLASS_RATIO = 1.5
@@ -372,7 +372,7 @@ class NearDuplicates:
     """The join over ``docs``; ``split`` cuts a text's bytes into words."""
 
     def __init__(self, docs: DataFrame, split, width: int, m: Measure, id_col: str = "doc_id", text_col: str = "text"):
-        self.spark, self.m, self.split, self.width = docs.sparkSession, m, split, width
+        self.spark, self.m, self.split, self.width = small_batches(docs).sparkSession, m, split, width
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("copy"), text_bytes(text_col).alias("text"))
         parts = shuffle_parts(self.spark)
         found = self.docs.mapInArrow(_features(split, width, m, 2 * parts), DEALT)

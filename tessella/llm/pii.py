@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import word_hashes, written
+from tessella.llm.common import small_batches, word_hashes, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words looked at on each side of an entity, and characters they lie in at most.
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sha = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in bases], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *cols, sha, pa.array(bases, pa.string()), pa.array(nears, _NEAR)], names=["doc_id", "row", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<term:long,kind:int,s:long,e:long>>")
 

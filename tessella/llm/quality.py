@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import mix64, placed, text_bytes, word_hashes, written
+from tessella.llm.common import mix64, placed, small_batches, text_bytes, word_hashes, written
 
 #: Hash table of n-grams; bounds both models.
 FEATURES = 1 << 17
@@ -39,7 +39,7 @@ def ngrams(text: bytes) -> np.ndarray:
 
 def log_ratios(docs: DataFrame, target_ids: list, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log p_target - log p_raw by feature. Raw counts are over all rows; target counts over the rows of ``target_ids``."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(target_ids))
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(frozenset(target_ids))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, total = held.value, np.zeros((2, FEATURES), np.int64)

@@ -15,28 +15,26 @@ committed by Spark: a repeated task leaves no half file, and no executor needs a
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import shuffle_parts, written
+from tessella.llm.common import shuffle_parts, small_batches, written
 
 CHUNK = 1 << 16
 MAGIC = b"BPLN1\0\0\0"
 FOOTER = struct.Struct("<QQQQQQ8s")
 #: Ids of a file, about: a task begins a new file beyond it.
 FILE_IDS = 1 << 23
-#: Word pieces whose ids a task keeps.
-CACHE = 400_000
-#: A word of letters that is followed by sentence marks and a blank or the end is looked up alone; else the whole run is.
-PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.;:!?]+(?:[ \t\n\r\x0b\x0c]|\Z))|[^ \t\n\r\x0b\x0c]+")
-MARKS = re.compile("[̀-ͯ]")
+#: Word pieces of a generation whose ids a worker keeps.
+CACHE = 100_000
 
 
 def write_file(ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -102,36 +100,92 @@ def read_documents(file: bytes) -> Iterator[np.ndarray]:
 
 
 class Encoder:
-    """Ids by the tokenizer, with those of frequent word pieces kept.
+    """Ids by the tokenizer, with those of recent word pieces kept.
 
-    This vocabulary's pre-tokenizer never joins over blanks, nor a word of letters with what follows
-    it; so pieces can be encoded one by one. ASCII letters are lower-cased first, as the tokenizer
-    does, but for texts with combining marks or a special token's beginning.
+    This vocabulary's pre-tokenizer never joins over blanks, nor a word of letters with the sentence
+    marks after it; so texts are cut at ASCII blanks, and pieces are encoded one by one. New words of
+    letters alone are encoded many in one text: each ends with an id of a word end. ASCII letters are
+    lower-cased first, as the tokenizer does, but for texts with combining marks or the beginning of a
+    special token. Pieces are kept in two generations: when the young one is full it becomes the old one.
     """
 
     def __init__(self, vocabulary: str):
+        # One thread: a task has one core, and more threads keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.kept = Tokenizer.from_file(vocabulary), {}
+        self.tok = Tokenizer.from_file(vocabulary)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        words = self.tok.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "<|" not in text and (text.isascii() or not MARKS.search(text)):
-            text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return PIECES.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def pieces(text: bytes) -> list[bytes]:
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return text.split()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for s in range(0, len(words), 5000):
+            part = words[s : s + 5000]
+            joined = [" ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(part):
+                out += self._each(part)
+                continue
+            raw, at = ids.tobytes(), [0, *cuts.tolist()]
+            out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        young, old = self.young, self.old
+        words: dict[bytes, str] = {}
+        others: dict[bytes, str] = {}
+        marked: list[tuple[bytes, bytes, bytes]] = []
+        for p in new:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+                continue
+            t = p.decode("utf-8", "replace")
+            if t.isalpha() and t.lower().isalpha():
+                words[p] = t
+                continue
+            core = t.rstrip(",.;:!?")
+            if core.isalpha() and core.lower().isalpha():
+                w, m = core.encode(), t[len(core) :].encode()
+                marked.append((p, w, m))
+                if w not in young and w not in old:
+                    words[w] = core
+                if m not in young and m not in old:
+                    others[m] = m.decode()
+            else:
+                others[p] = t
+        young.update(zip(words, self._words(list(words.values())), strict=True))
+        young.update(zip(others, self._each(list(others.values())), strict=True))
+        for p, w, m in marked:
+            young[p] = (young.get(w) or old[w]) + (young.get(m) or old[m])
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(self.kept))
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = list(set().union(*cut))
-        for s in range(0, len(new), 10_000):
-            part = new[s : s + 10_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.kept.__getitem__, c)) for c in cut]
+        self._learn(set().union(*cut).difference(self.young))
+        get = self.young.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """A worker's encoder: the next task finds the pieces that earlier ones kept."""
+    return Encoder(vocabulary)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,15 +194,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
     Documents are range-sorted by id; rows of one id by a hash of the text, then by the text's length.
     Null ids come first. A null text is an empty one: the end id alone. Other columns aren't read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.length("text"))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.octet_length("text"))
     rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         part, number, ids, names, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def give() -> pa.RecordBatch:
