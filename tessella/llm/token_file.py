@@ -34,7 +34,7 @@ FOOTER = struct.Struct("<QQQQQQ8s")
 #: Ids of a file, about: a task begins a new file beyond it.
 FILE_IDS = 1 << 23
 #: Word pieces of a generation whose ids a worker keeps.
-CACHE = 100_000
+CACHE = 250_000
 
 
 def write_file(ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -154,7 +154,7 @@ class Encoder:
                 young[p] = ids
                 continue
             t = p.decode("utf-8", "replace")
-            if t.isalpha() and t.lower().isalpha():
+            if p.isalpha() or t.isalpha() and t.lower().isalpha():
                 words[p] = t
                 continue
             core = t.rstrip(",.;:!?")
