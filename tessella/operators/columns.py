@@ -171,18 +171,19 @@ def full_record(df: DataFrame) -> DataFrame:
 
 # Formats a scrape may ask for, the fields that each adds, and those that any has.
 FORMATS = {
-    "markdown": ("markdown",), "metadata": ("title", "description", "language", "canonicalUrl", "meta"), "text": ("text",), "html": ("html",), "rawHtml": ("rawHtml",), "links": ("links",),
-    "images": ("images",), "headings": ("headings",), "tables": ("tables",), "structuredData": ("structuredData",), "commerceData": ("commerceData",), "forms": ("forms",),
-    "emails": ("emails",), "phones": ("phones",), "chunks": ("chunks",), "socialLinks": ("socialLinks",),
+    "markdown": ("markdown",), "text": ("text",), "html": ("html",), "rawHtml": ("rawHtml",),
+    "metadata": ("title", "description", "language", "canonicalUrl", "robotsDirectives", "meta", "openGraph", "twitterCard", "headings", "hreflangTags", "paginationLinks", "redirectChain"),
+    "links": ("links",), "images": ("images",), "structuredData": ("structuredData",), "commerceData": ("commerceData",), "tables": ("tables",), "forms": ("forms",),
+    "analytics": ("analyticsDetected",), "emails": ("emails",), "phones": ("phones",), "socialLinks": ("socialLinks",), "chunks": ("chunks",),
 }
-ALWAYS = ("url", "status", "statusCode", "error", "errorType", "errorRetryable")
+ALWAYS = ("url", "status", "statusCode", "contentType", "responseTimeMs", "scrapedAt")
 
 
 def scrape_formats(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """EX33: the fixed fields and those of the formats asked for; unknown names are an error that lists them (SO4)."""
-    asked = ["markdown", "metadata"] if formats is None else formats
-    if not isinstance(asked, list):
+    if formats is not None and (not isinstance(formats, list) or not all(isinstance(f, str) for f in formats)):
         raise TypeError("formats is a list of names")
+    asked = formats or ["markdown", "metadata"]
     unknown = [f for f in asked if f not in FORMATS]
     if unknown:
         raise ValueError(f"unknown formats: {', '.join(unknown)}")
