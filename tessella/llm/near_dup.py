@@ -9,14 +9,15 @@
    the size class of the larger set, so a set emits keys for its own class, and for the next one if a
    partner may lie there. Keys hold several shingles each: a line or passage that many documents share
    doesn't bring them together. Keys travel as sorted, delta-coded blobs, one for each task and bucket;
-   nodes that share a key within a task are starred there, so a bucket gets one node a key and task.
-3. Nodes that share a key form a star around the smallest node. Stars become blocks of bounded size,
-   each with the centre, and a signature tree joins each block with itself: tree nodes hold
-   OR-combined token bitmaps and size ranges, and a dual traversal prunes pairs of tree nodes by the
-   largest overlap that is possible, and pairs that are already connected through others.
-4. Connected components over the links found. Stars of several blocks, and stars whose members have
-   stars of their own, may hold pairs that no block has seen: those that still lie in several
-   components get all their pairs of blocks compared, by the same tree.
+   where more than LOCAL nodes share a key within a task, they are starred there and one goes on.
+3. Nodes that share a key form a star around the smallest node. In a first round each node goes to the
+   star it shares most keys with. Stars become blocks of bounded size, each with the centre, and a
+   signature tree joins each block with itself: tree nodes hold OR-combined token bitmaps and size
+   ranges, and a dual traversal prunes pairs of tree nodes by the largest overlap that is possible,
+   and pairs that are already connected through others.
+4. Connected components over the links found. In a second round, whole stars (with the stars of their
+   members from single tasks) that still lie in several components and hold pairs that no block has
+   seen get all their blocks and pairs of blocks compared, by the same tree.
 
 Every link between different sets is found or lies within a component already; nothing is capped.
 """
@@ -39,8 +40,12 @@ CLASS_RATIO = 1.5
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Keys that a task holds before it gives them out, and texts whose fingerprints it knows to skip copies.
-FLUSH_KEYS = 3_000_000
+FLUSH_KEYS = 4_000_000
 SEEN = 200_000
+#: Nodes of one task that share a key and all go on; beyond, one does.
+LOCAL = 8
+#: Bits of a key. Keys that collide bring nodes together in vain; the tree tells.
+KEY_BITS = 48
 #: Slots of the bit field that tells which documents are read again.
 SLOTS = 1 << 23
 
@@ -109,6 +114,7 @@ def keys_of(s: np.ndarray, m: Measure) -> np.ndarray:
         part = sums[cut[1:]] - sums[cut[:-1]]
         full = cut[1:] > cut[:-1]
         keys = mix64(part + mix64(np.arange(k, dtype=np.uint64) + np.uint64(cls << 40)))
+        keys = keys >> np.uint64(64 - KEY_BITS)
         out.append(keys[full] if full.sum() > apart else keys)
     return np.concatenate(out)
 
@@ -226,9 +232,9 @@ def tree_links(sets: list[np.ndarray], m: Measure, side: list[int] | None = None
     return tree.links
 
 
-DEALT = "bucket int, doc_id long, copy long, n long, node long, other long, blob binary"
-_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-_NAMES = ["bucket", "doc_id", "copy", "n", "node", "other", "blob"]
+DEALT = "bucket int, doc_id long, copy long, n long, node long, other long, shared long, blob binary"
+_KINDS = (pa.int32(), *[pa.int64()] * 6, pa.binary())
+_NAMES = ["bucket", "doc_id", "copy", "n", "node", "other", "shared", "blob"]
 
 
 def _rows(length: int, /, **cols) -> pa.RecordBatch:
@@ -264,28 +270,35 @@ def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(deltas, dtype=np.uint64), table[place.astype(np.int64)]
 
 
-def _star_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (centre, node) over equal keys, then the distinct keys with their centres (smallest nodes)."""
-    order = np.lexsort((nodes, keys))
-    k, v = keys[order], nodes[order]
+def _star_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (centre, node) over equal keys with the number of keys; k and v are sorted by key, then node."""
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
-    at = np.flatnonzero(first)
-    centre = v[at][np.cumsum(first) - 1] if len(k) else v
+    centre = v[first][np.cumsum(first) - 1] if len(k) else v
     pick = v != centre
-    pairs = np.unique(np.stack((centre[pick], v[pick])), axis=1) if pick.any() else np.empty((2, 0), np.uint64)
-    return pairs[0], pairs[1], k[at], v[at]
+    if not pick.any():
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    pairs, n = np.unique(np.stack((centre[pick], v[pick])), axis=1, return_counts=True)
+    return pairs[0], pairs[1], n
 
 
 def _features(split, width: int, m: Measure, buckets: int):
     """Batches (doc_id, copy, text bytes) -> a row for each document, local stars (node, other), and blobs of keys."""
 
     def give(keys: list[np.ndarray], nodes: list[int], counts: list[int]) -> Iterator[pa.RecordBatch]:
-        a, b, k, v = _star_pairs(np.concatenate(keys), np.repeat(np.array(nodes, np.uint64), counts))
-        if len(a):
-            yield _rows(len(a), bucket=(a % np.uint64(buckets)).astype(np.int32), node=a.view(np.int64), other=b.view(np.int64))
-        edges = np.searchsorted(k, np.fromiter(((i << 64) // buckets for i in range(1, buckets)), np.uint64, buckets - 1))
-        cut = np.concatenate(([0], edges, [len(k)]))
+        k, v = np.concatenate(keys), np.repeat(np.array(nodes, np.uint64), counts)
+        order = np.lexsort((v, k))
+        k, v = k[order], v[order]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        at = np.flatnonzero(first)
+        many = np.repeat(np.diff(np.append(at, len(k))) > LOCAL, np.diff(np.append(at, len(k))))
+        if many.any():
+            a, b, n = _star_pairs(k[many], v[many])
+            yield _rows(len(a), bucket=(a % np.uint64(buckets)).astype(np.int32), node=a.view(np.int64), other=b.view(np.int64), shared=n)
+            k, v = k[~many | first], v[~many | first]
+        edges = np.fromiter(((i << KEY_BITS) // buckets for i in range(1, buckets)), np.uint64, buckets - 1)
+        cut = np.concatenate(([0], np.searchsorted(k, edges), [len(k)]))
         full = [i for i in range(buckets) if cut[i + 1] > cut[i]]
         for s in range(0, len(full), 64):
             yield _rows(len(full[s : s + 64]), bucket=full[s : s + 64], blob=[pack_keys(k[cut[i] : cut[i + 1]], v[cut[i] : cut[i + 1]]) for i in full[s : s + 64]])
@@ -327,12 +340,14 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     bucket = None
 
     def give() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
+        if held:
             both = [unpack_keys(x) for x in held]
-            a, b, _, _ = _star_pairs(np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]))
+            k, v = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+            order = np.lexsort((v, k))
+            a, b, shared = _star_pairs(k[order], v[order])
             for s in range(0, len(a), 100_000):
                 n = len(a[s : s + 100_000])
-                yield _rows(n, bucket=[bucket] * n, copy=[1] * n, node=a[s : s + n].view(np.int64), other=b[s : s + n].view(np.int64))
+                yield _rows(n, bucket=[bucket] * n, copy=[1] * n, node=a[s : s + n].view(np.int64), other=b[s : s + n].view(np.int64), shared=shared[s : s + n])
         held.clear()
 
     for batch in batches:
@@ -375,19 +390,20 @@ class NearDuplicates:
         self.spark, self.m, self.split, self.width = small_batches(docs).sparkSession, m, split, width
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("copy"), text_bytes(text_col).alias("text"))
         parts = shuffle_parts(self.spark)
-        found = self.docs.mapInArrow(_features(split, width, m, 2 * parts), DEALT)
+        found = self.docs.mapInArrow(_features(split, width, m, parts), DEALT)
         dealt = found.repartition(parts, "bucket").sortWithinPartitions("bucket")
         self.dealt = written(dealt.mapInArrow(_join_buckets, DEALT).drop("blob"), "dealt")
         self.rows = self.dealt.filter("other is null").select("doc_id", "copy", "n", "node")
-        stars = self.dealt.filter("other is not null").groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"))
+        stars = self.dealt.filter("other is not null").groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"), F.sum("shared").alias("shared"))
         self.stars = written(stars, "stars")
         first = self.rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy", "n")).alias("f"))
         wanted = self.stars.select("node").union(self.stars.select("centre")).distinct()
         self.nodes = written(first.join(wanted, "node", "left_semi").select("node", "f.*"), "nodes")
 
-    def texts(self) -> DataFrame:
-        """node, text of one document for each node that has a star, in a scan that drops other documents before the shuffle."""
-        slots = self.nodes.select(F.pmod("copy", F.lit(SLOTS)).cast("int").alias("slot"))
+    def with_texts(self, members: DataFrame) -> DataFrame:
+        """members and the text (zstandard) of one document of each node, in a scan that drops other documents before the shuffle."""
+        members = members.join(self.nodes.select("node", "copy"), "node")
+        slots = members.select(F.pmod("copy", F.lit(SLOTS)).cast("int").alias("slot"))
         bits = slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("b"))
         field = np.zeros(SLOTS // 32, np.uint32)
         for r in bits.collect():  # SLOTS / 32 rows at most
@@ -395,30 +411,37 @@ class NearDuplicates:
         held = self.spark.sparkContext.broadcast(field)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = held.value
+            import zstandard
+
+            f, pack = held.value, zstandard.ZstdCompressor(level=1).compress
             for b in batches:
-                s = np.mod(b.column("copy").to_numpy(), SLOTS)
-                yield b.filter(pa.array(((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)))
+                copy = b.column("copy").to_numpy()
+                s = np.mod(copy, SLOTS)
+                pick = np.flatnonzero((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1)
+                texts = b.column("text")
+                yield pa.RecordBatch.from_arrays([pa.array(copy[pick]), pa.array([pack(texts[int(i)].as_py()) for i in pick], pa.binary())], names=["copy", "text"])
 
-        docs = self.docs.mapInArrow(run, "doc_id long, copy long, text binary").dropDuplicates(["copy"])
-        return self.nodes.select("node", "n", "copy").join(docs, "copy").select("node", "n", "text")
+        docs = self.docs.select("copy", "text").mapInArrow(run, "copy long, text binary")
+        return members.join(docs, "copy").drop("copy")
 
     def block_links(self, members: DataFrame) -> DataFrame:
         """Links within blocks. members: block string, node, side int (null: all pairs), comp long (null: unknown)."""
         split, width, m = self.split, self.width, self.m
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows, block = [], None
+            import zstandard
+
+            unpack = zstandard.ZstdDecompressor().decompress
+            rows, block = {}, None
 
             def give() -> pa.RecordBatch:
-                by = {r["node"]: r for r in rows} if rows and rows[0]["side"] is None else dict(enumerate(rows))
-                use = sorted(by.values(), key=lambda r: (r["node"], r["side"] or 0))
+                use = [rows[k] for k in sorted(rows)]
                 rows.clear()
+                got = []
                 sides = None if not use or use[0]["side"] is None else [r["side"] for r in use]
                 known = None if not use or use[0]["comp"] is None else [r["comp"] for r in use]
-                if known and len(set(known)) == 1:
-                    use = []
-                got = tree_links([shingle_set(split(r["text"]), width) for r in use], m, sides, known) if len(use) > 1 else []
+                if len(use) > 1 and not (known and len(set(known)) == 1):
+                    got = tree_links([shingle_set(split(unpack(r["text"])), width) for r in use], m, sides, known)
                 return pa.RecordBatch.from_arrays([pa.array([use[i]["node"] for i, _ in got], pa.int64()), pa.array([use[j]["node"] for _, j in got], pa.int64())], names=["a", "b"])
 
             for b in batches:
@@ -426,38 +449,43 @@ class NearDuplicates:
                     if r["block"] != block:
                         yield give()
                         block = r["block"]
-                    rows.append(r)
+                    rows[r["node"], r["side"] or 0] = r
             yield give()
 
-        dealt = members.join(self.texts(), "node").select("block", "node", "side", "comp", "text").repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
+        dealt = self.with_texts(members).select("block", "node", "side", "comp", "text").repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
         return dealt.mapInArrow(run, "a long, b long")
 
+    @staticmethod
+    def sized(groups: DataFrame) -> DataFrame:
+        """centre, k (members), blocks of groups (centre, node, n)."""
+        size = groups.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+        return size.select("centre", "k", F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
     def links(self) -> DataFrame:
         """Pairs of nodes that link, enough of them to connect each component."""
-        stars = self.stars.join(self.nodes.select("node", "n"), "node")
-        size = stars.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-        size = size.withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
-        name = F.concat_ws(".", "centre", "part")
-        rest = stars.join(size.filter("blocks > 1"), "centre", "left").select("centre", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int").alias("part"))
+        sizes = self.nodes.select("node", "n")
+        stars = self.stars.join(sizes, "node")
+        best = self.stars.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
+        chosen = written(best.join(sizes, "node").select("centre", "node", "n"), "chosen")
+        size = self.sized(chosen)
+        part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rest = chosen.join(size, "centre").select("centre", "node", part.alias("part"))
         centres = size.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-        members = rest.union(centres).select(name.alias("block"), "node", F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("comp"))
+        members = rest.union(centres).select(F.concat_ws(".", "centre", "part").alias("block"), "node", F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("comp"))
         links = written(self.block_links(members), "found")
 
-        # Pairs that no block has seen: stars of several blocks, and stars whose members have local stars.
-        wide = size.filter("blocks > 1").select("centre")
+        # What may hold pairs that no block has seen, but for stars that were one block.
         top = self.stars.filter("top = 1").select("centre", F.col("node").alias("mid"))
-        local = self.stars.select(F.col("centre").alias("mid"), "node")
+        local = self.dealt.filter("other IS NOT NULL AND copy IS NULL").select(F.col("node").alias("mid"), F.col("other").alias("node")).distinct()
         below = top.join(local, "mid").select("centre", "node")
-        more = below.select("centre").union(wide).distinct()
-        group = self.stars.select("centre", "node").union(below).union(more.select("centre", F.col("centre").alias("node"))).join(more, "centre", "left_semi").distinct()
+        full = self.sized(stars).join(size.select("centre", F.col("k").alias("chosen"), F.col("blocks").alias("b")), "centre", "left")
+        seen = full.filter("k = chosen AND b = 1").select("centre").join(below.select("centre").distinct(), "centre", "left_anti")
+        group = self.stars.select("centre", "node").union(below).union(full.select("centre", F.col("centre").alias("node"))).join(seen, "centre", "left_anti").distinct()
+        group = group.join(components(links), "node", "left").join(sizes, "node").select("centre", "node", "n", F.coalesce("comp", "node").alias("comp"))
         group = written(group, "groups")
-        if group.isEmpty():
-            return links
-        labels = components(links)
-        group = group.join(labels, "node", "left").join(self.nodes.select("node", "n"), "node").select("centre", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_ = group.groupBy("centre").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k"), F.sum("n").alias("total")).filter("a < b")
-        open_ = open_.select("centre", F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        dealt = group.join(open_, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        mixed = group.groupBy("centre").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("centre")
+        group = group.join(mixed, "centre", "left_semi")
+        dealt = group.join(self.sized(group), "centre").withColumn("part", part)
         pairs = dealt.select("centre", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         low, high = F.least("part", "other"), F.greatest("part", "other")
         side = F.when(low < high, (F.col("part") == high).cast("int"))
