@@ -48,7 +48,8 @@ def absent_to_null(c: Column) -> Column:
 
 def fence_stripped(c: Column) -> Column:
     """ST10: a model's answer without its code fence."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)^```(?:json)?\s*", ""), r"(?i)```\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?i)^\s*```(?:json)?", ""), r"(?i)```\s*$", "")
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def table_cell(c: Column) -> Column:

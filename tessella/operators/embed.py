@@ -70,10 +70,9 @@ CHUNKS = "array<struct<text:string,index:int,section:string,charCount:int,hash:s
 
 def chunked(size: int, overlap: int):  # noqa: ANN201
     """ST1 as a column function."""
-    import pandas as pd
 
     @F.pandas_udf(CHUNKS)
-    def chunks(text: pd.Series) -> pd.Series:
+    def chunks(text):  # noqa: ANN001, ANN202
         return text.map(lambda t: chunk_text(t, size, overlap))
 
     return chunks

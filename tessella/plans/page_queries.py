@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("ex16_link_targets", "SELECT 100000 + c_custkey AS page_id, 'https://g.example.com/n/' || c_nationkey AS href, false AS external FROM customer")
 def _(spark, d):
-    df = parsed(graph_pages(spark, d), "links").filter("page_id > 100000")
+    df = parsed(graph_pages(spark, d), "links").filter("page_id >= 100000")
     return df.select("page_id", F.explode("links").alias("l")).select("page_id", "l.href", F.col("l.isExternal").alias("external"))
 
 

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.errors import any_of
 from tessella.schema import PDF, S, struct
 
 # An address in a sitemap, a result in a search page, and hosts that are no results.
@@ -48,8 +49,7 @@ def json_results(response: Column, limit: int) -> Column:
 def html_results(page: Column, limit: int) -> Column:
     """SRC3: distinct links of a results page, without the search host's own."""
     links = F.transform(F.regexp_extract_all(page, F.lit(RESULT), F.lit(1)), lambda u: F.coalesce(F.try_url_decode(u), u))
-    for h in OWN_HOSTS:
-        links = F.filter(links, lambda u, h=h: ~u.contains(h))
+    links = F.filter(links, lambda u: ~any_of(u, OWN_HOSTS))
     return F.slice(F.array_distinct(links), 1, limit)
 
 
