@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import mix64, small_batches, text_bytes
+from tessella.llm.common import mix64, release, small_batches, text_bytes
 
 #: Hash table of n-grams; its size times the number of languages bounds the model.
 FEATURES = 1 << 16
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             said = [m.predict(x.as_py()) for x in b.column("__text")]
             cols = {n: b.column(n) for n in keep} | {"lang_pred": pa.array([x for x, _ in said], pa.string()), "lang_score": pa.array([p for _, p in said], pa.float64())}
             yield pa.RecordBatch.from_pydict(cols)
+        release()
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double")
     return docs.select(*keep, F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)

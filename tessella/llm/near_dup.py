@@ -14,7 +14,9 @@
    star it shares most keys with. Stars become blocks of bounded size, each with the centre, and a
    signature tree joins each block with itself: tree nodes hold OR-combined token bitmaps and size
    ranges, and a dual traversal prunes pairs of tree nodes by the largest overlap that is possible,
-   and pairs that are already connected through others.
+   and pairs that are already connected through others. It first runs over bitmaps alone, which are a
+   small part of the texts' size: nodes whose every pair is pruned leave the block. Then it runs over
+   the sets of those that stay, and compares what it can't prune.
 4. Connected components over the links found. In a second round, whole stars (with the stars of their
    members from single tasks) that still lie in several components and hold pairs that no block has
    seen get all their blocks and pairs of blocks compared, by the same tree.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import MASK64, mix64, shingle_set, shuffle_parts, small_batches, text_bytes, written
+from tessella.llm.common import MASK64, mix64, release, shingle_set, shuffle_parts, small_batches, text_bytes, written
 
 #: Largest size over smallest size in a size class.
 CLASS_RATIO = 1.5
@@ -40,7 +42,7 @@ CLASS_RATIO = 1.5
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Keys that a task holds before it gives them out, and texts whose fingerprints it knows to skip copies.
-FLUSH_KEYS = 4_000_000
+FLUSH_KEYS = 2_000_000
 SEEN = 200_000
 #: Nodes of one task that share a key and all go on; beyond, one does.
 LOCAL = 8
@@ -123,16 +125,30 @@ class TreeNode:
     __slots__ = ("bits", "extra", "first", "high", "left", "low", "one", "right")
 
 
+def signature(s: np.ndarray, width: int | None = None) -> bytes:
+    """Token bitmap of a set: a power of two of bits, two for each hash or more; a wider one folds onto a narrower."""
+    width = width or 1 << max(8, (2 * len(s) - 1).bit_length())
+    hit = np.zeros(width, np.uint8)
+    hit[(s >> np.uint64(11)) & np.uint64(width - 1)] = 1
+    return np.packbits(hit, bitorder="little").tobytes()
+
+
+def folded(sig: bytes, width: int) -> int:
+    """The bitmap as a number of ``width`` bits."""
+    x, n = int.from_bytes(sig, "little"), 8 * len(sig)
+    while n > width:
+        n //= 2
+        x = (x >> n) | (x & ((1 << n) - 1))
+    return x
+
+
 class SignatureTree:
-    """Binary tree over sets, ordered by size and bitmap; leaves are single sets."""
+    """Binary tree over sets, ordered by size and bitmap; leaves are single sets, given by their sizes and bitmaps."""
 
-    def __init__(self, sets: list[np.ndarray], m: Measure):
-        self.sets, self.m = sets, m
-        self.width = 1 << max(8, (4 * max(map(len, sets))).bit_length()) if sets else 256
-        self.width = min(self.width, 1 << 17)
-        self.up = list(range(len(sets)))
-        self.links: list[tuple[int, int]] = []
-        self.parts = len(sets)
+    def __init__(self, sizes: list[int], bits: list[int], m: Measure):
+        self.sizes, self.bits, self.m = sizes, bits, m
+        self.up = list(range(len(sizes)))
+        self.parts = len(sizes)
 
     def find(self, x: int) -> int:
         up = self.up
@@ -147,17 +163,21 @@ class SignatureTree:
             self.up[max(x, y)] = min(x, y)
             self.parts -= 1
 
-    def link(self, a: int, b: int) -> None:
-        self.links.append((a, b))
-        self.join(a, b)
+    def known(self, comps: list[int]) -> None:
+        """Members of one component count as connected."""
+        first: dict[int, int] = {}
+        for i, c in enumerate(comps):
+            self.join(first.setdefault(c, i), i)
+
+    def meet(self, a: int, b: int) -> None:
+        """A pair that can't be pruned."""
+        raise NotImplementedError
 
     def leaf(self, i: int) -> TreeNode:
-        s, t = self.sets[i], TreeNode()
-        hit = np.zeros(self.width, np.uint8)
-        hit[(s >> np.uint64(11)) & np.uint64(self.width - 1)] = 1
-        t.bits = int.from_bytes(np.packbits(hit).tobytes(), "little")
-        t.low = t.high = len(s)
-        t.extra = len(s) - t.bits.bit_count()  # hashes that share a bit with another of the set
+        t = TreeNode()
+        t.bits = self.bits[i]
+        t.low = t.high = self.sizes[i]
+        t.extra = self.sizes[i] - t.bits.bit_count()  # hashes that share a bit with another of the set
         t.first, t.one, t.left, t.right = i, True, None, None
         return t
 
@@ -192,9 +212,7 @@ class SignatureTree:
             if self.hopeless(p, q):
                 continue
             if p.left is None and q.left is None:
-                a, b = self.sets[p.first], self.sets[q.first]
-                if self.m.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
-                    self.link(p.first, q.first)
+                self.meet(p.first, q.first)
             elif q.left is None or p.left is not None and p.high - p.low >= q.high - q.low:
                 stack += [(p.right, q), (p.left, q)]
             else:
@@ -210,31 +228,82 @@ class SignatureTree:
         t.one = t.left.one and t.right.one and self.find(t.left.first) == self.find(t.right.first)
 
 
-def tree_links(sets: list[np.ndarray], m: Measure, side: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is connected among ``sets`` (pairs of indexes).
+    def run(self, side: list[int] | None) -> None:
+        """All pairs, or with sides (0 or 1 for each set) those across."""
+        if side is None:
+            self.own(self.build(list(range(len(self.sizes)))))
+            return
+        halves = [[i for i, s in enumerate(side) if s == k] for k in (0, 1)]
+        if all(halves):
+            self.cross(self.build(halves[0]), self.build(halves[1]))
 
-    side: 0 or 1 for each set; only pairs across sides are looked at. known: component ids so far;
-    members of one component count as connected.
-    """
+
+class LinkTree(SignatureTree):
+    """Compares the sets of pairs that can't be pruned; links connect what is connected."""
+
+    def __init__(self, sets: list[np.ndarray], m: Measure):
+        width = min(1 << 17, 1 << max(8, (4 * max(map(len, sets), default=1)).bit_length()))
+        super().__init__([len(s) for s in sets], [int.from_bytes(signature(s, width), "little") for s in sets], m)
+        self.sets, self.links = sets, []
+
+    def meet(self, a: int, b: int) -> None:
+        x, y = self.sets[a], self.sets[b]
+        if self.m.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+            self.links.append((a, b))
+            self.join(a, b)
+
+
+class MarkTree(SignatureTree):
+    """Marks the sets of pairs that can't be pruned by bitmap and size."""
+
+    def __init__(self, sizes: list[int], sigs: list[bytes], m: Measure):
+        width = 8 * min(map(len, sigs))
+        super().__init__(sizes, [folded(x, width) for x in sigs], m)
+        self.marked = [False] * len(sizes)
+        self.done: set[int] = set()
+
+    def meet(self, a: int, b: int) -> None:
+        self.marked[a] = self.marked[b] = True
+
+    def all_marked(self, t: TreeNode) -> bool:
+        if t.left is None:
+            return self.marked[t.first]
+        if id(t) in self.done:
+            return True
+        if self.all_marked(t.left) and self.all_marked(t.right):
+            self.done.add(id(t))
+            return True
+        return False
+
+    def hopeless(self, p: TreeNode, q: TreeNode) -> bool:
+        return super().hopeless(p, q) or self.all_marked(p) and self.all_marked(q)
+
+
+def tree_links(sets: list[np.ndarray], m: Measure, side: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is connected among ``sets`` (pairs of indexes). known: component ids so far."""
     if len(sets) < 2:
         return []
-    tree = SignatureTree(sets, m)
+    tree = LinkTree(sets, m)
     if known:
-        first: dict[int, int] = {}
-        for i, c in enumerate(known):
-            tree.join(first.setdefault(c, i), i)
-    if side is None:
-        tree.own(tree.build(list(range(len(sets)))))
-    else:
-        halves = [[i for i, s in enumerate(side) if s == k] for k in (0, 1)]
-        if all(halves):
-            tree.cross(tree.build(halves[0]), tree.build(halves[1]))
+        tree.known(known)
+    tree.run(side)
     return tree.links
 
 
-DEALT = "bucket int, doc_id long, copy long, n long, node long, other long, shared long, blob binary"
-_KINDS = (pa.int32(), *[pa.int64()] * 6, pa.binary())
-_NAMES = ["bucket", "doc_id", "copy", "n", "node", "other", "shared", "blob"]
+def tree_survivors(sizes: list[int], sigs: list[bytes], m: Measure, side: list[int] | None = None, known: list[int] | None = None) -> list[int]:
+    """Indexes of the sets that may link with another of them, by size and bitmap."""
+    if len(sizes) < 2:
+        return []
+    tree = MarkTree(sizes, sigs, m)
+    if known:
+        tree.known(known)
+    tree.run(side)
+    return [i for i, x in enumerate(tree.marked) if x]
+
+
+DEALT = "bucket int, doc_id long, copy long, n long, node long, other long, shared long, sig binary, blob binary"
+_KINDS = (pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary())
+_NAMES = ["bucket", "doc_id", "copy", "n", "node", "other", "shared", "sig", "blob"]
 
 
 def _rows(length: int, /, **cols) -> pa.RecordBatch:
@@ -307,18 +376,20 @@ def _features(split, width: int, m: Measure, buckets: int):
         keys, nodes, counts, held = [], [], [], 0
         seen: set[int] = set()
         for batch in batches:
-            sizes, marks = [], []
+            sizes, marks, sigs = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(split(text.as_py()), width)
                 fp = fingerprint(s)
                 sizes.append(len(s))
                 marks.append(fp)
+                sigs.append(None)
                 if not fp or fp in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(fp)
                 k = keys_of(s, m)
                 if len(k):
+                    sigs[-1] = signature(s)
                     keys.append(k)
                     nodes.append(fp)
                     counts.append(len(k))
@@ -327,9 +398,11 @@ def _features(split, width: int, m: Measure, buckets: int):
                     yield from give(keys, nodes, counts)
                     keys, nodes, counts, held = [], [], [], 0
             fp = np.array(marks, np.uint64)
-            yield _rows(len(sizes), bucket=(mix64(fp + np.arange(len(fp), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=batch.column("doc_id"), copy=batch.column("copy"), n=sizes, node=fp.view(np.int64))
+            yield _rows(len(sizes), bucket=(mix64(fp + np.arange(len(fp), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=batch.column("doc_id"), copy=batch.column("copy"), n=sizes, node=fp.view(np.int64), sig=sigs)
         if keys:
             yield from give(keys, nodes, counts)
+            keys, nodes, counts = [], [], []
+        release()
 
     return run
 
@@ -363,6 +436,7 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         bucket = i
                     held.append(x.as_py())
     yield from give()
+    release()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -396,9 +470,9 @@ class NearDuplicates:
         self.rows = self.dealt.filter("other is null").select("doc_id", "copy", "n", "node")
         stars = self.dealt.filter("other is not null").groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"), F.sum("shared").alias("shared"))
         self.stars = written(stars, "stars")
-        first = self.rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy", "n")).alias("f"))
+        first = self.dealt.filter("other is null").groupBy("node").agg(F.min(F.struct("doc_id", "copy", "n")).alias("f"), F.max("sig").alias("sig"))
         wanted = self.stars.select("node").union(self.stars.select("centre")).distinct()
-        self.nodes = written(first.join(wanted, "node", "left_semi").select("node", "f.*"), "nodes")
+        self.nodes = written(first.join(wanted, "node", "left_semi").select("node", "f.*", "sig"), "nodes")
 
     def with_texts(self, members: DataFrame) -> DataFrame:
         """members and the text (zstandard) of one document of each node, in a scan that drops other documents before the shuffle."""
@@ -424,9 +498,38 @@ class NearDuplicates:
         docs = self.docs.select("copy", "text").mapInArrow(run, "copy long, text binary")
         return members.join(docs, "copy").drop("copy")
 
+    def survivors(self, members: DataFrame) -> DataFrame:
+        """The members that may link with another of their block, by size and bitmap."""
+        m = self.m
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, block = {}, None
+
+            def give() -> pa.RecordBatch:
+                use = [rows[k] for k in sorted(rows)]
+                rows.clear()
+                sides = None if not use or use[0]["side"] is None else [r["side"] for r in use]
+                known = None if not use or use[0]["comp"] is None else [r["comp"] for r in use]
+                stay = [use[i] for i in tree_survivors([r["n"] for r in use], [r["sig"] for r in use], m, sides, known)]
+                return pa.RecordBatch.from_arrays([pa.array([r[c] for r in stay], k) for c, k in (("block", pa.string()), ("node", pa.int64()), ("side", pa.int32()), ("comp", pa.int64()))], names=["block", "node", "side", "comp"])
+
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["block"] != block:
+                        yield give()
+                        block = r["block"]
+                    rows[r["node"], r["side"] or 0] = r
+            yield give()
+            release()
+
+        known = members.join(self.nodes.select("node", "n", "sig"), "node").select("block", "node", "side", "comp", "n", "sig")
+        dealt = known.repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
+        return written(dealt.mapInArrow(run, "block string, node long, side int, comp long"), "survivors")
+
     def block_links(self, members: DataFrame) -> DataFrame:
         """Links within blocks. members: block string, node, side int (null: all pairs), comp long (null: unknown)."""
         split, width, m = self.split, self.width, self.m
+        members = self.survivors(members)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
@@ -451,6 +554,7 @@ class NearDuplicates:
                         block = r["block"]
                     rows[r["node"], r["side"] or 0] = r
             yield give()
+            release()
 
         dealt = self.with_texts(members).select("block", "node", "side", "comp", "text").repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
         return dealt.mapInArrow(run, "a long, b long")

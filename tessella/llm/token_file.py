@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import shuffle_parts, small_batches, written
+from tessella.llm.common import release, shuffle_parts, small_batches, written
 
 CHUNK = 1 << 16
 MAGIC = b"BPLN1\0\0\0"
@@ -222,6 +222,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
                         number, ids, names, size = number + 1, [], [], 0
         if ids:
             yield give()
+            ids, names = [], []
+        release()
 
     return written(rows.mapInArrow(run, "part int, file int, doc_ids array<long>, n_ids long, payload binary"), "tokens")
 
