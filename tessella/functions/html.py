@@ -270,8 +270,8 @@ def selector_of(selector: str):
     chains = []
     for alt in re.split(r",(?![^\[(]*[\])])", selector):
         parts = re.findall(r"""(?:\[[^\]]*\]|:not\([^()]*\)|[^\s\[])+""", alt.strip())
-        if not parts:
-            raise ValueError("empty selector")
+        if not parts or re.sub(r"\s", "", "".join(parts)) != re.sub(r"\s", "", alt):
+            raise ValueError(f"selector not understood: {selector}")
         chains.append([_compound(p) for p in parts])
 
     def match(x: Node) -> bool:
