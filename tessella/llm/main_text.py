@@ -39,8 +39,9 @@ _WORD = re.compile(r"\S+")
 
 #: Containers.
 NEUTRAL, ARTICLE, FRAME = 0, 1, 2
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "container", "heading", "sentence")
-#: Labelled blocks, made by hand: FEATURES in order (link densities in percent), then 1 for main text. Fixed values.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_frame", "heading", "sentence")
+#: Labelled blocks, made by hand: words and link densities (in percent) of the block and its neighbours, container,
+#: heading, sentence, then 1 for main text. Fixed values.
 LABELLED = (
     (120, 0, 80, 0, 95, 0, 1, 0, 1, 1), (45, 4, 120, 0, 60, 0, 1, 0, 1, 1), (7, 0, 0, 0, 88, 0, 1, 1, 0, 1), (3, 0, 60, 0, 75, 2, 1, 0, 1, 1),
     (1, 0, 12, 0, 2, 0, 1, 0, 1, 1), (12, 0, 1, 0, 0, 0, 1, 0, 0, 1), (9, 100, 6, 100, 140, 1, 1, 0, 0, 1), (26, 30, 70, 0, 5, 0, 1, 0, 1, 1),
@@ -57,6 +58,9 @@ LABELLED = (
     (4, 0, 2, 100, 1, 100, 0, 0, 0, 0), (3, 0, 1, 100, 2, 100, 0, 1, 0, 0), (6, 0, 80, 0, 3, 100, 0, 0, 0, 0), (5, 0, 3, 100, 0, 0, 0, 0, 0, 0),
     (2, 0, 4, 0, 3, 0, 0, 0, 0, 0), (12, 60, 3, 100, 4, 100, 0, 0, 0, 0), (25, 80, 5, 100, 30, 70, 0, 0, 0, 0), (7, 55, 70, 0, 6, 60, 0, 0, 0, 0),
     (1, 0, 0, 0, 1, 0, 0, 0, 0, 0), (3, 0, 1, 0, 2, 100, 0, 0, 0, 0), (10, 70, 120, 0, 0, 0, 0, 0, 1, 0), (2, 50, 2, 50, 2, 50, 0, 0, 0, 0),
+    (3, 0, 5, 0, 6, 0, 1, 0, 0, 1), (1, 0, 3, 0, 1, 0, 1, 0, 0, 1), (60, 0, 60, 0, 60, 0, 1, 0, 0, 1), (8, 0, 90, 0, 4, 0, 1, 0, 0, 1), (2, 100, 8, 0, 9, 0, 1, 0, 0, 1), (30, 0, 0, 0, 0, 0, 1, 0, 0, 1),
+    (1, 0, 2, 0, 0, 0, 1, 0, 0, 1), (14, 70, 3, 100, 7, 0, 1, 0, 0, 1), (1, 100, 40, 0, 30, 0, 1, 0, 0, 1), (2, 100, 2, 100, 2, 100, 1, 0, 0, 1), (90, 0, 2, 100, 3, 100, 1, 0, 0, 1), (4, 0, 0, 0, 3, 0, 1, 1, 0, 1),
+    (1, 100, 1, 100, 23, 0, 0, 0, 0, 0), (2, 100, 1, 100, 60, 0, 0, 0, 0, 0), (4, 100, 3, 100, 90, 0, 0, 0, 0, 0), (1, 100, 0, 0, 140, 0, 0, 0, 0, 0), (2, 100, 40, 0, 35, 0, 0, 0, 0, 0), (3, 80, 6, 90, 30, 0, 0, 0, 0, 0),
 )
 
 
@@ -185,7 +189,7 @@ class Tree:
 
 
 def grow(table=LABELLED) -> Tree:
-    t = np.array(table, float)
+    t = np.array([(*r[:6], r[6] == ARTICLE, r[6] == FRAME, *r[7:]) for r in table], float)
     return Tree(t[:, :-1], t[:, -1])
 
 
@@ -198,7 +202,7 @@ def features(row: list[Block]) -> Iterator[tuple]:
     none = Block("", 0, 0.0, NEUTRAL, 0)
     for i, b in enumerate(row):
         p, n = row[i - 1] if i else none, row[i + 1] if i + 1 < len(row) else none
-        yield b.words, 100 * b.links, p.words, 100 * p.links, n.words, 100 * n.links, b.container, b.heading, int(b.text[-1] in ".!?…:;\"'»”")
+        yield b.words, 100 * b.links, p.words, 100 * p.links, n.words, 100 * n.links, int(b.container == ARTICLE), int(b.container == FRAME), b.heading, int(b.text[-1] in ".!?…:;\"'»”")
 
 
 def main_text(source: str, tree: Tree) -> str:
