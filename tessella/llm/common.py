@@ -31,11 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def relax(spark: SparkSession) -> None:
+    """Ask executors to collect garbage, so that the heap that one phase grew isn't held through the next.
+
+    Where memory is watched from outside, a large heap counts twice for a moment when the JVM starts a
+    child process, as it does to set the permissions of a local file.
+    """
+    if not spark.sparkContext.master.startswith("local["):
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    relax(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -523,7 +523,7 @@ class NearDuplicates:
             release()
 
         known = members.join(self.nodes.select("node", "n", "sig"), "node").select("block", "node", "side", "comp", "n", "sig")
-        dealt = known.repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
+        dealt = known.repartition("block").sortWithinPartitions("block")
         return written(dealt.mapInArrow(run, "block string, node long, side int, comp long"), "survivors")
 
     def block_links(self, members: DataFrame) -> DataFrame:
@@ -556,7 +556,7 @@ class NearDuplicates:
             yield give()
             release()
 
-        dealt = self.with_texts(members).select("block", "node", "side", "comp", "text").repartition(shuffle_parts(self.spark), "block").sortWithinPartitions("block")
+        dealt = self.with_texts(members).select("block", "node", "side", "comp", "text").repartition("block").sortWithinPartitions("block")
         return dealt.mapInArrow(run, "a long, b long")
 
     @staticmethod
