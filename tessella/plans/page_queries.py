@@ -335,3 +335,106 @@ def _(spark, d):
 @query("fd3_readable", f"SELECT page_id, true AS readable FROM pages")
 def _(spark, d):
     return FD.discover(records(pages(spark, d))).select("page_id", "readable")
+
+
+@query("st8_compact_text", GENERIC_SQL + "SELECT page_id, CAST(n AS INTEGER) AS n FROM v")
+def _(spark, d):
+    r = records(pages(spark, d))
+    return r.select("page_id", F.length(C.compact_text(*(F.col(c) for c in ("title", "description", "markdown", "text", "headings")))).alias("n"))
+
+
+@query("st14_html_to_markdown", r"SELECT c_custkey AS page_id, '# ' || c_name || chr(10) || chr(10) || 'in **' || c_mktsegment || '**' AS md FROM customer")
+def _(spark, d):
+    from tessella.functions.sql import register
+
+    register(spark)
+    html = F.concat(F.lit("<h1>"), F.regexp_replace("c_name", "#", "#"), F.lit("</h1><script>x</script><p>in <b>"), F.col("c_mktsegment"), F.lit("</b></p>"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")).selectExpr("page_id", "html_markdown(html) AS md")
+
+
+@query("ur1_resolve", "SELECT o_orderkey, 'https://a.example/x/' || o_orderkey || '/q?z=1' AS href FROM orders")
+def _(spark, d):
+    from tessella.functions.sql import register
+
+    register(spark)
+    k = F.col("o_orderkey").cast("string")
+    df = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("../"), k, F.lit("/./q?z=1")).alias("h"), F.lit("https://A.example:443/x/y/").alias("b"))
+    return df.selectExpr("o_orderkey", "url_resolve(h, b) AS href")
+
+
+@query("udtf_links", "SELECT 100000 + c_custkey AS page_id, 'https://g.example.com/n/' || c_nationkey AS href, 0 AS pos FROM customer")
+def _(spark, d):
+    from tessella.functions.sql import register
+
+    register(spark)
+    graph_pages(spark, d).filter("page_id >= 100000").createOrReplaceTempView("tessella_graph_pages")
+    return spark.sql("SELECT page_id, l.href, l.pos FROM tessella_graph_pages, LATERAL page_links(html, url) l")
+
+
+@query("snk6_chunk_text")
+def _(spark, d):
+    from tessella.sources.sinks import chunk_text
+
+    df = parsed(pages(spark, d), "markdown", "chunks", options=CrawlOptions(chunkSize=2000))
+    return df.select("page_id", chunk_text(F.col("markdown"), F.col("chunks")).alias("text"))
+
+
+@query("snk7_evidence", "SELECT count(*) AS n FROM pages")
+def _(spark, d):
+    from tessella.sources.sinks import evidence
+
+    return evidence(pages(spark, d).select("page_id", "url"), "docs-page").filter("value LIKE '{\"contract\":\"docs-page\",%'").agg(F.count("*").alias("n"))
+
+
+@query("so3_distinct_lists", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS n FROM pages")
+def _(spark, d):
+    return parsed(pages(spark, d), "links").select("page_id", F.size(F.array_distinct(F.transform("links", lambda x: x["href"]))).cast("long").alias("n"))
+
+
+@query("so6_content_or_body", "SELECT page_id, true AS same FROM pages")
+def _(spark, d):
+    whole = parsed(pages(spark, d), "text", options=CrawlOptions(includeTags=("article",))).select("page_id", F.col("text").alias("a"))
+    main = parsed(pages(spark, d), "text", options=CrawlOptions(onlyMainContent=True)).select("page_id", F.col("text").alias("b"))
+    return whole.join(main, "page_id").select("page_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+class CannedModel:
+    """A model that answers with the page's first words: deterministic, offline."""
+
+    def complete(self, system, user, response_format):  # noqa: ANN001, ANN201
+        import json
+
+        body = user.split("Content:\n", 1)[1]
+        return json.dumps({"title": body[:20], "summary": "N/A", "sourceUrl": "https://nowhere.invalid/page"})
+
+
+@query("lm1_extract", r"SELECT doc_id, 'success' AS status, 'summary,sourceUrl' AS missing FROM documents WHERE trim(left(text, 20)) <> '' AND lower(trim(left(text, 20))) NOT IN ('n/a')")
+def _(spark, d):
+    from tessella.operators.contracts import attach_validation
+    from tessella.operators.extract import ExtractOptions, extract
+
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("markdown"))
+    got = attach_validation(extract(rows, CannedModel(), ExtractOptions(contract="docs-page", ground=True)), "docs-page")
+    return got.select(F.col("url").cast("long").alias("doc_id"), "status", F.array_join("validation.missingRequiredFields", ",").alias("missing"))
+
+
+class CountingEmbedder:
+    """Vectors of text lengths: deterministic, offline."""
+
+    def embed(self, texts):  # noqa: ANN001, ANN201
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+@query("em2_embed_texts", "SELECT doc_id, CAST(length(text) AS FLOAT) AS first FROM documents")
+def _(spark, d):
+    from tessella.operators.embed import embed_texts
+
+    got = embed_texts(table(spark, d, "documents").select("doc_id", "text"), CountingEmbedder())
+    return got.select("doc_id", F.col("vector")[0].alias("first"))
+
+
+@query("em3_embed_markdown")
+def _(spark, d):
+    from tessella.operators.embed import embed_markdown
+
+    return embed_markdown(parsed(pages(spark, d), "markdown"), CountingEmbedder()).select("url", "index", "section", F.col("vector")[0].alias("n"))
