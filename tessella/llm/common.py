@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -45,12 +47,32 @@ def relax(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     relax(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _run_folder(shared: str, app: str) -> str:
+    """This application's folder under the shared one; it is removed when Python ends."""
+    from pyspark import SparkContext
+
+    folder = f"{shared.rstrip('/')}/tessella-{app}"
+    sc = SparkContext._active_spark_context
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM is gone; what is left lies in the checkpoint folder
+            pass
+
+    atexit.register(remove)
+    return folder
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that hands texts to Python in batches of BATCH bytes: bounds both sides' memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
