@@ -578,17 +578,22 @@ class NearDuplicates:
         members = rest.union(centres).select(F.concat_ws(".", "centre", "part").alias("block"), "node", F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("comp"))
         links = written(self.block_links(members), "found")
 
-        # What may hold pairs that no block has seen, but for stars that were one block.
-        top = self.stars.filter("top = 1").select("centre", F.col("node").alias("mid"))
+        # Stars that may hold pairs no block has seen, and are in several components: not those that were one block.
+        # A member taken over from a task stands for its own star there: what range of components that has.
+        labels = components(links)
+        comp = self.nodes.join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
         local = self.dealt.filter("other IS NOT NULL AND copy IS NULL").select(F.col("node").alias("mid"), F.col("other").alias("node")).distinct()
-        below = top.join(local, "mid").select("centre", "node")
-        full = self.sized(stars).join(size.select("centre", F.col("k").alias("chosen"), F.col("blocks").alias("b")), "centre", "left")
-        seen = full.filter("k = chosen AND b = 1").select("centre").join(below.select("centre").distinct(), "centre", "left_anti")
-        group = self.stars.select("centre", "node").union(below).union(full.select("centre", F.col("centre").alias("node"))).join(seen, "centre", "left_anti").distinct()
-        group = group.join(components(links), "node", "left").join(sizes, "node").select("centre", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        group = written(group, "groups")
-        mixed = group.groupBy("centre").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("centre")
-        group = group.join(mixed, "centre", "left_semi")
+        within = local.join(comp, "node").groupBy("mid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        mine = self.stars.select("centre", "node", "top").union(self.stars.select("centre", F.col("centre").alias("node"), F.lit(0).alias("top")).distinct())
+        mine = mine.join(comp, "node").join(within, (F.col("top") == 1) & (F.col("node") == F.col("mid")), "left")
+        span = mine.groupBy("centre").agg(F.min(F.least("comp", "low")).alias("low"), F.max(F.greatest("comp", "high")).alias("high"), F.count("mid").alias("below"), (F.count("*") - 1).alias("k"))
+        whole = size.select("centre", F.col("k").alias("chosen"), F.col("blocks").alias("b"))
+        open_ = span.filter("low < high").join(whole, "centre", "left").filter("below > 0 OR NOT coalesce(k = chosen AND b = 1, false)").select("centre")
+        open_ = written(open_, "open")
+        star = self.stars.join(open_, "centre", "left_semi")
+        below = star.filter("top = 1").select("centre", F.col("node").alias("mid")).join(local, "mid").select("centre", "node")
+        group = star.select("centre", "node").union(below).union(open_.select("centre", F.col("centre").alias("node"))).distinct()
+        group = written(group.join(comp, "node").select("centre", "node", "n", "comp"), "groups")
         dealt = group.join(self.sized(group), "centre").withColumn("part", part)
         pairs = dealt.select("centre", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         low, high = F.least("part", "other"), F.greatest("part", "other")
