@@ -423,3 +423,24 @@ def _(spark, d):
 def _(spark, d):
     k = F.col("event_id")
     return table(spark, d, "events").select("event_id", web.provided(F.when(k % 3 < 2, "<p>").otherwise(" "), F.when(k % 3 == 0, F.col("event_type")).otherwise("  ")).alias("content"))
+
+
+@query("src8_pdf_text", "SELECT p_partkey, p_name || ' ' || p_brand AS text, CAST(1 AS INTEGER) AS pages, p_type AS title FROM part")
+def _(spark, d):
+    pdf = F.concat(F.lit("%PDF-1.4\n<</Type /Page>>\nBT ("), "p_name", F.lit(") Tj ("), "p_brand", F.lit(") Tj ET\n/Title ("), "p_type", F.lit(")"))
+    got = table(spark, d, "part").select("p_partkey", web.pdf_column(pdf.cast("binary")).alias("pdf"))
+    return got.select("p_partkey", "pdf.text", "pdf.pages", F.try_element_at("pdf.metadata", F.lit("Title")).alias("title"))
+
+
+@query("js4_repaired_answers", "SELECT event_id, user_id FROM events")
+def _(spark, d):
+    from tessella.operators.extract import parsed
+
+    @F.udf("string")
+    def repair(t):  # noqa: ANN001, ANN202
+        import json
+
+        return json.dumps(parsed(t))
+
+    cut = F.concat(F.lit('```json\n{"user": '), F.col("user_id").cast("string"), F.lit(', "tags": ["a", "b'))
+    return table(spark, d, "events").select("event_id", F.get_json_object(repair(cut), "$.user").cast("long").alias("user_id"))
