@@ -103,6 +103,35 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+#: Slots of a bit field over keys: bounds what is collected and broadcast.
+SLOTS = 1 << 23
+
+
+def bit_field(keys: DataFrame, name: str) -> np.ndarray:
+    """SLOTS bits, set where a key (long) of ``keys`` falls."""
+    slots = keys.select(F.pmod(name, F.lit(SLOTS)).cast("int").alias("slot"))
+    bits = slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("b"))
+    field = np.zeros(SLOTS // 32, np.uint32)
+    for r in bits.collect():  # SLOTS / 32 rows at most
+        field[r.w] = r.b
+    return field
+
+
+def in_field(df: DataFrame, name: str, field: np.ndarray) -> DataFrame:
+    """Rows whose key may be in the field: others are dropped before they are shuffled for a join that drops them anyway."""
+    import pyarrow as pa
+
+    held = df.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        f = held.value
+        for b in batches:
+            s = np.mod(b.column(b.schema.names.index(name)).to_numpy(), SLOTS)
+            yield b.filter(pa.array(((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)))
+
+    return small_batches(df).mapInArrow(run, df.schema)
+
+
 def placed(df: DataFrame, *order: Column) -> DataFrame:
     """Range-sort ``df`` by ``order`` and store it with ``pid`` and ``idx``, its place in partition ``pid``.
 

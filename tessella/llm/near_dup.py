@@ -594,7 +594,7 @@ class NearDuplicates:
         below = star.filter("top = 1").select("centre", F.col("node").alias("mid")).join(local, "mid").select("centre", "node")
         group = star.select("centre", "node").union(below).union(open_.select("centre", F.col("centre").alias("node"))).distinct()
         group = written(group.join(comp, "node").select("centre", "node", "n", "comp"), "groups")
-        dealt = group.join(self.sized(group), "centre").withColumn("part", part)
+        dealt = group.join(self.sized(group), "centre").withColumn("part", part).repartition("node", "centre")
         pairs = dealt.select("centre", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         low, high = F.least("part", "other"), F.greatest("part", "other")
         side = F.when(low < high, (F.col("part") == high).cast("int"))
