@@ -149,7 +149,8 @@ def pdf_column(data):  # noqa: ANN001, ANN201
     import pandas as pd
 
     rows = [read_pdf(bytes(d)) if d is not None else None for d in data]
-    return pd.DataFrame([r or {"text": None, "pages": None, "metadata": None} for r in rows], columns=["text", "pages", "metadata"])
+    made = [{"text": r["text"], "pages": r["pages"], "metadata": dict(r["metadata"])} if r else {"text": None, "pages": None, "metadata": None} for r in rows]
+    return pd.DataFrame(made, columns=["text", "pages", "metadata"])
 
 
 DOCX = struct(text=S, markdown=S)
