@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import colours as K
@@ -385,6 +388,39 @@ def _(spark, d):
     return pairs(spark, d).select("doc_id", F.round(G.token_share(F.col("value"), F.col("text")), 6).alias("share"))
 
 
+#: Benchmark items that are held against all documents at a time.
+ITEMS = 4096
+
+
+def each_item(spark, d, doc, item, f):  # noqa: ANN001, ANN201
+    """``f`` over all documents (doc_id, ``doc`` of the text) and all items (item_id, ``item`` of the value), by blocks of items."""
+    docs = table(spark, d, "documents").select("doc_id", doc(F.col("text")).alias("text"))
+    items = table(spark, d, "benchmark").select("item_id", item(F.col("text")).alias("value"))
+    n = max(1, -(-items.count() // ITEMS))
+    return functools.reduce(DataFrame.union, [f(docs, items.filter(F.pmod(F.xxhash64("item_id", "value"), F.lit(n)) == b)) for b in range(n)])
+
+
+@query("g2_contains_all", r"SELECT doc_id, item_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents) JOIN (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS v FROM benchmark) ON contains(t, v)")
+def _(spark, d):
+    return each_item(spark, d, G.flat, G.flat, lambda docs, items: docs.join(F.broadcast(items), F.col("text").contains(F.col("value")))).select("doc_id", "item_id")
+
+
+@query("g2_grounded_all")
+def _(spark, d):
+    return each_item(spark, d, lambda c: c, lambda c: c, G.grounded_pairs)
+
+
+@query("g3_ground_records_all")
+def _(spark, d):
+    rec = lambda c: F.to_json(F.struct(F.substring(c, 1, 40).alias("title"), F.struct(F.lit(19.9).alias("amount"), F.lit(True).alias("ok")).alias("price")))
+    return each_item(spark, d, lambda c: c, rec, G.ground_pairs)
+
+
+@query("j8_token_share_all", r"SELECT doc_id, item_id, round(len(list_intersect(v, t)) / nullif(len(v), 0), 6) AS share FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS t FROM documents) CROSS JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS v FROM benchmark)")
+def _(spark, d):
+    return each_item(spark, d, G.source_tokens, G.source_tokens, G.token_shares).withColumn("share", F.round("share", 6))
+
+
 @query("em1_batches", "SELECT lang, batch, count(*) AS n, min(doc_id) AS first_id, sum(length(text)) AS chars FROM (SELECT lang, doc_id, text, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16 AS batch FROM documents) GROUP BY lang, batch")
 def _(spark, d):
     df = EM.requests(table(spark, d, "documents").withColumn("t", F.concat_ws("\x01", F.col("doc_id").cast("string"), "text")), "lang", "doc_id", "t")
