@@ -32,11 +32,11 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
 _VERDICTS = f"SELECT *, CASE WHEN ok THEN CASE WHEN score >= 70 THEN 'ready' ELSE 'needs-review' END WHEN type IN ('blocked-bot', 'rate-limit') THEN 'blocked' ELSE 'failed' END AS verdict FROM ({CLASSED})"
 
 
-def verdicts(spark, d):  # noqa: ANN001, ANN201
+def verdicts(spark, d, contract="event_type"):  # noqa: ANN001, ANN201
     o = outcomes(spark, d).withColumn("type", E.error_type(F.col("message"), F.col("code")))
     status = F.when(F.col("ok"), "success").otherwise("error")
     o = o.withColumn("verdict", R.verdict(status, F.col("type"), F.col("score"), F.lit(False)))
-    return o.select("id", F.col("event_type").alias("contract"), "type", "ok", "score", "verdict", F.when(~F.col("ok"), F.array("type")).otherwise(F.array().cast("array<string>")).alias("blockers"))
+    return o.select("id", F.expr(contract).alias("contract"), "type", "ok", "score", "verdict", F.when(~F.col("ok"), F.array("type")).otherwise(F.array().cast("array<string>")).alias("blockers"))
 
 
 @query("dg5_outcome_verdicts", f"SELECT id, verdict FROM ({_VERDICTS})")
@@ -60,6 +60,15 @@ def _(spark, d):
     return s.select("contract", F.col("workflowVerdict").alias("workflow"), F.col("recommendedNextStep.action").alias("action"))
 
 
+_ALL_FLOWS = f"SELECT event_type || '-' || user_id AS contract, count(*) AS n, count(*) FILTER (verdict = 'ready') AS r, count(*) FILTER (verdict = 'blocked') AS b, count(*) FILTER (verdict = 'failed') AS f FROM ({_VERDICTS}) GROUP BY 1"
+
+
+@query("dg7_workflow_verdict_all", f"SELECT contract, n, CASE WHEN r = n THEN 'ready' WHEN b = n THEN 'blocked' WHEN f = n THEN 'failed' WHEN r > 0 THEN 'mixed' ELSE 'needs-review' END AS workflow, CASE WHEN r = n THEN 'run-contract-extraction' WHEN b = n THEN 'fix-access-first' WHEN f = n THEN 'do-not-automate' WHEN r > 0 THEN 'extract-ready-subset' ELSE 'manual-review' END AS action FROM ({_ALL_FLOWS})")
+def _(spark, d):
+    s = R.summarise(verdicts(spark, d, "event_type || '-' || user_id"))
+    return s.select("contract", F.col("totalUrls").cast("long").alias("n"), F.col("workflowVerdict").alias("workflow"), F.col("recommendedNextStep.action").alias("action"))
+
+
 @query("ag3_blockers", f"SELECT event_type AS contract, type AS blocker, count(*) AS n FROM ({CLASSED}) WHERE NOT ok GROUP BY ALL")
 def _(spark, d):
     return R.blockers_by_type(verdicts(spark, d))

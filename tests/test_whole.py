@@ -46,3 +46,22 @@ def test_every_document_meets_every_item(spark, grounds, monkeypatch, block):
     old = spark.createDataFrame(pairs, "doc_id long, item_id long, text string, value string")
     want = old.select("doc_id", "item_id", F.round(G.token_share(F.col("value"), F.col("text")), 6))
     assert rows(registry.QUERIES["j8_token_share_all"](spark, d)) == rows(want)
+
+
+def test_workflow_verdict_of_all_events(spark, tmp_path):
+    d = str(tmp_path)
+    # Numbers 70 and 90 are ready, 20 and 40 blocked, 4 and 24 failed, 1 and 2 need a review.
+    groups = {"ready-1": (70, 90), "blocked-2": (20, 40), "failed-3": (4, 24), "mixed-4": (70, 4, 1), "review-5": (1, 2, 20), "again-6": (4, 4)}
+    rows_ = [(k, int(g[-1]), g[:-2]) for g, ks in groups.items() for k in ks]
+    spark.createDataFrame(rows_, "event_id long, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
+    got = {r.contract: (r.n, r.workflow, r.action) for r in registry.QUERIES["dg7_workflow_verdict_all"](spark, d).collect()}
+    assert got == {
+        "ready-1": (2, "ready", "run-contract-extraction"), "blocked-2": (2, "blocked", "fix-access-first"), "failed-3": (2, "failed", "do-not-automate"),
+        "mixed-4": (3, "mixed", "extract-ready-subset"), "review-5": (3, "needs-review", "manual-review"), "again-6": (2, "failed", "do-not-automate"),
+    }
+
+
+def test_workflow_verdict_counts_every_event(spark):
+    d = "/root/testdata/sf0.001"
+    got = registry.QUERIES["dg7_workflow_verdict_all"](spark, d).agg(F.sum("n")).first()[0]
+    assert got == spark.read.parquet(f"{d}/events.parquet").count()
