@@ -51,6 +51,11 @@ def _(spark, d):
     return table(spark, d, "documents").filter("lang IN ('fr', 'es')").select("doc_id", G.normalised("text").alias("plain"))
 
 
+@query("st4_normalise_all")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", G.normalised("text").alias("plain"))
+
+
 @query("st5_canonical_number", r"SELECT o_orderkey, regexp_extract(replace(t, ',', ''), '\d+(?:\.\d+)?') AS number FROM (SELECT o_orderkey, 'about ' || CAST(o_orderkey AS BIGINT) || ',500.' || (o_orderkey % 90) || ' or 7' AS t FROM orders)")
 def _(spark, d):
     k = F.col("o_orderkey").cast("string")

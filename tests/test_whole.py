@@ -65,3 +65,24 @@ def test_workflow_verdict_counts_every_event(spark):
     d = "/root/testdata/sf0.001"
     got = registry.QUERIES["dg7_workflow_verdict_all"](spark, d).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{d}/events.parquet").count()
+
+
+def test_normalise_all_documents(spark, tmp_path):
+    import unicodedata
+
+    d = str(tmp_path)
+    cases = {
+        "\ufb01ne \u2460 \uff21\uff22": "fine 1 ab", "\u00c5ngstr\u00f6m \u212b": "angstrom a", "Stra\u00dfe \u00d8re": "stra\u00dfe \u00f8re", "\u0130x": "ix", "e\u0301\u0323": "e",
+        "\u0e01\u0e34": "\u0e01", "a\u00a0\t\n b\u3000": "a b", "x\u00b2 \u00bd": "x2 1\u20442", "": "",
+    }
+    langs = ["en", "de", "fr", "es", None, "xx"]
+    docs = [(i, t, langs[i % 6]) for i, t in enumerate(cases)] + [(99, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise_all"](spark, d).collect()}
+    assert got == {**dict(enumerate(cases.values())), 99: None}
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise_all"](spark, d).collect()}
+    brute = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")).lower().split())
+    assert got == {r.doc_id: brute(r.text) for r in docs} and len({r.lang for r in docs}) > 2
