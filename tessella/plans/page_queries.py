@@ -162,8 +162,7 @@ def _(spark, d):
 
 @query("ex21_phones", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}'), lambda p: length(regexp_replace(p, '\D', '', 'g')) >= 7))), '|') AS phones FROM documents WHERE len(list_distinct(list_filter(regexp_extract_all(text, '(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4}'), lambda p: length(regexp_replace(p, '\D', '', 'g')) >= 7))) BETWEEN 1 AND 20")
 def _(spark, d):
-    p = F.array_distinct(F.filter(C.all_matches(F.col("text"), C.PHONE), lambda x: F.length(F.regexp_replace(x, r"\D", "")) >= 7))
-    df = table(spark, d, "documents").withColumn("p", C.phones(F.col("text"))).filter(F.size(p).between(1, 20))
+    df = table(spark, d, "documents").withColumn("p", C.phones(F.col("text"))).filter(F.size("p") > 0)
     return df.select("doc_id", F.array_join(F.array_sort("p"), "|").alias("phones"))
 
 

@@ -86,3 +86,12 @@ def test_normalise_all_documents(spark, tmp_path):
     got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise_all"](spark, d).collect()}
     brute = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")).lower().split())
     assert got == {r.doc_id: brute(r.text) for r in docs} and len({r.lang for r in docs}) > 2
+
+
+def test_phones_of_documents_with_many(spark, tmp_path):
+    d = str(tmp_path)
+    many = [f"555-{100 + i}-{9000 - i}" for i in range(30)]
+    docs = [(1, " ; ".join([many[0], *many])), (2, " ; ".join(many[:20])), (3, many[5]), (4, "none"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    got = {r.doc_id: r.phones.split("|") for r in registry.QUERIES["ex21_phones"](spark, d).collect()}
+    assert got == {1: sorted(many[:20]), 2: sorted(many[:20]), 3: [many[5]]}
