@@ -19,7 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_ngram_jaccard": near_dup.ORACLE,
     "op9_topk": topk.ORACLE,
