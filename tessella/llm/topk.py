@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 QUERY_ROWS = 4096
 #: Candidates in a block, and the depths to which its lists are read.
 BLOCK_ROWS = 4096
-DEPTHS = (0.5, 1.0)
+DEPTHS = (0.5, 0.7, 0.8, 0.9, 1.0)
 #: Sums of products below this are exact in doubles.
 EXACT = 2.0**53
 
@@ -63,8 +63,11 @@ class Best:
         self.score[i, :m], self.vec[i, :m], self.full[i] = s[order], v[order], m
 
 
-def nra_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, best: Best) -> None:
-    """Take the block's candidates into ``best``. q and x: whole numbers held as doubles, one row a vector."""
+def nra_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, best: Best) -> int:
+    """Take the block's candidates into ``best``. q and x: whole numbers held as doubles, one row a vector.
+
+    Gives the number of pairs whose bounds don't exclude them, for which scores are resolved.
+    """
     n, k = len(x), best.k
     order = np.argsort(x, axis=0, kind="stable")
     lists = np.take_along_axis(x, order, axis=0)
@@ -96,6 +99,7 @@ def nra_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray,
             keep = score >= np.partition(score, len(c) - k)[len(c) - k]
             c, score = c[keep], score[keep]
         best.take(i, score, x_id[c])
+    return int(left.sum())
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

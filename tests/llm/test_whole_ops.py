@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessella.llm import quality as QU
+from tessella.llm import topk as TK
 
 
 def test_sql_that_checks_is_sql():
@@ -47,3 +48,17 @@ def test_quality_against_brute_force(spark, tmp_path):
     got = entry.queries()["op2_quality"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(len(want))) and [r.doc_id for r in got] == [k for _, k, _, _ in want]
     assert np.allclose([r.log_importance for r in got], [w for *_, w in want], atol=1e-9)
+
+
+def test_nra_excludes_outsiders():
+    rng = np.random.default_rng(5)
+    x, ids = np.floor(rng.normal(size=(1500, 64)) * 1024), np.arange(1500)
+    q, q_id = x[:15], ids[:15]
+    best = TK.Best(len(q), 10)
+    left = sum(TK.nra_block(q, q_id, x[s : s + 500], ids[s : s + 500], best) for s in range(0, 1500, 500))
+    assert left < 0.2 * len(q) * len(x)
+    score = q @ x.T
+    score[q_id, q_id] = -np.inf
+    for i in range(len(q)):
+        want = sorted(range(len(x)), key=lambda j: (-score[i, j], j))[:10]
+        assert best.vec[i].tolist() == want and best.score[i].tolist() == score[i, want].tolist()
