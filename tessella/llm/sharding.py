@@ -2,9 +2,10 @@
 
 Equal texts form one atomic group. Groups are ordered by a 64-bit hash of the text. The smallest
 capacity C for which a greedy left-to-right fill needs at most ``n_shards`` shards is found by binary
-search, and the order is cut there. No group list reaches the driver: the driver sees sums over at
-most 4096 hash blocks, and asks again only for the few blocks in which a cut can fall, until the
-binary search over known boundaries and the one that may cut anywhere give the same capacity.
+search, and the order is cut there. No group list reaches the driver: the driver sees sums over hash
+blocks, some ten thousands at once. First it asks for parts of heavy blocks, until a heavy group is a
+block of its own; then for parts of the blocks in which a cut can fall, until the binary search over
+known boundaries and the one that may cut anywhere give the same capacity.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import placed, written
 
-#: Bits of the hash told apart by one round of block sums.
+#: Bits of the hash told apart by the first round of block sums, and by a later one about, all its blocks together.
 BLOCK_BITS = 12
+ROUND_BITS = 16
+#: A block of several groups with more than this part of all bytes is split before cuts are looked for.
+HEAVY = 1 / 1024
 
 
 def _least(lo: int, hi: int, ok) -> int:
@@ -32,9 +36,9 @@ def _least(lo: int, hi: int, ok) -> int:
 
 
 class Blocks:
-    """Known part of the order: blocks (first key, last key, weight, groups, heaviest group), sorted."""
+    """Known part of the order: blocks (first key, last key, weight, groups, heaviest group, bits of the hash not looked at), sorted."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int, int]]):
+    def __init__(self, rows: list[tuple[int, int, int, int, int, int]]):
         self.rows = sorted(rows)
         self.prefix = [0]
         for r in self.rows:
@@ -57,6 +61,15 @@ class Blocks:
             at.append(v if v == self.prefix[i] or i >= len(self.rows) or self.rows[i][3] > 1 else max(at[-1], self.prefix[i]))
         return at
 
+    def least_cuts(self, n: int, cap: int) -> list[int]:
+        """Weights that the greedy cuts reach at least: a group that no longer fits begins within its own weight of the limit."""
+        at = [0]
+        for _ in range(n):
+            v = min(self.total, at[-1] + cap)
+            i = bisect_right(self.prefix, v) - 1
+            at.append(v if i >= len(self.rows) else max(at[-1], self.prefix[i], v - self.rows[i][4] + 1))
+        return at
+
     def bounds(self, n: int) -> tuple[int, int]:
         """Lower and upper bound of the smallest feasible capacity."""
         least = max(self.heaviest, -(-self.total // n))
@@ -65,10 +78,13 @@ class Blocks:
         return low, high
 
     def doubtful(self, n: int, low: int, high: int) -> list[int]:
-        """Blocks of several groups in which a greedy cut can fall for a capacity in [low, high]."""
-        first, last, out = self.whole(n, low), self.free(n, high), set()
+        """Blocks to split next: heavy ones of several groups, or else those in which a greedy cut can fall for a capacity in [low, high]."""
+        heavy = [i for i, r in enumerate(self.rows) if r[3] > 1 and r[2] > self.total * HEAVY]
+        if heavy:
+            return heavy
+        first, last, out = self.least_cuts(n, low), self.free(n, high), set()
         for k in range(1, n):
-            i, j = first[k], bisect_right(self.prefix, last[k]) - 1
+            i, j = (bisect_right(self.prefix, x[k]) - 1 for x in (first, last))
             out.update(x for x in range(i, min(j, len(self.rows) - 1) + 1) if self.rows[x][3] > 1)
         return sorted(out)
 
@@ -82,36 +98,38 @@ class Blocks:
         for k in range(n - 1, 0, -1):
             want = p[at] + -(-(self.total - p[at]) // (k + 1))
             i = bisect_left(p, want)
-            if i > at and i <= end and want - p[i - 1] <= p[min(i, end)] - want:
+            if i - 1 > at and i <= end and want - p[i - 1] <= p[min(i, end)] - want:
                 i -= 1
             at = max(min(i, bisect_right(p, p[at] + cap) - 1), latest[k], at)
             keys.append(self.rows[at][0] if at < end else (1 << 63))
         return keys
 
 
-def _block_sums(groups: DataFrame, shift: int, ranges: list[tuple[int, int]] | None) -> list[tuple[int, int, int, int, int]]:
-    if ranges is not None:
-        cond = F.lit(False)
-        for a, b in ranges:
-            cond = cond | F.col("key").between(a, b)
-        groups = groups.filter(cond)
-    per = groups.groupBy("key").agg(F.sum("size").alias("w"))
-    block = F.shiftright("key", shift) if shift else F.col("key")
-    out = per.groupBy(block.alias("b")).agg(F.min("key").alias("a"), F.max("key").alias("z"), F.sum("w").alias("w"), F.count("*").alias("n"), F.max("w").alias("m"))
-    return [(r.a, r.z, r.w, r.n, r.m) for r in out.collect()]
+def _block_sums(groups: DataFrame, split: list[tuple[int, int, int]] | None) -> list[tuple[int, int, int, int, int, int]]:
+    """Sums over the first blocks, or over parts of the blocks ``split``: (first key, last key, bits not looked at)."""
+    if split is None:
+        groups = groups.withColumn("shift", F.lit(64 - BLOCK_BITS))
+    else:
+        # A row for each block and each first-round block that it lies in; rows of the table meet theirs by an equi-join.
+        top = 64 - BLOCK_BITS
+        pieces = [(t, a, z, s) for a, z, s in split for t in range(a >> top, (z >> top) + 1)]
+        wanted = groups.sparkSession.createDataFrame(pieces, "top long, a long, z long, shift int")
+        at = F.shiftright("key", top) == F.col("top")
+        groups = groups.join(F.broadcast(wanted), at & F.col("key").between(F.col("a"), F.col("z"))).select("key", "size", "shift")
+    per = groups.groupBy("key", "shift").agg(F.sum("size").alias("w"))
+    out = per.groupBy(F.expr("shiftright(key, shift)").alias("b"), "shift").agg(F.min("key").alias("a"), F.max("key").alias("z"), F.sum("w").alias("w"), F.count("*").alias("n"), F.max("w").alias("m"))
+    return [(r.a, r.z, r.w, r.n, r.m, r["shift"]) for r in out.collect()]
 
 
 def capacity(rows: DataFrame, n_shards: int) -> tuple[int, Blocks]:
     """Smallest feasible capacity over atomic groups (rows: key long, size long), with the blocks that show it."""
-    shift = 64 - BLOCK_BITS
-    blocks = Blocks(_block_sums(rows, shift, None))
+    blocks = Blocks(_block_sums(rows, None))
     low, high = blocks.bounds(n_shards)
-    while low < high and shift > 0:
-        shift = max(0, shift - BLOCK_BITS)
-        split = blocks.doubtful(n_shards, low, high)
-        ranges = [blocks.rows[i][:2] for i in split]
-        kept = set(range(len(blocks.rows))) - set(split)
-        blocks = Blocks([blocks.rows[i] for i in kept] + _block_sums(rows, shift, ranges))
+    while low < high and (split := blocks.doubtful(n_shards, low, high)):
+        bits = max(1, ROUND_BITS - len(split).bit_length())
+        parts = [(blocks.rows[i][0], blocks.rows[i][1], max(0, blocks.rows[i][5] - bits)) for i in split]
+        gone = set(split)
+        blocks = Blocks([r for i, r in enumerate(blocks.rows) if i not in gone] + _block_sums(rows, parts))
         low, high = blocks.bounds(n_shards)
     return high, blocks
 
@@ -132,11 +150,8 @@ def minimax_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     ), "sizes")
     rows = placed(rows, F.col("key"), F.col("doc_id"))
     cap, blocks = capacity(rows, n_shards)
-    shard = F.lit(0)
-    for key in blocks.cuts(n_shards, cap):
-        if key < 1 << 63:
-            shard = shard + (F.col("key") >= F.lit(key)).cast("int")
-    rows = rows.withColumn("shard", shard.cast("int"))
+    cuts = F.lit([k for k in blocks.cuts(n_shards, cap) if k < 1 << 63]).cast("array<long>")
+    rows = rows.withColumn("shard", F.size(F.filter(cuts, lambda c: c <= F.col("key"))).cast("int"))
     # In a sorted partition the rows of a shard are consecutive: one row for each partition, and one more for each cut.
     runs = rows.groupBy("pid", "shard").agg(F.min("idx").alias("start"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("pid")) - F.col("n")

@@ -39,7 +39,10 @@ def brute_capacity(weights, n):
             u += w
         return k
 
-    return SH._least(max(weights), sum(weights), lambda c: need(c) <= n)
+    c = max(max(weights), -(-sum(weights) // n))
+    while need(c) > n:
+        c += 1
+    return c
 
 
 @pytest.mark.parametrize("n", [1, 3, 8, 50])
@@ -59,7 +62,7 @@ def test_blocks_converge_on_random_weights():
         keys = sorted(rng.sample(range(-(1 << 40), 1 << 40), 200))
         w = [rng.choice((1, 5, 400)) * rng.randint(1, 9) for _ in keys]
         n = rng.randint(2, 9)
-        blocks = SH.Blocks([(k, k, x, 1, x) for k, x in zip(keys, w, strict=True)])
+        blocks = SH.Blocks([(k, k, x, 1, x, 0) for k, x in zip(keys, w, strict=True)])
         low, high = blocks.bounds(n)
         assert low == high == brute_capacity(w, n)
         cuts = blocks.cuts(n, high)
@@ -69,6 +72,35 @@ def test_blocks_converge_on_random_weights():
         assert max(sums.values()) <= high
 
 
+@pytest.mark.parametrize("copies", [3_000, 12_000])
+def test_sharding_with_one_heavy_group(spark, copies):
+    """More groups than first blocks, and one text with a fifth or half of all rows."""
+    rows = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    docs = rows.union(spark.range(copies).select((F.col("id") + 20_000).alias("doc_id"), F.lit("t17").alias("text")))
+    r = SH.minimax_shards(docs, 8).toPandas()
+    groups = docs.selectExpr("xxhash64(text) k", "octet_length(text) + 1 w").groupBy("k").agg(F.sum("w").alias("w")).orderBy("k").toPandas()
+    sums = r.groupby("shard")["size"].sum()
+    assert len(r) == 12_000 + copies and len(sums) == 8 and sums.max() == brute_capacity(groups.w.tolist(), 8)
+    assert r.groupby("text_crc32").shard.nunique().max() == 1 and r.doc_id.is_unique
+
+
+def test_split_rounds_stay_small():
+    """With a heavy group, what is asked for again stays a small part of the blocks."""
+    rng = random.Random(8)
+    for share in (0.05, 0.2, 0.45):
+        rows, heavy = [], 4096 * 100 * share / (1 - share)
+        for i in range(4096):
+            w = rng.randint(80, 120)
+            rows.append((i << 52, (i << 52) + 9_000, w, 10, 15, 52))
+        rows[1700] = (1700 << 52, (1700 << 52) + 9_000, int(100 + heavy), 10, int(heavy), 52)
+        b = SH.Blocks(rows)
+        assert b.doubtful(8, *b.bounds(8)) == [1700]
+        at = 1700 << 52
+        b = SH.Blocks(rows[:1700] + [(at, at, 50, 1, 50, 40), (at + 1, at + 1, int(heavy), 1, int(heavy), 40), (at + 2, at + 9_000, 50, 1, 50, 40)] + rows[1701:])
+        low, high = b.bounds(8)
+        assert low == high or len(b.doubtful(8, low, high)) < 200
+
+
 def test_sharding_of_odd_rows(spark, odd, none):
     r = SH.minimax_shards(odd, 3).toPandas()
     assert len(r) == odd.count() and r["size"].min() == 1
