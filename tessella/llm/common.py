@@ -33,23 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def relax(spark: SparkSession) -> None:
-    """Ask executors to collect garbage, so that the heap that one phase grew isn't held through the next.
-
-    Where memory is watched from outside, a large heap counts twice for a moment when the JVM starts a
-    child process, as it does to set the permissions of a local file.
-    """
-    if not spark.sparkContext.master.startswith("local["):
-        n = spark.sparkContext.defaultParallelism
-        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{_run_folder(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    relax(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,8 +62,13 @@ def _run_folder(shared: str, app: str) -> str:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands texts to Python in batches of BATCH bytes: bounds both sides' memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    """``df``, in a session that hands texts to Python in batches of BATCH bytes: bounds both sides' memory.
+
+    The setting is the session's, as Spark has none for a single table. One that the user has made stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH)
     return df
 
 
@@ -103,22 +96,26 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-#: Slots of a bit field over keys: bounds what is collected and broadcast.
-SLOTS = 1 << 23
+#: Bits of a field over keys, for each key, and at least and at most: bounds what is collected and broadcast.
+KEY_SHARE, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 27
 
 
 def bit_field(keys: DataFrame, name: str) -> np.ndarray:
-    """SLOTS bits, set where a key (long) of ``keys`` falls."""
-    slots = keys.select(F.pmod(name, F.lit(SLOTS)).cast("int").alias("slot"))
+    """A field of bits (a power of two), set where a key (long) of ``keys`` falls."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_SHARE * keys.count()).bit_length()))
+    slots = keys.select(F.pmod(name, F.lit(size)).cast("int").alias("slot"))
     bits = slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("b"))
-    field = np.zeros(SLOTS // 32, np.uint32)
-    for r in bits.collect():  # SLOTS / 32 rows at most
-        field[r.w] = r.b
+    got = bits.toArrow()  # size / 32 narrow rows at most
+    field = np.zeros(size // 32, np.uint32)
+    field[got.column("w").to_numpy()] = got.column("b").to_numpy()
     return field
 
 
-def in_field(df: DataFrame, name: str, field: np.ndarray) -> DataFrame:
-    """Rows whose key may be in the field: others are dropped before they are shuffled for a join that drops them anyway."""
+def in_field(df: DataFrame, name: str, field: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose key may be in the field: others are dropped before they are shuffled for a join that drops them anyway.
+
+    Not ``inside``: the rows whose key surely isn't.
+    """
     import pyarrow as pa
 
     held = df.sparkSession.sparkContext.broadcast(field)
@@ -126,8 +123,8 @@ def in_field(df: DataFrame, name: str, field: np.ndarray) -> DataFrame:
     def run(batches):  # noqa: ANN001, ANN202
         f = held.value
         for b in batches:
-            s = np.mod(b.column(b.schema.names.index(name)).to_numpy(), SLOTS)
-            yield b.filter(pa.array(((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)))
+            s = np.mod(b.column(b.schema.names.index(name)).to_numpy(), 32 * len(f))
+            yield b.filter(pa.array(((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool) == inside))
 
     return small_batches(df).mapInArrow(run, df.schema)
 

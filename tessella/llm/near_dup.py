@@ -1,7 +1,7 @@
 """Near duplicates by a signature-tree join on word shingles.
 
 1. One pass over the texts makes each document's set of shingle hashes, and from it a *node*: a
-   64-bit fingerprint of the whole set. Equal sets share a node, so copies are one node from here on.
+   128-bit fingerprint of the whole set. Equal sets share a node, so copies are one node from here on.
 2. A lossless partition brings together the nodes that can be similar. If J(A, B) >= t, then at most
    d(A) = |A| (1 - t) / t hashes tell A from B. The hash space is cut into k equal ranges; a range
    whose hashes are the same in both gives both the same key. A set with more than d(A) non-empty
@@ -19,7 +19,10 @@
    the sets of those that stay, and compares what it can't prune.
 4. Connected components over the links found. In a second round, whole stars (with the stars of their
    members from single tasks) that still lie in several components and hold pairs that no block has
-   seen get all their blocks and pairs of blocks compared, by the same tree.
+   seen are joined by blocks again. A block holds members of one component, or of small components
+   only, and is packed into one row with its size range; two blocks are paired where they hold
+   different components and sizes allow a link, so that a large group of copies that the first
+   round has connected isn't compared with itself. The same tree joins each pair of blocks.
 
 Every link between different sets is found or lies within a component already; nothing is capped.
 """
@@ -31,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import MASK64, mix64, release, shingle_set, shuffle_parts, small_batches, text_bytes, written
+from tessella.llm.common import MASK64, bit_field, in_field, mix64, release, shingle_set, shuffle_parts, small_batches, text_bytes, written
 
 #: Largest size over smallest size in a size class.
 CLASS_RATIO = 1.5
@@ -48,8 +51,8 @@ SEEN = 200_000
 LOCAL = 8
 #: Bits of a key. Keys that collide bring nodes together in vain; the tree tells.
 KEY_BITS = 48
-#: Slots of the bit field that tells which documents are read again.
-SLOTS = 1 << 23
+#: Rows that a key of many members is dealt to when it meets its one row of another table.
+SALTS = 32
 
 
 class Measure:
@@ -93,11 +96,26 @@ def size_class(n: int) -> int:
     return c
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """64-bit fingerprint of a set; 0 marks the empty set."""
-    from xxhash import xxh3_64_intdigest
+def fingerprint(s: np.ndarray) -> bytes:
+    """128-bit fingerprint of a set; all zeros mark the empty set."""
+    from xxhash import xxh3_128_digest
 
-    return (xxh3_64_intdigest(s.tobytes()) or 1) if len(s) else 0
+    return xxh3_128_digest(s.tobytes()) if len(s) else bytes(16)
+
+
+def halves(fps: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of two uint64."""
+    return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def ranked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and the place of each row among them."""
+    order = np.lexsort((fps[:, 1], fps[:, 0]))
+    fresh = np.ones(len(fps), bool)
+    fresh[1:] = (fps[order][1:] != fps[order][:-1]).any(axis=1)
+    place = np.empty(len(fps), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return fps[order][fresh], place
 
 
 def keys_of(s: np.ndarray, m: Measure) -> np.ndarray:
@@ -301,9 +319,9 @@ def tree_survivors(sizes: list[int], sigs: list[bytes], m: Measure, side: list[i
     return [i for i, x in enumerate(tree.marked) if x]
 
 
-DEALT = "bucket int, doc_id long, copy long, n long, node long, other long, shared long, sig binary, blob binary"
-_KINDS = (pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary())
-_NAMES = ["bucket", "doc_id", "copy", "n", "node", "other", "shared", "sig", "blob"]
+DEALT = "bucket int, doc_id long, copy long, n long, node long, node2 long, other long, other2 long, shared long, sig binary, blob binary"
+_KINDS = (pa.int32(), *[pa.int64()] * 8, pa.binary(), pa.binary())
+_NAMES = ["bucket", "doc_id", "copy", "n", "node", "node2", "other", "other2", "shared", "sig", "blob"]
 
 
 def _rows(length: int, /, **cols) -> pa.RecordBatch:
@@ -311,6 +329,11 @@ def _rows(length: int, /, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, names=_NAMES)
 
 
+def _two(first: str, fps: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of fingerprints."""
+    return {first: np.ascontiguousarray(fps[:, 0]).view(np.int64), f"{first}2": np.ascontiguousarray(fps[:, 1]).view(np.int64)}
+
+
 def _planes(x: np.ndarray) -> bytes:
     """uint64s as byte planes, compressed: small numbers cost little."""
     import zstandard
@@ -325,28 +348,29 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def pack_keys(keys: np.ndarray, nodes: np.ndarray) -> bytes:
-    """Sorted keys with a node each."""
-    table, place = np.unique(nodes, return_inverse=True)
-    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), _planes(place.astype(np.uint64)), table.astype("<u8").tobytes()]
+def pack_keys(keys: np.ndarray, place: np.ndarray, fps: np.ndarray) -> bytes:
+    """Sorted keys, each with the fingerprint at its place."""
+    used, place = np.unique(place, return_inverse=True)
+    parts = [_planes(np.diff(keys, prepend=np.uint64(0))), _planes(place.astype(np.uint64)), fps[used].astype("<u8").tobytes()]
     return b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
 
 
-def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, places, fingerprints."""
     a, b, c = (int.from_bytes(blob[8 * i : 8 * i + 8], "little") for i in range(3))
     deltas, place = _unplanes(blob[24 : 24 + a]), _unplanes(blob[24 + a : 24 + a + b])
-    table = np.frombuffer(blob, "<u8", c // 8, 24 + a + b)
-    return np.cumsum(deltas, dtype=np.uint64), table[place.astype(np.int64)]
+    fps = np.frombuffer(blob, "<u8", c // 8, 24 + a + b).reshape(-1, 2).astype(np.uint64)
+    return np.cumsum(deltas, dtype=np.uint64), place.astype(np.int64), fps
 
 
 def _star_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (centre, node) over equal keys with the number of keys; k and v are sorted by key, then node."""
+    """Distinct (centre, place) over equal keys with the number of keys; k and v are sorted by key, then place."""
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     centre = v[first][np.cumsum(first) - 1] if len(k) else v
     pick = v != centre
     if not pick.any():
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     pairs, n = np.unique(np.stack((centre[pick], v[pick])), axis=1, return_counts=True)
     return pairs[0], pairs[1], n
 
@@ -354,8 +378,9 @@ def _star_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _features(split, width: int, m: Measure, buckets: int):
     """Batches (doc_id, copy, text bytes) -> a row for each document, local stars (node, other), and blobs of keys."""
 
-    def give(keys: list[np.ndarray], nodes: list[int], counts: list[int]) -> Iterator[pa.RecordBatch]:
-        k, v = np.concatenate(keys), np.repeat(np.array(nodes, np.uint64), counts)
+    def give(keys: list[np.ndarray], nodes: list[bytes], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        fps, place = ranked(halves(nodes))
+        k, v = np.concatenate(keys), np.repeat(place, counts)
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
         first = np.ones(len(k), bool)
@@ -364,17 +389,17 @@ def _features(split, width: int, m: Measure, buckets: int):
         many = np.repeat(np.diff(np.append(at, len(k))) > LOCAL, np.diff(np.append(at, len(k))))
         if many.any():
             a, b, n = _star_pairs(k[many], v[many])
-            yield _rows(len(a), bucket=(a % np.uint64(buckets)).astype(np.int32), node=a.view(np.int64), other=b.view(np.int64), shared=n)
+            yield _rows(len(a), bucket=(fps[a, 0] % np.uint64(buckets)).astype(np.int32), **_two("node", fps[a]), **_two("other", fps[b]), shared=n)
             k, v = k[~many | first], v[~many | first]
         edges = np.fromiter(((i << KEY_BITS) // buckets for i in range(1, buckets)), np.uint64, buckets - 1)
         cut = np.concatenate(([0], np.searchsorted(k, edges), [len(k)]))
         full = [i for i in range(buckets) if cut[i + 1] > cut[i]]
         for s in range(0, len(full), 64):
-            yield _rows(len(full[s : s + 64]), bucket=full[s : s + 64], blob=[pack_keys(k[cut[i] : cut[i + 1]], v[cut[i] : cut[i + 1]]) for i in full[s : s + 64]])
+            yield _rows(len(full[s : s + 64]), bucket=full[s : s + 64], blob=[pack_keys(k[cut[i] : cut[i + 1]], v[cut[i] : cut[i + 1]], fps) for i in full[s : s + 64]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, counts, held = [], [], [], 0
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             sizes, marks, sigs = [], [], []
             for text in batch.column("text"):
@@ -383,7 +408,7 @@ def _features(split, width: int, m: Measure, buckets: int):
                 sizes.append(len(s))
                 marks.append(fp)
                 sigs.append(None)
-                if not fp or fp in seen:
+                if not len(s) or fp in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(fp)
@@ -397,8 +422,9 @@ def _features(split, width: int, m: Measure, buckets: int):
                 if held > FLUSH_KEYS:
                     yield from give(keys, nodes, counts)
                     keys, nodes, counts, held = [], [], [], 0
-            fp = np.array(marks, np.uint64)
-            yield _rows(len(sizes), bucket=(mix64(fp + np.arange(len(fp), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=batch.column("doc_id"), copy=batch.column("copy"), n=sizes, node=fp.view(np.int64), sig=sigs)
+            fp = halves(marks)
+            spread = mix64(fp[:, 0] + np.arange(len(fp), dtype=np.uint64)) % np.uint64(buckets)
+            yield _rows(len(sizes), bucket=spread.astype(np.int32), doc_id=batch.column("doc_id"), copy=batch.column("copy"), n=sizes, **_two("node", fp), sig=sigs)
         if keys:
             yield from give(keys, nodes, counts)
             keys, nodes, counts = [], [], []
@@ -414,13 +440,15 @@ def _join_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def give() -> Iterator[pa.RecordBatch]:
         if held:
-            both = [unpack_keys(x) for x in held]
-            k, v = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+            found = [unpack_keys(x) for x in held]
+            fps, rank = ranked(np.concatenate([x for *_, x in found]))
+            starts = np.cumsum([0, *(len(x) for *_, x in found)])
+            k, v = np.concatenate([x for x, *_ in found]), np.concatenate([rank[x + s] for (_, x, _), s in zip(found, starts, strict=False)])
             order = np.lexsort((v, k))
             a, b, shared = _star_pairs(k[order], v[order])
             for s in range(0, len(a), 100_000):
-                n = len(a[s : s + 100_000])
-                yield _rows(n, bucket=[bucket] * n, copy=[1] * n, node=a[s : s + n].view(np.int64), other=b[s : s + n].view(np.int64), shared=shared[s : s + n])
+                x, y = fps[a[s : s + 100_000]], fps[b[s : s + 100_000]]
+                yield _rows(len(x), bucket=[bucket] * len(x), copy=[1] * len(x), **_two("node", x), **_two("other", y), shared=shared[s : s + len(x)])
         held.clear()
 
     for batch in batches:
@@ -457,6 +485,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def spread(df: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """``df`` (a stored table with ``node``) and column blocks of the row of ``sizes`` (keys, blocks) with its keys, else null.
+
+    Only rows that may find one are shuffled, and those of one key are dealt to SALTS places.
+    """
+    names = df.columns
+    field = bit_field(sizes.select(F.xxhash64(*keys).alias("h")), "h")
+    if not field.any():
+        return df.withColumn("blocks", F.lit(None).cast("int"))
+    marked = df.withColumn("__h", F.xxhash64(*keys))
+    near = in_field(marked, "__h", field).withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    salted = sizes.select(*keys, "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    none = in_field(marked, "__h", field, inside=False).select(*names, F.lit(None).cast("int").alias("blocks"))
+    return near.join(salted, [*keys, "__salt"], "left").select(*names, "blocks").union(none)
+
+
+PACKED = "block string, centre long, comp long, low long, high long, payload binary"
+
+
+def pack_block(rows: list[dict]) -> bytes:
+    """The members of a block (node, n, comp, sig)."""
+    lens = np.array([len(r["sig"]) for r in rows], "<i8")
+    cols = [np.array([r[c] for r in rows], "<i8") for c in ("node", "n", "comp")]
+    return b"".join([len(rows).to_bytes(8, "little"), *(x.tobytes() for x in (*cols, lens)), *(r["sig"] for r in rows)])
+
+
+def unpack_block(blob: bytes) -> list[tuple[int, int, int, bytes]]:
+    k = int.from_bytes(blob[:8], "little")
+    node, n, comp, lens = (np.frombuffer(blob, "<i8", k, 8 + 8 * k * i).tolist() for i in range(4))
+    ends = (8 + 32 * k + np.cumsum([0, *lens])).tolist()
+    return [(a, b, c, blob[x:y]) for a, b, c, x, y in zip(node, n, comp, ends, ends[1:], strict=False)]
+
+
 class NearDuplicates:
     """The join over ``docs``; ``split`` cuts a text's bytes into words."""
 
@@ -467,39 +528,67 @@ class NearDuplicates:
         found = self.docs.mapInArrow(_features(split, width, m, parts), DEALT)
         dealt = found.repartition(parts, "bucket").sortWithinPartitions("bucket")
         self.dealt = written(dealt.mapInArrow(_join_buckets, DEALT).drop("blob"), "dealt")
-        self.rows = self.dealt.filter("other is null").select("doc_id", "copy", "n", "node")
-        stars = self.dealt.filter("other is not null").groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"), F.sum("shared").alias("shared"))
-        self.stars = written(stars, "stars")
-        first = self.dealt.filter("other is null").groupBy("node").agg(F.min(F.struct("doc_id", "copy", "n")).alias("f"), F.max("sig").alias("sig"))
-        wanted = self.stars.select("node").union(self.stars.select("centre")).distinct()
-        self.nodes = written(first.join(wanted, "node", "left_semi").select("node", "f.*", "sig"), "nodes")
+        self.rows = self.dealt.filter("other is null").select("doc_id", "copy", "n", "node", "node2")
+        stars = self.dealt.filter("other is not null")
+        wanted = stars.select("node", "node2").union(stars.select("other", "other2")).distinct()
+        first = self.dealt.filter("other is null").groupBy("node", "node2").agg(F.min(F.struct("doc_id", "copy", "n")).alias("f"), F.max("sig").alias("sig"))
+        nodes = written(first.join(wanted, ["node", "node2"], "left_semi").select("node", "node2", "f.*", "sig"), "nodes")
+        self.clashes = self._clashes(nodes)
+        self.nodes = self._short(nodes, "node").select("node", "doc_id", "copy", "n", "sig")
+        self.full = self._short(nodes.select("node", "node2", F.col("node").alias("first")), "node").select("node", "first", "node2")
+        found = self._short(self._short(stars, "node"), "other")
+        mine = found.groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"), F.sum("shared").alias("shared"))
+        self.stars = written(mine, "stars")
+        self.local = found.filter("copy IS NULL").select(F.col("node").alias("mid"), F.col("other").alias("node")).distinct()
+
+    @staticmethod
+    def _clashes(nodes: DataFrame) -> DataFrame | None:
+        """A node goes by the first half of its fingerprint. Nodes whose first half another has get a new number each (node, node2, short)."""
+        twice = nodes.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
+        if twice.isEmpty():
+            return None
+        same, seed = nodes.join(twice, "node", "left_semi").select("node", "node2"), 0
+        while True:
+            new = written(same.select("node", "node2", F.xxhash64(F.lit(seed), "node", "node2").alias("short")), "clashes")
+            taken = nodes.select(F.col("node").alias("short")).union(new.select("short")).groupBy("short").agg(F.count("*").alias("k"))
+            if taken.filter("k > 1").join(new, "short", "left_semi").isEmpty():
+                return new
+            seed += 1
+
+    def _short(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the number of a node in column ``name``, by which nodes go from here on."""
+        if self.clashes is None:
+            return df
+        c = self.clashes.select(F.col("node").alias("__a"), F.col("node2").alias("__b"), "short")
+        out = df.join(c, (df[name] == c["__a"]) & (df[f"{name}2"] == c["__b"]), "left")
+        return out.withColumn(name, F.coalesce("short", name)).select(*df.columns)
 
     def with_texts(self, members: DataFrame) -> DataFrame:
         """members and the text (zstandard) of one document of each node, in a scan that drops other documents before the shuffle."""
-        members = members.join(self.nodes.select("node", "copy"), "node")
-        slots = members.select(F.pmod("copy", F.lit(SLOTS)).cast("int").alias("slot"))
-        bits = slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("b"))
-        field = np.zeros(SLOTS // 32, np.uint32)
-        for r in bits.collect():  # SLOTS / 32 rows at most
-            field[r.w] = r.b
-        held = self.spark.sparkContext.broadcast(field)
+        members = members.join(self.nodes.select("node", "copy", F.col("doc_id").alias("id")), "node")
+        wanted = in_field(self.docs, "copy", bit_field(members.select("copy").distinct(), "copy"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
-            f, pack = held.value, zstandard.ZstdCompressor(level=1).compress
+            pack = zstandard.ZstdCompressor(level=1).compress
+            seen: set[tuple] = set()  # equal rows: one of a task goes on
             for b in batches:
-                copy = b.column("copy").to_numpy()
-                s = np.mod(copy, SLOTS)
-                pick = np.flatnonzero((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1)
+                keys = list(zip(b.column("copy").to_pylist(), b.column("doc_id").to_pylist(), strict=True))
+                pick = []
+                for i, k in enumerate(keys):
+                    if k not in seen:
+                        pick.append(i)
+                        if len(seen) < SEEN:
+                            seen.add(k)
                 texts = b.column("text")
-                yield pa.RecordBatch.from_arrays([pa.array(copy[pick]), pa.array([pack(texts[int(i)].as_py()) for i in pick], pa.binary())], names=["copy", "text"])
+                yield pa.RecordBatch.from_arrays([b.column("copy").take(pa.array(pick, pa.int64())), b.column("doc_id").take(pa.array(pick, pa.int64())), pa.array([pack(texts[i].as_py()) for i in pick], pa.binary())], names=["copy", "id", "text"])
 
-        docs = self.docs.select("copy", "text").mapInArrow(run, "copy long, text binary")
-        return members.join(docs, "copy").drop("copy")
+        docs = wanted.mapInArrow(run, "copy long, id long, text binary")
+        return members.join(docs, (members["copy"] == docs["copy"]) & members["id"].eqNullSafe(docs["id"])).drop("copy", "id")
 
     def survivors(self, members: DataFrame) -> DataFrame:
-        """The members that may link with another of their block, by size and bitmap."""
+        """The members (block string, node) that may link with another of their block, by size and bitmap."""
         m = self.m
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,28 +597,43 @@ class NearDuplicates:
             def give() -> pa.RecordBatch:
                 use = [rows[k] for k in sorted(rows)]
                 rows.clear()
-                sides = None if not use or use[0]["side"] is None else [r["side"] for r in use]
-                known = None if not use or use[0]["comp"] is None else [r["comp"] for r in use]
-                stay = [use[i] for i in tree_survivors([r["n"] for r in use], [r["sig"] for r in use], m, sides, known)]
-                return pa.RecordBatch.from_arrays([pa.array([r[c] for r in stay], k) for c, k in (("block", pa.string()), ("node", pa.int64()), ("side", pa.int32()), ("comp", pa.int64()))], names=["block", "node", "side", "comp"])
+                stay = [use[i] for i in tree_survivors([r["n"] for r in use], [r["sig"] for r in use], m)]
+                return _survivors([block] * len(stay), [r["node"] for r in stay])
 
             for b in batches:
                 for r in b.to_pylist():
                     if r["block"] != block:
                         yield give()
                         block = r["block"]
-                    rows[r["node"], r["side"] or 0] = r
+                    rows[r["node"]] = r
             yield give()
             release()
 
-        known = members.join(self.nodes.select("node", "n", "sig"), "node").select("block", "node", "side", "comp", "n", "sig")
+        known = members.join(self.nodes.select("node", "n", "sig"), "node").select("block", "node", "n", "sig")
         dealt = known.repartition("block").sortWithinPartitions("block")
-        return written(dealt.mapInArrow(run, "block string, node long, side int, comp long"), "survivors")
+        return written(dealt.mapInArrow(run, SURVIVORS), "survivors")
+
+    def pair_survivors(self, pairs: DataFrame) -> DataFrame:
+        """The members of pairs of packed blocks (block, a, b: payloads; b null: a with itself) that may link across, by size and bitmap."""
+        m = self.m
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    rows = unpack_block(r["a"])
+                    side = None if r["b"] is None else [0] * len(rows)
+                    if side is not None:
+                        rows += unpack_block(r["b"])
+                        side += [1] * (len(rows) - len(side))
+                    stay = tree_survivors([x[1] for x in rows], [x[3] for x in rows], m, side, [x[2] for x in rows])
+                    yield _survivors([r["block"]] * len(stay), [rows[i][0] for i in stay], side and [side[i] for i in stay], [rows[i][2] for i in stay])
+            release()
+
+        return written(pairs.mapInArrow(run, SURVIVORS), "survivors")
 
     def block_links(self, members: DataFrame) -> DataFrame:
-        """Links within blocks. members: block string, node, side int (null: all pairs), comp long (null: unknown)."""
+        """Links within blocks, of what ``survivors`` or ``pair_survivors`` left."""
         split, width, m = self.split, self.width, self.m
-        members = self.survivors(members)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
@@ -560,56 +664,123 @@ class NearDuplicates:
         return dealt.mapInArrow(run, "a long, b long")
 
     @staticmethod
-    def sized(groups: DataFrame) -> DataFrame:
-        """centre, k (members), blocks of groups (centre, node, n)."""
-        size = groups.groupBy("centre").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
-        return size.select("centre", "k", F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    def sized(groups: DataFrame, *keys: str) -> DataFrame:
+        """keys, k (members), total (shingles), blocks of groups (keys, n)."""
+        size = groups.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+        return size.select(*keys, "k", "total", _blocks("k", "total").alias("blocks"))
 
     def links(self) -> DataFrame:
         """Pairs of nodes that link, enough of them to connect each component."""
         sizes = self.nodes.select("node", "n")
-        stars = self.stars.join(sizes, "node")
         best = self.stars.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
         chosen = written(best.join(sizes, "node").select("centre", "node", "n"), "chosen")
-        size = self.sized(chosen)
-        part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        rest = chosen.join(size, "centre").select("centre", "node", part.alias("part"))
+        size = written(self.sized(chosen, "centre"), "sizes")
+        rest = spread(chosen, ["centre"], size.filter("blocks > 1").select("centre", "blocks")).select("centre", "node", _part().alias("part"))
         centres = size.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-        members = rest.union(centres).select(F.concat_ws(".", "centre", "part").alias("block"), "node", F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("comp"))
-        links = written(self.block_links(members), "found")
+        members = rest.union(centres).select(F.concat_ws(".", "centre", "part").alias("block"), "node")
+        links = written(self.block_links(self.survivors(members)), "found")
 
         # Stars that may hold pairs no block has seen, and are in several components: not those that were one block.
         # A member taken over from a task stands for its own star there: what range of components that has.
         labels = components(links)
         comp = self.nodes.join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
-        local = self.dealt.filter("other IS NOT NULL AND copy IS NULL").select(F.col("node").alias("mid"), F.col("other").alias("node")).distinct()
-        within = local.join(comp, "node").groupBy("mid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        within = self.local.join(comp, "node").groupBy("mid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         mine = self.stars.select("centre", "node", "top").union(self.stars.select("centre", F.col("centre").alias("node"), F.lit(0).alias("top")).distinct())
         mine = mine.join(comp, "node").join(within, (F.col("top") == 1) & (F.col("node") == F.col("mid")), "left")
         span = mine.groupBy("centre").agg(F.min(F.least("comp", "low")).alias("low"), F.max(F.greatest("comp", "high")).alias("high"), F.count("mid").alias("below"), (F.count("*") - 1).alias("k"))
         whole = size.select("centre", F.col("k").alias("chosen"), F.col("blocks").alias("b"))
         open_ = span.filter("low < high").join(whole, "centre", "left").filter("below > 0 OR NOT coalesce(k = chosen AND b = 1, false)").select("centre")
         open_ = written(open_, "open")
-        star = self.stars.join(open_, "centre", "left_semi")
-        below = star.filter("top = 1").select("centre", F.col("node").alias("mid")).join(local, "mid").select("centre", "node")
+        star = spread(self.stars, ["centre"], open_.withColumn("blocks", F.lit(1))).filter("blocks IS NOT NULL")
+        star = written(star.select("centre", "node", "top"), "star")
+        below = star.filter("top = 1").select("centre", F.col("node").alias("mid")).join(self.local, "mid").select("centre", "node")
         group = star.select("centre", "node").union(below).union(open_.select("centre", F.col("centre").alias("node"))).distinct()
         group = written(group.join(comp, "node").select("centre", "node", "n", "comp"), "groups")
-        dealt = group.join(self.sized(group), "centre").withColumn("part", part).repartition("node", "centre")
-        pairs = dealt.select("centre", "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        low, high = F.least("part", "other"), F.greatest("part", "other")
-        side = F.when(low < high, (F.col("part") == high).cast("int"))
-        again = pairs.select(F.concat_ws(".", "centre", low, high).alias("block"), "node", side.alias("side"), "comp")
-        return links.union(written(self.block_links(again), "found"))
+        return links.union(written(self.block_links(self.pair_survivors(self.pairs(group))), "found"))
+
+    def pairs(self, group: DataFrame) -> DataFrame:
+        """block, a, b: pairs of packed blocks of a star's members (centre, node, n, comp) that may hold a link between components."""
+        per = written(self.sized(group, "centre", "comp"), "comps")
+        own = per.filter((F.col("k") * 2 >= BLOCK_NODES) | (F.col("total") * 2 >= BLOCK_SHINGLES))
+        pool = per.join(own, ["centre", "comp"], "left_anti").groupBy("centre").agg(F.sum("k").alias("k"), F.sum("total").alias("total"), F.count("*").alias("comps"))
+        pool = written(pool.select("centre", "comps", _blocks("k", "total").alias("blocks")), "pool")
+        own = written(own.select("centre", "comp", "blocks"), "own")
+        dealt = written(spread(group, ["centre", "comp"], own).withColumnRenamed("blocks", "mine"), "members")
+        dealt = spread(dealt.filter("mine IS NULL").drop("mine"), ["centre"], pool.filter("blocks > 1").select("centre", "blocks")).withColumn("own", F.lit(False)).union(
+            dealt.filter("mine IS NOT NULL").select("centre", "node", "n", "comp", F.col("mine").alias("blocks"), F.lit(True).alias("own")))
+        name = _block_name(F.when(F.col("own"), F.col("comp")), _part())
+        dealt = dealt.join(self.nodes.select("node", "sig"), "node").select(name.alias("block"), "centre", "node", "n", F.when(F.col("own"), F.col("comp")).alias("only"), "comp", "sig")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[dict] = []
+
+            def give() -> pa.RecordBatch:
+                some = [rows[0]] if rows else []
+                cols = [[r["block"] for r in some], [r["centre"] for r in some], [r["only"] for r in some], [min(r["n"] for r in rows) for _ in some], [max(r["n"] for r in rows) for _ in some], [pack_block(rows) for _ in some]]
+                rows.clear()
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=["block", "centre", "comp", "low", "high", "payload"])
+
+            for b in batches:
+                for r in b.to_pylist():
+                    if rows and r["block"] != rows[0]["block"]:
+                        yield give()
+                    rows.append(r)
+            yield give()
+            release()
+
+        packed = written(dealt.repartition("block").sortWithinPartitions("block", "n", "node").mapInArrow(pack, PACKED), "packed")
+        blocks = packed.drop("payload")
+        # Blocks of small components meet themselves, each other and those of large components; of these, different ones meet.
+        mixed = blocks.filter("comp IS NULL")
+        one = mixed.join(pool.filter("comps > 1").select("centre"), "centre", "left_semi").select(F.col("block").alias("x"), F.lit(None).cast("string").alias("y"))
+        x, y = mixed.alias("x"), blocks.alias("y")
+        fit = (F.col("x.high") * self.m.den >= F.col("y.low") * self.m.num) & (F.col("y.high") * self.m.den >= F.col("x.low") * self.m.num)
+        two = x.join(y, (F.col("x.centre") == F.col("y.centre")) & (F.col("y.comp").isNotNull() | (F.col("x.block") < F.col("y.block"))) & fit).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+        p, q = own.alias("p"), own.alias("q")
+        large = p.join(q, (F.col("p.centre") == F.col("q.centre")) & (F.col("p.comp") < F.col("q.comp"))).select(F.col("p.centre").alias("centre"), F.col("p.comp").alias("c1"), F.col("p.blocks").alias("b1"), F.col("q.comp").alias("c2"), F.col("q.blocks").alias("b2"))
+        large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("b1") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)).alias("j"))
+        large = large.select(_block_name(F.col("c1"), F.col("i")).alias("x"), _block_name(F.col("c2"), F.col("j")).alias("y"))
+        both = one.union(two).union(large)
+        a = packed.select(F.col("block").alias("x"), F.col("payload").alias("a"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+        b = packed.select(F.col("block").alias("y"), F.col("payload").alias("b"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+        ready = both.join(a, "x").join(b, "y", "left").filter("y IS NULL OR b IS NOT NULL")
+        ready = ready.filter(F.expr(f"y IS NULL OR h1 * {self.m.den} >= l2 * {self.m.num} AND h2 * {self.m.den} >= l1 * {self.m.num}"))
+        return ready.select(F.concat_ws("|", "x", "y").alias("block"), "a", "b").repartition(shuffle_parts(self.spark), "block")
 
     def classes(self) -> DataFrame:
-        """doc_id, copy, n, component_id for each row: the smallest id that links reach."""
+        """doc_id, copy, n, component_id (the smallest id that links reach), kept (the copy that stays) for each row."""
         labels = components(self.links())
-        nodes = self.rows.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        own = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-        least = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        own = own.join(least, "comp").select("node", "component_id")
-        full = self.rows.filter("node <> 0").join(own, "node").select("doc_id", "copy", "n", "component_id")
-        return full.union(self.rows.filter("node = 0").select("doc_id", "copy", "n", F.col("doc_id").alias("component_id")))
+        known = self.full.join(labels, "node").select(F.col("first").alias("node"), "node2", "comp")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy"))
+        some = self.rows.filter("n > 0").groupBy("node", "node2").agg(best.alias("best"))
+        some = some.join(known, ["node", "node2"], "left")
+        least = some.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("best").alias("least"))
+        own = some.join(least, "comp", "left").select("node", "node2", F.coalesce("least", "best").alias("b"))
+        full = self.rows.filter("n > 0").join(own, ["node", "node2"]).select("doc_id", "copy", "n", F.col("b.doc_id").alias("component_id"), F.col("b.copy").alias("kept"))
+        return full.union(self.rows.filter("n = 0").select("doc_id", "copy", "n", F.col("doc_id").alias("component_id"), F.col("copy").alias("kept")))
+
+
+SURVIVORS = "block string, node long, side int, comp long"
+
+
+def _survivors(block: list[str], node: list[int], side: list[int] | None = None, comp: list[int] | None = None) -> pa.RecordBatch:
+    none = [None] * len(node)
+    cols = ((block, pa.string()), (node, pa.int64()), (side or none, pa.int32()), (comp or none, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["block", "node", "side", "comp"])
+
+
+def _blocks(k: str, total: str) -> Column:
+    return F.greatest(F.ceil(F.col(k) / BLOCK_NODES), F.ceil(F.col(total) / BLOCK_SHINGLES)).cast("int")
+
+
+def _part() -> Column:
+    """The block of a node among ``blocks`` (null: one)."""
+    return F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+
+
+def _block_name(comp: Column, part: Column) -> Column:
+    """Name of a block of a star in the second round: of one component, or of small ones."""
+    return F.concat_ws(".", "centre", F.coalesce(comp.cast("string"), F.lit("-")), part)
 
 
 def blank_words(text: bytes) -> list[bytes]:
@@ -621,14 +792,46 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     """doc_id, n_shingles, component_id for each row of ``docs``: components of documents with J >= num / den.
 
     A text of fewer words than ``width`` has one shingle, of all its words. Null and empty texts, and
-    those without words, have none and are linked with nothing: their component is their own id.
-    Repeated rows give a row each. Null ids are in no one's way: a component's id is the smallest id
-    that isn't null (null if there is none). An empty table gives no rows. Other columns aren't read.
+    those without words, have none and are linked with nothing: their component is their own id. Texts
+    are taken whole, however long. Repeated rows give a row each. Null ids are in no one's way: a
+    component's id is the smallest id that isn't null (null if there is none). An empty table gives no
+    rows. Other columns aren't read.
     """
     found = NearDuplicates(docs, blank_words, width, Measure(num, den), id_col, text_col)
     return found.classes().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each component stays, every column of it.
+
+    It is the row of the smallest id (null ids last), and among rows of that id the one of the smallest
+    hash of id and text; rows are told apart by that hash, so different texts of one id are judged apart.
+    Of rows equal in id and text the smallest by its other columns stays. Texts without words are linked
+    with nothing and stay, every row. Only rows that a field of bits takes for possible copies are
+    shuffled with their texts.
+    """
+    names = docs.columns
+    found = NearDuplicates(docs, blank_words, width, Measure(num, den), id_col, text_col)
+    rows = written(found.classes().filter("n > 0").groupBy(F.col("doc_id").alias("id"), "copy", "kept").agg(F.count("*").alias("rows")), "judged")
+    gone = rows.filter("copy <> kept").select("id", "copy")
+    again = rows.filter("copy = kept AND rows > 1").select("id", "copy")
+    marked = docs.withColumn("__copy", F.xxhash64(id_col, text_col))
+    field = bit_field(gone.union(again).select("copy"), "copy")
+    clear = in_field(marked, "__copy", field, inside=False).select(*names)
+
+    def same(table: DataFrame) -> Column:
+        return (F.col("__copy") == table["copy"]) & F.col(id_col).cast("long").eqNullSafe(table["id"])
+
+    doubtful = in_field(marked, "__copy", field).join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return clear.union(doubtful.select(*names))
+    once = doubtful.join(again, same(again), "left_anti").select(*names)
+    repeated = doubtful.join(again, same(again), "left_semi")
+    others = [c for c in names if c not in (id_col, text_col)]
+    first = repeated.groupBy("__copy").agg(F.min(F.struct(id_col, text_col, *others)).alias("r")).select(*[F.col("r")[c].alias(c) for c in names])
+    return clear.union(once).union(first)
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 9, 10)
 

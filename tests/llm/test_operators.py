@@ -20,7 +20,6 @@ from tessella.llm import quality as QU
 from tessella.llm import sharding as SH
 from tessella.llm import token_file as TF
 from tessella.llm import topk as TK
-from tessella.llm.common import shingle_set
 
 
 def docs_of(spark, data):
@@ -193,7 +192,10 @@ def test_decontamination_of_odd_rows(spark, odd, none):
 
 
 def brute_components(texts, width, num, den):
-    sets = [set(shingle_set(ND.blank_words((t or "").encode()), width).tolist()) for t in texts]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     up = list(range(len(sets)))
 
     def find(x):
@@ -279,12 +281,52 @@ def test_tree_against_brute_force():
             assert {i for p in want for i in p} <= stay
 
 
-def test_packed_keys_round_trip():
+def test_packed_rows_round_trip():
     rng = np.random.default_rng(1)
     k = np.sort(rng.integers(0, 1 << 48, 5000, dtype=np.uint64))
-    v = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
-    a, b = ND.unpack_keys(ND.pack_keys(k, v))
-    assert (a == k).all() and (b == v).all()
+    fps, place = ND.ranked(rng.integers(0, 3, (5000, 2), dtype=np.uint64))
+    assert len(fps) == 9 and (fps[:-1, 0] <= fps[1:, 0]).all()
+    a, b, c = ND.unpack_keys(ND.pack_keys(k, place, fps))
+    assert (a == k).all() and (c[b] == fps[place]).all()
+    rows = [{"node": -5 + i, "n": i, "comp": 7, "sig": bytes(i)} for i in range(4)]
+    assert ND.unpack_block(ND.pack_block(rows)) == [(r["node"], r["n"], 7, r["sig"]) for r in rows]
+
+
+def test_nodes_of_equal_first_half_stay_apart(spark, monkeypatch):
+    """Fingerprints cut to few bits in their first half: their sets aren't taken for one."""
+    texts = planted(11, n=25, words=30)
+    whole = ND.fingerprint
+    monkeypatch.setattr(ND, "fingerprint", lambda s: bytes(7) + bytes([whole(s)[7] % 16]) + whole(s)[8:] if len(s) else bytes(16))
+    monkeypatch.setattr(ND, "LOCAL", 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = ND.NearDuplicates(docs, ND.blank_words, 3, ND.Measure(4, 5))
+    assert found.clashes is not None
+    r = found.classes().toPandas().sort_values("doc_id")
+    assert r.component_id.tolist() == brute_components(texts, 3, 4, 5)
+
+
+def test_one_group_with_stragglers(spark, monkeypatch):
+    """A large group of near copies and documents at the edge of it, in blocks of few: components are whole."""
+    monkeypatch.setattr(ND, "BLOCK_NODES", 6)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3, 4))):
+            w[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    r = ND.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 3, 4, 5).toPandas().sort_values("doc_id")
+    want = brute_components(texts, 3, 4, 5)
+    assert 1 < len(set(want)) < len(want) and r.component_id.tolist() == want
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "z"), (7, b, "y"), (None, a, "n"), (None, "of its own and nobody else", "n"), (8, None, "e"), (8, "", "e"), (9, "twice the very same row here", "r"), (9, "twice the very same row here", "q")]
+    got = ND.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, copy string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([rows[0], rows[2], rows[6], rows[7], rows[8], rows[10]], key=str)
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, none):
