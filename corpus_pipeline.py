@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language, mixing, near_dup, token_file
-from tessella.llm.common import relax, written
+from tessella.llm.common import written
 
 #: A document whose language is predicted with less than this probability is rejected.
 LEAST_SCORE = 0.5
@@ -23,7 +23,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the labelled rows of its input. Where no row has a language, only documents
     without a letter go.
     """
-    relax(spark)
     model = language.train(docs)
     if not model.languages:
         model = language.train(docs.withColumn("lang", F.lit("any")))
@@ -32,34 +31,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays: that of the smallest id, and of repeated ids one.
+    """One row of each group of near duplicates stays: that of the smallest id, null ids last.
 
-    Word shingles of five words, similarity 0.8 or more. Documents without words are linked with nothing
-    and stay, and so do documents without an id.
+    Word shingles of five words, similarity 0.8 or more, over whole texts. Rows are told apart by id and
+    text: different texts of one id are judged apart, and of repeated rows one stays. Documents without
+    words (null and empty texts among them) are linked with nothing and stay. An empty table stays empty;
+    other columns pass as they are.
     """
-    relax(spark)
-    groups = near_dup.jaccard_components(docs, 5, 4, 5)
-    kept = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.filter("doc_id IS NULL").select(*docs.columns))
+    return near_dup.one_of_each(docs, 5, 4, 5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word in a benchmark window go."""
-    relax(spark)
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass of a document, in order of training position."""
-    relax(spark)
     return mixing.mix(docs).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows in order of id, read back: doc_id, start, n_tokens, ids_crc32."""
-    relax(spark)
     return token_file.token_digest(docs)
 
 
