@@ -3,10 +3,10 @@
 Each dimension of a block of candidates is a sorted list. For a query, a list is read from its top
 where the query's component is positive and from its end where it is negative. Lists are read in
 rounds, each to a greater depth. What was read of a candidate gives its lower and upper bound: the
-rest of its components lie between the last value read and the list's far end. A candidate whose upper
-bound is under the k-th best lower bound (of this block or of those before) can't qualify. When the
-outsiders are gone, or the lists are read through, final scores are resolved for those left. Bounds of
-a block of queries and a block of candidates are matrix products.
+rest of its components lie between the last value read and the list's far end. The floor is the k-th
+best lower bound of the block, or the k-th best score of the blocks before. After each round the
+outsiders, with an upper bound under the floor, are dropped, and the next round looks at those left
+alone. When few are left, or the lists are read through, their final scores are resolved.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries held at once (collected, then broadcast), and components they have at most.
-QUERY_ROWS = 4096
-#: Candidates in a block, and the depths to which its lists are read.
+from tessella.llm.common import small_batches
+
+#: Bytes of query vectors that one scan of the candidates takes (collected as Arrow, then broadcast).
+QUERY_BYTES = 32_000_000
+#: Candidates in a block, queries whose first bounds are matrix products together, and depths to which lists are read.
 BLOCK_ROWS = 4096
-DEPTHS = (0.5, 0.7, 0.8, 0.9, 1.0)
+QUERY_ROWS = 256
+DEPTHS = (0.4, 0.55, 0.65, 0.75, 0.85, 0.92, 0.97)
 #: Sums of products below this are exact in doubles.
 EXACT = 2.0**53
 
@@ -63,43 +66,68 @@ class Best:
         self.score[i, :m], self.vec[i, :m], self.full[i] = s[order], v[order], m
 
 
-def nra_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, best: Best) -> int:
+class Lists:
+    """A block's candidates (rows of whole numbers held as doubles) as one sorted list for each dimension."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x, len(x)
+        order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, order, axis=0)
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+
+    def many(self, q: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all candidates (columns) for all queries (rows), each list read to depth d."""
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        top, end = self.rank >= self.n - d, self.rank < d
+        high = up @ np.where(top, self.x, self.sorted[self.n - d]).T + down @ np.where(end, self.x, self.sorted[d - 1]).T
+        low = up @ np.where(top, self.x, self.sorted[0]).T + down @ np.where(end, self.x, self.sorted[-1]).T
+        return low, high
+
+    def some(self, q: np.ndarray, rows: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of some candidates for one query."""
+        rank, plus = self.rank[rows], q > 0
+        unread = np.where(plus, rank < self.n - d, rank >= d)
+        partial = np.where(unread, 0.0, self.x[rows]) @ q
+        last, far = np.where(plus, self.sorted[self.n - d], self.sorted[d - 1]), np.where(plus, self.sorted[0], self.sorted[-1])
+        rest = unread @ np.stack((q * far, q * last), axis=1)
+        return partial + rest[:, 0], partial + rest[:, 1]
+
+
+def _kth(x: np.ndarray, k: int) -> float:
+    return np.partition(x, len(x) - k)[len(x) - k] if len(x) >= k else -np.inf
+
+
+def nra_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, best: Best) -> tuple[int, float]:
     """Take the block's candidates into ``best``. q and x: whole numbers held as doubles, one row a vector.
 
-    Gives the number of pairs whose bounds don't exclude them, for which scores are resolved.
+    Gives the number of pairs that no bound excludes, whose scores are resolved, and the mean depth of reading (a part of the lists).
     """
-    n, k = len(x), best.k
-    order = np.argsort(x, axis=0, kind="stable")
-    lists = np.take_along_axis(x, order, axis=0)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    lists, k = Lists(x), best.k
+    depths = sorted({d for p in DEPTHS if (d := int(np.ceil(p * len(x)))) < len(x)})
     slack = np.abs(q).sum(1) * np.abs(x).max(initial=0) * 1e-9
-    left = None
-    for depth in DEPTHS:
-        d = int(np.ceil(depth * n))
-        if d >= n:
-            break
-        top, end = rank >= n - d, rank < d
-        last_top, last_end = lists[n - d], lists[d - 1]
-        high = up @ np.where(top, x, last_top).T + down @ np.where(end, x, last_end).T
-        low = up @ np.where(top, x, lists[0]).T + down @ np.where(end, x, lists[-1]).T
-        own = q_id[:, None] == x_id[None, :]
-        low[own] = high[own] = -np.inf
-        kth = np.partition(low, n - k, axis=1)[:, n - k] if n >= k else np.full(len(q), -np.inf)
-        left = high + slack[:, None] >= np.maximum(kth, best.floor())[:, None]
-        if left.sum() <= k * len(q):
-            break
-    own = q_id[:, None] == x_id[None, :]
-    left = ~own if left is None else left & ~own
-    for i in np.flatnonzero(left.any(axis=1)):
-        c = np.flatnonzero(left[i])
-        score = _exact(q[i : i + 1], x[c])[0]
-        if len(c) > 4 * k:
-            keep = score >= np.partition(score, len(c) - k)[len(c) - k]
-            c, score = c[keep], score[keep]
-        best.take(i, score, x_id[c])
-    return int(left.sum())
+    resolved, read = 0, 0
+    floor = best.floor()
+    for s in range(0, len(q), QUERY_ROWS):
+        first = lists.many(q[s : s + QUERY_ROWS], depths[0]) if depths else None
+        for i in range(s, min(s + QUERY_ROWS, len(q))):
+            left, depth = np.flatnonzero(x_id != q_id[i]), 0
+            for d in depths:
+                low, high = (b[i - s, left] for b in first) if d == depths[0] else lists.some(q[i], left, d)
+                floor[i] = max(floor[i], _kth(low, k) - slack[i])
+                left, depth = left[high + slack[i] >= floor[i]], d
+                if len(left) <= 2 * k:
+                    break
+            resolved += len(left)
+            read += depth if len(left) <= 2 * k else len(x)
+            if not len(left):
+                continue
+            score = _exact(q[i : i + 1], x[left])[0]
+            if len(left) > 4 * k:
+                keep = score >= _kth(score, k)
+                left, score = left[keep], score[keep]
+            best.take(i, score, x_id[left])
+    return resolved, read / max(1, len(q) * len(x))
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -108,42 +136,47 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     Component x counts as floor(1024 x). A vector that is null, empty or has a null or non-finite
     component takes no part. A query's own vec_id is no candidate of it. Vectors of another length
     than the query's aren't compared with it. Ties go to the smaller vec_id; a repeated row is a
-    candidate of its own. No queries or candidates give no rows. Each block of at most QUERY_ROWS
-    queries reads all candidates once and gives k rows a query and task, merged by query.
+    candidate of its own. No queries or candidates give no rows. Other columns aren't read. Queries are
+    taken in parts of about QUERY_BYTES; each part reads all candidates once and gives k rows a query
+    and task, merged by query.
     """
     spark = vectors.sparkSession
 
     def ready(df: DataFrame) -> DataFrame:
         return df.filter(usable(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: F.floor(v.cast("double") * 1024).cast("double")).alias("x"))
 
-    asked, rows = ready(queries), ready(vectors)
-    count = asked.count()
-    blocks = -(-count // QUERY_ROWS)
+    asked, rows = ready(queries), small_batches(ready(vectors))
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("x")), F.lit(0)).alias("b")).first().b
+    parts = -(-size // QUERY_BYTES)
     schema = "query_id long, vec_id long, score long"
     found = None
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        by_len: dict[int, list] = {}
-        for r in part:
-            by_len.setdefault(len(r.x), []).append(r)
-        held = spark.sparkContext.broadcast({n: (np.array([r.id for r in rs], np.int64), np.array([r.x for r in rs])) for n, rs in by_len.items()})
+    for p in range(parts):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).toArrow()
+        held = spark.sparkContext.broadcast({n: by_len for n, *by_len in _by_length(part.column("id").to_numpy(), part.column("x").combine_chunks())})
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best = {n: Best(len(q[0]), k) for n, q in held.value.items()}
+            best = {n: Best(len(q_id), k) for n, (q_id, _) in held.value.items()}
+            wait: dict[int, list] = {n: [] for n in best}
+
+            def join(n: int) -> None:
+                """What waits of one length, in blocks of BLOCK_ROWS."""
+                ids, x = (np.concatenate(c) for c in zip(*wait[n], strict=True))
+                wait[n].clear()
+                q_id, q = held.value[n]
+                for s in range(0, len(ids), BLOCK_ROWS):
+                    nra_block(q, q_id, x[s : s + BLOCK_ROWS], ids[s : s + BLOCK_ROWS], best[n])
+
             for batch in batches:
-                ids, x = batch.column("id").to_numpy(), batch.column("x")
-                sizes = np.diff(x.offsets.to_numpy())
-                flat = x.flatten().to_numpy()
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-                for n, (q_id, q) in held.value.items():
-                    pick = np.flatnonzero(sizes == n)
-                    for s in range(0, len(pick), BLOCK_ROWS):
-                        p = pick[s : s + BLOCK_ROWS]
-                        nra_block(q, q_id, flat[starts[p][:, None] + np.arange(n)], ids[p], best[n])
-            for n, (q_id, _) in held.value.items():
-                t = best[n]
+                for n, ids, x in _by_length(batch.column("id").to_numpy(), batch.column("x")):
+                    if n in wait:
+                        wait[n].append((ids, x))
+                        if sum(len(c[0]) for c in wait[n]) >= BLOCK_ROWS:
+                            join(n)
+            for n, t in best.items():
+                if wait[n]:
+                    join(n)
                 have = np.arange(k)[None, :] < t.full[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, t.full)), pa.array(t.vec[have]), pa.array(t.score[have])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(held.value[n][0], t.full)), pa.array(t.vec[have]), pa.array(t.score[have])], names=["query_id", "vec_id", "score"])
 
         got = rows.mapInArrow(run, schema)
         found = got if found is None else found.union(got)
@@ -153,6 +186,15 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _by_length(ids: np.ndarray, x: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, ids and vectors (one row each) for each length among list values."""
+    sizes, flat = np.diff(x.offsets.to_numpy()), x.flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes).tolist():
+        pick = np.flatnonzero(sizes == n)
+        yield n, ids[pick], flat[starts[pick][:, None] + np.arange(n)]
+
+
 def op9_topk(spark, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return exact_topk(v, v.filter(F.col("vec_id") % 100 == 0), 10)

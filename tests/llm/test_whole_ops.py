@@ -51,14 +51,29 @@ def test_quality_against_brute_force(spark, tmp_path):
 
 
 def test_nra_excludes_outsiders():
+    """Random vectors are the hard case: most pairs are excluded by bounds before lists are read through, and scores equal brute force."""
     rng = np.random.default_rng(5)
-    x, ids = np.floor(rng.normal(size=(1500, 64)) * 1024), np.arange(1500)
+    x, ids = np.floor(rng.normal(size=(6000, 64)) * 1024), np.arange(6000)
     q, q_id = x[:15], ids[:15]
-    best = TK.Best(len(q), 10)
-    left = sum(TK.nra_block(q, q_id, x[s : s + 500], ids[s : s + 500], best) for s in range(0, 1500, 500))
-    assert left < 0.2 * len(q) * len(x)
+    best, left, depth = TK.Best(len(q), 10), [], []
+    for s in range(0, 6000, 2000):
+        n, d = TK.nra_block(q, q_id, x[s : s + 2000], ids[s : s + 2000], best)
+        left.append(n / (len(q) * 2000))
+        depth.append(d)
+    assert max(left) < 0.1 and left[2] < 0.02 and depth[2] < 0.95
     score = q @ x.T
     score[q_id, q_id] = -np.inf
     for i in range(len(q)):
         want = sorted(range(len(x)), key=lambda j: (-score[i, j], j))[:10]
         assert best.vec[i].tolist() == want and best.score[i].tolist() == score[i, want].tolist()
+
+
+def test_nra_stops_early_where_scores_differ():
+    """Vectors with few large components: lists are read to a small part."""
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.exponential(size=(4000, 4)) ** 3 * 1024)
+    q, ids = np.array([[900.0, 0, 10, 2]]), np.arange(4000)
+    best = TK.Best(1, 10)
+    n, depth = TK.nra_block(q, np.array([-1]), x, ids, best)
+    assert n <= 400 and depth <= 0.4
+    assert best.vec[0].tolist() == sorted(range(4000), key=lambda j: (-(q[0] @ x[j]), j))[:10]
