@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch of texts.
 BATCH = "4m"
+#: Bytes of a row group of a stored table: what a task that writes one holds in memory.
+ROW_GROUP = 16 << 20
 MASK64 = (1 << 64) - 1
 
 
@@ -37,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{_run_folder(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -111,6 +113,12 @@ def bit_field(keys: DataFrame, name: str) -> np.ndarray:
     return field
 
 
+def hits(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the field."""
+    s = np.mod(keys, 32 * len(field))
+    return ((field[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)
+
+
 def in_field(df: DataFrame, name: str, field: np.ndarray, inside: bool = True) -> DataFrame:
     """Rows whose key may be in the field: others are dropped before they are shuffled for a join that drops them anyway.
 
@@ -123,8 +131,7 @@ def in_field(df: DataFrame, name: str, field: np.ndarray, inside: bool = True) -
     def run(batches):  # noqa: ANN001, ANN202
         f = held.value
         for b in batches:
-            s = np.mod(b.column(b.schema.names.index(name)).to_numpy(), 32 * len(f))
-            yield b.filter(pa.array(((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool) == inside))
+            yield b.filter(pa.array(hits(f, b.column(b.schema.names.index(name)).to_numpy()) == inside))
 
     return small_batches(df).mapInArrow(run, df.schema)
 
@@ -141,6 +148,45 @@ def placed(df: DataFrame, *order: Column) -> DataFrame:
     return written(ranged.select("*", F.spark_partition_id().alias("pid"), low.alias("idx")), "placed")
 
 
+def with_rank(rows: DataFrame) -> DataFrame:
+    """``placed`` rows with ``rank``, the place in the whole order, from 0."""
+    from pyspark.sql import Window
+
+    runs = rows.groupBy("pid").agg(F.count("*").alias("n"))
+    before = runs.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))  # one row a partition
+    return rows.join(F.broadcast(before), "pid").withColumn("rank", (F.col("before") + F.col("idx")).cast("long")).drop("before")
+
+
+def slices(texts, most: int):  # noqa: ANN001, ANN201
+    """Runs (Arrow array, places) of texts (Arrow binary) of about ``most`` bytes with the place of each; a longer text comes in parts, cut at ASCII blanks."""
+    import pyarrow as pa
+
+    rows, places, size = [], [], 0
+    for i, x in enumerate(texts):
+        raw, at = x.as_buffer() or b"", 0
+        n = len(raw)
+        while True:
+            end = n
+            if n - at > most:
+                piece = bytes(raw[at : at + most])
+                cut = max(piece.rfind(b" "), piece.rfind(b"\n"))
+                while cut < 0 and len(piece) < n - at:  # no blank: on to the next one
+                    piece = bytes(raw[at : at + 2 * len(piece)])
+                    cut = max(piece.find(b" ", most), piece.find(b"\n", most))
+                end = at + cut + 1 if cut >= 0 else n
+            rows.append(bytes(raw[at:end]) if at or end < n else x.as_py())
+            places.append(i)
+            size += end - at
+            if size >= most:
+                yield pa.array(rows, pa.binary()), places
+                rows, places, size = [], [], 0
+            at = end
+            if at >= n:
+                break
+    if rows:
+        yield pa.array(rows, pa.binary()), places
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser on uint64 arrays."""
     x = x ^ (x >> np.uint64(30))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import MASK64, bit_field, in_field, mix64, release, shingle_set, shuffle_parts, small_batches, text_bytes, written
+from tessella.llm.common import MASK64, bit_field, hits, in_field, mix64, release, shingle_set, shuffle_parts, small_batches, text_bytes, written
 
 #: Largest size over smallest size in a size class.
 CLASS_RATIO = 1.5
@@ -45,7 +45,7 @@ CLASS_RATIO = 1.5
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Keys that a task holds before it gives them out, and texts whose fingerprints it knows to skip copies.
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 SEEN = 200_000
 #: Nodes of one task that share a key and all go on; beyond, one does.
 LOCAL = 8
@@ -308,6 +308,24 @@ def tree_links(sets: list[np.ndarray], m: Measure, side: list[int] | None = None
     return tree.links
 
 
+def connected(links: list[tuple[int, int]], comps: list[int]) -> list[tuple[int, int]]:
+    """The links' components as stars of one member of each, over components so far: few steps lead from any member to any other."""
+    up: dict[int, int] = {}
+    one: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, j in links:
+        one.setdefault(comps[i], i)
+        one.setdefault(comps[j], j)
+        x, y = find(comps[i]), find(comps[j])
+        up[max(x, y)] = min(x, y)
+    return [(one[find(c)], i) for c, i in one.items() if find(c) != c]
+
+
 def tree_survivors(sizes: list[int], sigs: list[bytes], m: Measure, side: list[int] | None = None, known: list[int] | None = None) -> list[int]:
     """Indexes of the sets that may link with another of them, by size and bitmap."""
     if len(sizes) < 2:
@@ -486,36 +504,42 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
-    """``df`` (a stored table with ``node``) and column blocks of the row of ``sizes`` (keys, blocks) with its keys, else null.
+    """``df`` (a stored table with ``node``) and the other columns of the row of ``sizes`` (stored; keys, blocks, ...) with its keys, else nulls.
 
     Only rows that may find one are shuffled, and those of one key are dealt to SALTS places.
     """
-    names = df.columns
+    names, more = df.columns, [f for f in sizes.schema if f.name not in keys]
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in more]
+    if sizes.isEmpty():
+        return df.select(*names, *none)
     field = bit_field(sizes.select(F.xxhash64(*keys).alias("h")), "h")
-    if not field.any():
-        return df.withColumn("blocks", F.lit(None).cast("int"))
     marked = df.withColumn("__h", F.xxhash64(*keys))
     near = in_field(marked, "__h", field).withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    salted = sizes.select(*keys, "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    none = in_field(marked, "__h", field, inside=False).select(*names, F.lit(None).cast("int").alias("blocks"))
-    return near.join(salted, [*keys, "__salt"], "left").select(*names, "blocks").union(none)
+    salted = sizes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    far = in_field(marked, "__h", field, inside=False).select(*names, *none)
+    return near.join(salted, [*keys, "__salt"], "left").select(*names, *(f.name for f in more)).union(far)
 
 
 PACKED = "block string, centre long, comp long, low long, high long, payload binary"
 
 
+_PACKED = ("node", "n", "comp", "copy", "id", "no_id")
+
+
 def pack_block(rows: list[dict]) -> bytes:
-    """The members of a block (node, n, comp, sig)."""
+    """The members of a block (node, n, comp, copy, id, sig)."""
     lens = np.array([len(r["sig"]) for r in rows], "<i8")
-    cols = [np.array([r[c] for r in rows], "<i8") for c in ("node", "n", "comp")]
+    rows = [r | {"id": r["id"] or 0, "no_id": r["id"] is None} for r in rows]
+    cols = [np.array([r[c] for r in rows], "<i8") for c in _PACKED]
     return b"".join([len(rows).to_bytes(8, "little"), *(x.tobytes() for x in (*cols, lens)), *(r["sig"] for r in rows)])
 
 
-def unpack_block(blob: bytes) -> list[tuple[int, int, int, bytes]]:
+def unpack_block(blob: bytes) -> list[dict]:
     k = int.from_bytes(blob[:8], "little")
-    node, n, comp, lens = (np.frombuffer(blob, "<i8", k, 8 + 8 * k * i).tolist() for i in range(4))
-    ends = (8 + 32 * k + np.cumsum([0, *lens])).tolist()
-    return [(a, b, c, blob[x:y]) for a, b, c, x, y in zip(node, n, comp, ends, ends[1:], strict=False)]
+    *cols, lens = (np.frombuffer(blob, "<i8", k, 8 + 8 * k * i).tolist() for i in range(len(_PACKED) + 1))
+    ends = (8 + 8 * k * (len(_PACKED) + 1) + np.cumsum([0, *lens])).tolist()
+    rows = [dict(zip(_PACKED, r, strict=True)) | {"sig": blob[x:y]} for r, x, y in zip(zip(*cols, strict=True), ends, ends[1:], strict=False)]
+    return [r | {"id": None} if r.pop("no_id") else r for r in rows]
 
 
 class NearDuplicates:
@@ -539,7 +563,7 @@ class NearDuplicates:
         found = self._short(self._short(stars, "node"), "other")
         mine = found.groupBy(F.col("node").alias("centre"), F.col("other").alias("node")).agg(F.max(F.coalesce("copy", F.lit(0))).alias("top"), F.sum("shared").alias("shared"))
         self.stars = written(mine, "stars")
-        self.local = found.filter("copy IS NULL").select(F.col("node").alias("mid"), F.col("other").alias("node")).distinct()
+        self.local = written(found.filter("copy IS NULL").select(F.col("node").alias("mid"), F.col("other").alias("node")).distinct(), "local")
 
     @staticmethod
     def _clashes(nodes: DataFrame) -> DataFrame | None:
@@ -564,27 +588,26 @@ class NearDuplicates:
         return out.withColumn(name, F.coalesce("short", name)).select(*df.columns)
 
     def with_texts(self, members: DataFrame) -> DataFrame:
-        """members and the text (zstandard) of one document of each node, in a scan that drops other documents before the shuffle."""
-        members = members.join(self.nodes.select("node", "copy", F.col("doc_id").alias("id")), "node")
-        wanted = in_field(self.docs, "copy", bit_field(members.select("copy").distinct(), "copy"))
+        """members (copy, id) and the text (zstandard) of their documents, in a scan that drops other documents before the shuffle."""
+        held = self.spark.sparkContext.broadcast(bit_field(members, "copy"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
-            pack = zstandard.ZstdCompressor(level=1).compress
+            f, pack = held.value, zstandard.ZstdCompressor(level=1).compress
             seen: set[tuple] = set()  # equal rows: one of a task goes on
             for b in batches:
-                keys = list(zip(b.column("copy").to_pylist(), b.column("doc_id").to_pylist(), strict=True))
-                pick = []
-                for i, k in enumerate(keys):
+                pick, texts, ids = [], b.column("text"), b.column("doc_id")
+                for i in np.flatnonzero(hits(f, b.column("copy").to_numpy())).tolist():
+                    k = (b.column("copy")[i].as_py(), ids[i].as_py())
                     if k not in seen:
                         pick.append(i)
                         if len(seen) < SEEN:
                             seen.add(k)
-                texts = b.column("text")
-                yield pa.RecordBatch.from_arrays([b.column("copy").take(pa.array(pick, pa.int64())), b.column("doc_id").take(pa.array(pick, pa.int64())), pa.array([pack(texts[i].as_py()) for i in pick], pa.binary())], names=["copy", "id", "text"])
+                at = pa.array(pick, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("copy").take(at), ids.take(at), pa.array([pack(texts[i].as_py()) for i in pick], pa.binary())], names=["copy", "id", "text"])
 
-        docs = wanted.mapInArrow(run, "copy long, id long, text binary")
+        docs = self.docs.mapInArrow(run, "copy long, id long, text binary")
         return members.join(docs, (members["copy"] == docs["copy"]) & members["id"].eqNullSafe(docs["id"])).drop("copy", "id")
 
     def survivors(self, members: DataFrame) -> DataFrame:
@@ -598,7 +621,7 @@ class NearDuplicates:
                 use = [rows[k] for k in sorted(rows)]
                 rows.clear()
                 stay = [use[i] for i in tree_survivors([r["n"] for r in use], [r["sig"] for r in use], m)]
-                return _survivors([block] * len(stay), [r["node"] for r in stay])
+                return _survivors([(block, r["node"], None, None, r["copy"], r["id"]) for r in stay])
 
             for b in batches:
                 for r in b.to_pylist():
@@ -609,8 +632,8 @@ class NearDuplicates:
             yield give()
             release()
 
-        known = members.join(self.nodes.select("node", "n", "sig"), "node").select("block", "node", "n", "sig")
-        dealt = known.repartition("block").sortWithinPartitions("block")
+        dealt = members.join(self.nodes, "node").select("block", "node", "n", "copy", F.col("doc_id").alias("id"), "sig")
+        dealt = dealt.repartition("block").sortWithinPartitions("block")
         return written(dealt.mapInArrow(run, SURVIVORS), "survivors")
 
     def pair_survivors(self, pairs: DataFrame) -> DataFrame:
@@ -625,14 +648,14 @@ class NearDuplicates:
                     if side is not None:
                         rows += unpack_block(r["b"])
                         side += [1] * (len(rows) - len(side))
-                    stay = tree_survivors([x[1] for x in rows], [x[3] for x in rows], m, side, [x[2] for x in rows])
-                    yield _survivors([r["block"]] * len(stay), [rows[i][0] for i in stay], side and [side[i] for i in stay], [rows[i][2] for i in stay])
+                    stay = tree_survivors([x["n"] for x in rows], [x["sig"] for x in rows], m, side, [x["comp"] for x in rows])
+                    yield _survivors([(r["block"], rows[i]["node"], side and side[i], rows[i]["comp"], rows[i]["copy"], rows[i]["id"]) for i in stay])
             release()
 
         return written(pairs.mapInArrow(run, SURVIVORS), "survivors")
 
     def block_links(self, members: DataFrame) -> DataFrame:
-        """Links within blocks, of what ``survivors`` or ``pair_survivors`` left."""
+        """a, b: links within blocks of what ``survivors`` (nodes) or ``pair_survivors`` (components so far) left."""
         split, width, m = self.split, self.width, self.m
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -648,8 +671,9 @@ class NearDuplicates:
                 sides = None if not use or use[0]["side"] is None else [r["side"] for r in use]
                 known = None if not use or use[0]["comp"] is None else [r["comp"] for r in use]
                 if len(use) > 1 and not (known and len(set(known)) == 1):
-                    got = tree_links([shingle_set(split(unpack(r["text"])), width) for r in use], m, sides, known)
-                return pa.RecordBatch.from_arrays([pa.array([use[i]["node"] for i, _ in got], pa.int64()), pa.array([use[j]["node"] for _, j in got], pa.int64())], names=["a", "b"])
+                    got = connected(tree_links([shingle_set(split(unpack(r["text"])), width) for r in use], m, sides, known), known or list(range(len(use))))
+                name = "node" if not use or known is None else "comp"
+                return pa.RecordBatch.from_arrays([pa.array([use[i][name] for i, _ in got], pa.int64()), pa.array([use[j][name] for _, j in got], pa.int64())], names=["a", "b"])
 
             for b in batches:
                 for r in b.to_pylist():
@@ -669,8 +693,8 @@ class NearDuplicates:
         size = groups.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("total"))
         return size.select(*keys, "k", "total", _blocks("k", "total").alias("blocks"))
 
-    def links(self) -> DataFrame:
-        """Pairs of nodes that link, enough of them to connect each component."""
+    def labels(self) -> DataFrame:
+        """node, comp: the component of each node that has links."""
         sizes = self.nodes.select("node", "n")
         best = self.stars.groupBy("node").agg(F.max(F.struct("shared", "centre"))["centre"].alias("centre"))
         chosen = written(best.join(sizes, "node").select("centre", "node", "n"), "chosen")
@@ -678,12 +702,11 @@ class NearDuplicates:
         rest = spread(chosen, ["centre"], size.filter("blocks > 1").select("centre", "blocks")).select("centre", "node", _part().alias("part"))
         centres = size.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
         members = rest.union(centres).select(F.concat_ws(".", "centre", "part").alias("block"), "node")
-        links = written(self.block_links(self.survivors(members)), "found")
+        labels = components(written(self.block_links(self.survivors(members)), "found"))
 
         # Stars that may hold pairs no block has seen, and are in several components: not those that were one block.
         # A member taken over from a task stands for its own star there: what range of components that has.
-        labels = components(links)
-        comp = self.nodes.join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"))
+        comp = written(self.nodes.join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")), "comp")
         within = self.local.join(comp, "node").groupBy("mid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         mine = self.stars.select("centre", "node", "top").union(self.stars.select("centre", F.col("centre").alias("node"), F.lit(0).alias("top")).distinct())
         mine = mine.join(comp, "node").join(within, (F.col("top") == 1) & (F.col("node") == F.col("mid")), "left")
@@ -691,25 +714,31 @@ class NearDuplicates:
         whole = size.select("centre", F.col("k").alias("chosen"), F.col("blocks").alias("b"))
         open_ = span.filter("low < high").join(whole, "centre", "left").filter("below > 0 OR NOT coalesce(k = chosen AND b = 1, false)").select("centre")
         open_ = written(open_, "open")
-        star = spread(self.stars, ["centre"], open_.withColumn("blocks", F.lit(1))).filter("blocks IS NOT NULL")
-        star = written(star.select("centre", "node", "top"), "star")
+        if open_.isEmpty():
+            return labels
+        star = written(spread(self.stars, ["centre"], open_.withColumn("blocks", F.lit(1))).filter("blocks IS NOT NULL").select("centre", "node", "top"), "star")
         below = star.filter("top = 1").select("centre", F.col("node").alias("mid")).join(self.local, "mid").select("centre", "node")
         group = star.select("centre", "node").union(below).union(open_.select("centre", F.col("centre").alias("node"))).distinct()
         group = written(group.join(comp, "node").select("centre", "node", "n", "comp"), "groups")
-        return links.union(written(self.block_links(self.pair_survivors(self.pairs(group))), "found"))
+        more = written(self.block_links(self.pair_survivors(self.pairs(group))), "found")
+        if more.isEmpty():
+            return labels
+        after = components(more).select(F.col("node").alias("was"), F.col("comp").alias("now"))
+        return comp.join(after, comp.comp == after.was, "left").select("node", F.coalesce("now", "comp").alias("comp"))
 
     def pairs(self, group: DataFrame) -> DataFrame:
         """block, a, b: pairs of packed blocks of a star's members (centre, node, n, comp) that may hold a link between components."""
-        per = written(self.sized(group, "centre", "comp"), "comps")
-        own = per.filter((F.col("k") * 2 >= BLOCK_NODES) | (F.col("total") * 2 >= BLOCK_SHINGLES))
-        pool = per.join(own, ["centre", "comp"], "left_anti").groupBy("centre").agg(F.sum("k").alias("k"), F.sum("total").alias("total"), F.count("*").alias("comps"))
+        per = self.sized(group, "centre", "comp")
+        own = (F.col("k") * 2 >= BLOCK_NODES) | (F.col("total") * 2 >= BLOCK_SHINGLES)
+        per = written(per.withColumn("own", own), "comps")
+        own = per.filter("own").select("centre", "comp", "blocks")
+        pool = per.filter("NOT own").groupBy("centre").agg(F.sum("k").alias("k"), F.sum("total").alias("total"), F.count("*").alias("comps"))
         pool = written(pool.select("centre", "comps", _blocks("k", "total").alias("blocks")), "pool")
-        own = written(own.select("centre", "comp", "blocks"), "own")
-        dealt = written(spread(group, ["centre", "comp"], own).withColumnRenamed("blocks", "mine"), "members")
-        dealt = spread(dealt.filter("mine IS NULL").drop("mine"), ["centre"], pool.filter("blocks > 1").select("centre", "blocks")).withColumn("own", F.lit(False)).union(
-            dealt.filter("mine IS NOT NULL").select("centre", "node", "n", "comp", F.col("mine").alias("blocks"), F.lit(True).alias("own")))
-        name = _block_name(F.when(F.col("own"), F.col("comp")), _part())
-        dealt = dealt.join(self.nodes.select("node", "sig"), "node").select(name.alias("block"), "centre", "node", "n", F.when(F.col("own"), F.col("comp")).alias("only"), "comp", "sig")
+        wide = per.filter("NOT own").select("centre", "comp").join(pool.filter("blocks > 1").select("centre", "blocks"), "centre").select("centre", "comp", "blocks", F.lit(False).alias("own"))
+        dealt = spread(group, ["centre", "comp"], written(own.withColumn("own", F.lit(True)).union(wide), "wide"))
+        only = F.when(F.coalesce("own", F.lit(False)), F.col("comp"))
+        dealt = dealt.join(self.nodes.select("node", "copy", F.col("doc_id").alias("id"), "sig"), "node")
+        dealt = dealt.select(_block_name(only, _part()).alias("block"), "centre", "node", "n", only.alias("only"), "comp", "copy", "id", "sig")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[dict] = []
@@ -749,8 +778,7 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """doc_id, copy, n, component_id (the smallest id that links reach), kept (the copy that stays) for each row."""
-        labels = components(self.links())
-        known = self.full.join(labels, "node").select(F.col("first").alias("node"), "node2", "comp")
+        known = self.full.join(self.labels(), "node").select(F.col("first").alias("node"), "node2", "comp")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy"))
         some = self.rows.filter("n > 0").groupBy("node", "node2").agg(best.alias("best"))
         some = some.join(known, ["node", "node2"], "left")
@@ -760,13 +788,12 @@ class NearDuplicates:
         return full.union(self.rows.filter("n = 0").select("doc_id", "copy", "n", F.col("doc_id").alias("component_id"), F.col("copy").alias("kept")))
 
 
-SURVIVORS = "block string, node long, side int, comp long"
+SURVIVORS = "block string, node long, side int, comp long, copy long, id long"
 
 
-def _survivors(block: list[str], node: list[int], side: list[int] | None = None, comp: list[int] | None = None) -> pa.RecordBatch:
-    none = [None] * len(node)
-    cols = ((block, pa.string()), (node, pa.int64()), (side or none, pa.int32()), (comp or none, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["block", "node", "side", "comp"])
+def _survivors(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "node", "side", "comp", "copy", "id"])
 
 
 def _blocks(k: str, total: str) -> Column:
