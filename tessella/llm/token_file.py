@@ -15,7 +15,9 @@ committed by Spark: a repeated task leaves no half file, and no executor needs a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,18 +25,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import release, shuffle_parts, small_batches, written
+from tessella.llm.common import release, shuffle_parts, slices, small_batches, written
 
 CHUNK = 1 << 16
 MAGIC = b"BPLN1\0\0\0"
 FOOTER = struct.Struct("<QQQQQQ8s")
 #: Ids of a file, about: a task begins a new file beyond it.
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 21
 #: Word pieces of a generation whose ids a worker keeps.
 CACHE = 250_000
+#: Bytes of text encoded at once, about.
+SLICE = 2_000_000
 
 
 def write_file(ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -99,14 +104,35 @@ def read_documents(file: bytes) -> Iterator[np.ndarray]:
         yield np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
+#: Sets a blank between a letter and the sentence marks that end a word: Latin letters that normalisation leaves single letters.
+MARKS = (r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([,.;:!?]+)(\s|$)", r"\1 \2\3")
+#: The parts of a tokenizer file that let pieces between ASCII blanks be encoded one by one.
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
+def piecewise(vocabulary: str) -> bool:
+    """The tokenizer never joins over blanks, nor a word of letters with the sentence marks after it, and marks the ends of words."""
+    with open(vocabulary, encoding="utf-8") as f:
+        said = json.load(f)
+    plain = not any(x["normalized"] or x["lstrip"] or x["rstrip"] or not x["content"].startswith("<|") or re.search(r"\s", x["content"]) for x in said["added_tokens"])
+    return plain and said["model"].get("end_of_word_suffix") == "</w>" and all(said.get(k) == v for k, v in PIECEWISE.items())
+
+
 class Encoder:
     """Ids by the tokenizer, with those of recent word pieces kept.
 
-    This vocabulary's pre-tokenizer never joins over blanks, nor a word of letters with the sentence
-    marks after it; so texts are cut at ASCII blanks, and pieces are encoded one by one. New words of
+    If the tokenizer's file allows it (``piecewise``), texts are cut at ASCII blanks and between a Latin
+    letter and the sentence marks after it, a batch's distinct pieces are looked up or encoded once, and the batch's ids are gathered from theirs. New words of
     letters alone are encoded many in one text: each ends with an id of a word end. ASCII letters are
     lower-cased first, as the tokenizer does, but for texts with combining marks or the beginning of a
-    special token. Pieces are kept in two generations: when the young one is full it becomes the old one.
+    special token. Pieces are kept in two generations: when the young one is full it becomes the old
+    one. Texts of any other tokenizer are encoded whole by the library.
     """
 
     def __init__(self, vocabulary: str):
@@ -115,18 +141,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.by_piece = piecewise(vocabulary)
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         words = self.tok.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
-    @staticmethod
-    def pieces(text: bytes) -> list[bytes]:
-        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
-            text = text.lower()
-        return text.split()
-
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -144,42 +165,53 @@ class Encoder:
             out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
         return out
 
-    def _learn(self, new: set[bytes]) -> None:
-        young, old = self.young, self.old
-        words: dict[bytes, str] = {}
-        others: dict[bytes, str] = {}
-        marked: list[tuple[bytes, bytes, bytes]] = []
-        for p in new:
-            if (ids := old.get(p)) is not None:
-                young[p] = ids
-                continue
-            t = p.decode("utf-8", "replace")
-            if p.isalpha() or t.isalpha() and t.lower().isalpha():
-                words[p] = t
-                continue
-            core = t.rstrip(",.;:!?")
-            if core.isalpha() and core.lower().isalpha():
-                w, m = core.encode(), t[len(core) :].encode()
-                marked.append((p, w, m))
-                if w not in young and w not in old:
-                    words[w] = core
-                if m not in young and m not in old:
-                    others[m] = m.decode()
-            else:
-                others[p] = t
-        young.update(zip(words, self._words(list(words.values())), strict=True))
-        young.update(zip(others, self._each(list(others.values())), strict=True))
-        for p, w, m in marked:
-            young[p] = (young.get(w) or old[w]) + (young.get(m) or old[m])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
         if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        cut = [self.pieces(t) for t in texts]
-        self._learn(set().union(*cut).difference(self.young))
-        get = self.young.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        new = set(pieces).difference(young)
+        kept = new.intersection(old)
+        young.update((p, old[p]) for p in kept)
+        new -= kept
+        words = [p for p in new if p.isalpha() and (p.isascii() or p.lower().isalpha())]
+        others = list(new.difference(words))
+        young.update(zip(words, self._words(words), strict=True))
+        young.update(zip(others, self._each(others), strict=True))
+        return list(map(young.__getitem__, pieces))
+
+    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (strings), and the number of each text's."""
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, *MARKS))
+        said = parts.flatten().dictionary_encode()
+        place = said.indices.to_numpy()
+        found = self._learn(said.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        edge = np.concatenate(([0], np.cumsum(size[place])))
+        where = np.repeat(start[place] - edge[:-1], size[place]) + np.arange(edge[-1])
+        bounds = edge[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return pool[where], np.diff(bounds)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes, none null) one after another, and the number of each text's ids."""
+        try:
+            said = texts.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            said = pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
+        if not self.by_piece:
+            found = self._each(said.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        odd = np.array([b"<|" in x or b"\xcc" in x or b"\xcd" in x for x in texts.to_pylist()], bool)
+        if not odd.any():
+            return self._gather(pc.ascii_lower(said))
+        (a, n), (b, m) = self._gather(pc.ascii_lower(said.filter(pa.array(~odd)))), self._gather(said.filter(pa.array(odd)))
+        counts = np.empty(len(odd), np.int64)
+        counts[~odd], counts[odd] = n, m
+        of = np.repeat(odd, counts)
+        ids = np.empty(len(of), np.uint32)
+        ids[~of], ids[of] = a, b
+        return ids, counts
 
 
 @lru_cache(maxsize=1)
@@ -189,49 +221,65 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table of files: part, file (its place in part), doc_ids, n_ids, payload.
+    """A table of files: part, file (its place in part), before (ids of the part's files before it), doc_ids, n_ids, payload.
 
-    Documents are range-sorted by id; rows of one id by a hash of the text, then by the text's length.
-    Null ids come first. A null text is an empty one: the end id alone. Other columns aren't read.
+    Documents are range-sorted by id, rows of one id in the order of the table: one id with many rows is
+    spread over parts. Null ids come first. A null text is an empty one: the end id alone. Repeated rows
+    are rows of their own. Texts are whole: a long one is encoded in parts, cut at blanks, which gives
+    the same ids. An empty table gives no files. Other columns aren't read.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.octet_length("text"))
-    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(*order)
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = (F.asc_nulls_first("doc_id"), F.asc("row"))
+    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        part, number, ids, names, size = TaskContext.get().partitionId(), 0, [], [], 0
+        enc, end = encoder(vocabulary), np.uint32(end_id)
+        part, number, before, size = TaskContext.get().partitionId(), 0, 0, 0
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        names: list[pa.Array] = []
 
         def give() -> pa.RecordBatch:
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            file = write_file(np.frombuffer(b"".join(ids), "<u4"), counts)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([int(counts.sum())], pa.int64()), pa.array([file], pa.binary())], names=["part", "file", "doc_ids", "n_ids", "payload"])
+            file = write_file(np.concatenate(ids), np.concatenate(counts))
+            keys = pa.concat_arrays(names)
+            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([size], pa.int64()), pa.array([file], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=["part", "file", "before", "doc_ids", "n_ids", "payload"])
 
         for b in batches:
-            texts, keys = b.column("text"), b.column("doc_id").to_pylist()
-            for s in range(0, len(keys), 500):
-                for k, x in zip(keys[s : s + 500], enc.encode(texts[s : s + 500].to_pylist()), strict=True):
-                    names.append(k)
-                    ids.append(x + end)
-                    size += len(ids[-1]) // 4
-                    if size > FILE_IDS:
-                        yield give()
-                        number, ids, names, size = number + 1, [], [], 0
-        if ids:
+            each, total = [], np.zeros(len(b), np.int64)
+            for texts, places in slices(b.column("text"), SLICE):
+                x, n = enc.encode(texts)
+                each.append(x)
+                np.add.at(total, places, n)
+            out = np.full(int(total.sum()) + len(b), end, np.uint32)
+            out[np.arange(int(total.sum())) + np.repeat(np.arange(len(b)), total)] = np.concatenate(each) if each else np.empty(0, np.uint32)
+            ids.append(out)
+            counts.append(total + 1)
+            names.append(b.column("doc_id"))
+            size += len(out)
+            if size > FILE_IDS:
+                yield give()
+                number, before, size = number + 1, before + size, 0
+                ids, counts, names = [], [], []
+        if size:
             yield give()
-            ids, names = [], []
+            ids, counts, names = [], [], []
         release()
 
-    return written(rows.mapInArrow(run, "part int, file int, doc_ids array<long>, n_ids long, payload binary"), "tokens")
+    return written(rows.mapInArrow(run, "part int, file int, before long, doc_ids array<long>, n_ids long, payload binary"), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of each document, read back from the files."""
-    order = Window.orderBy("part", "file")  # one row a file, without its payload
-    start = files.select("part", "file", "n_ids").withColumn("first", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
+    """doc_id, start, n_tokens, ids_crc32 and ids of each document, read back from the files.
+
+    Null ids and repeated rows come as they were written; no files give no rows. A task holds one file
+    and one document.
+    """
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
+    first = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,8 +295,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         out = []
                 yield _batch(out)
 
-    parts = files.join(F.broadcast(start), ["part", "file"])
-    return parts.select("first", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    placed = files.join(F.broadcast(first), "part").select((F.col("first") + F.col("before")).alias("first"), "doc_ids", "payload")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
