@@ -1,14 +1,18 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The symbols are words. The windows of all items with the same number of words, m, share one pair of
-tables: the shift table tells for a block of two words how far the search may move on, and the bucket
-of a block that ends windows holds the windows to compare directly. Items are taken in blocks of
-bounded size, each with tables of its own that are broadcast; one block holds any usual benchmark.
+tables: the shift table (a byte for each slot of a hash of two words) tells how far the search may move
+on, and the bucket of the two words that end a window, sorted by the hash of the whole window, holds the
+windows to compare directly. Tables are flat arrays over the items' text, some five times its size.
+Workers build them from the items, which are broadcast in blocks of bounded size; one block holds any
+usual benchmark, and of a larger one each block is searched in a pass of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import small_batches, text_bytes
+from tessella.llm.common import small_batches, text_bytes, written
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of item text in one block of tables: what is collected, built and broadcast at once.
-BLOCK_BYTES = 8_000_000
+#: Bytes of item text in one block: what is collected, broadcast and made into tables at once.
+BLOCK_BYTES = 16_000_000
 #: Lower-cases A-Z and turns what is no word character into a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -33,48 +37,76 @@ def item_words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Windows of m words each; ``items`` has for each window the numbers of the items it is from."""
+    """Windows of m words of ``items`` (number, words)."""
 
-    def __init__(self, m: int, windows: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, m: int, items: list[tuple[int, list[bytes]]]):
         self.m, self.block = m, min(2, m)
         self.skip = m - self.block + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[tuple[bytes, ...], set[int]]] = defaultdict(dict)
-        for w, items in windows.items():
-            for end in range(self.block, m + 1):
-                b = b" ".join(w[end - self.block : end])
-                self.shift[b] = min(self.shift.get(b, self.skip), m - end)
-            self.buckets[b" ".join(w[m - self.block :])][w] = items
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
-        """(first word, items) of each occurrence."""
-        m, n, skip, shift = self.m, len(words), self.skip, self.shift.get
+        total = sum(len(w) for _, w in items)
+        self.mask = (1 << max(10, (4 * total).bit_length())) - 1
+        self.shift = bytearray([self.skip]) * (self.mask + 1)
+        self.text = text = b" ".join(b" ".join(w) for _, w in items)
+        first, last, suffix, whole, owner = (array("q") for _ in range(5))
+        at = 0
+        for k, words in items:
+            ends, starts = array("q"), array("q")
+            for w in words:
+                starts.append(at)
+                at += len(w) + 1
+                ends.append(at - 1)
+            for j in range(len(words) - self.block + 1):
+                h = hash(text[starts[j] : ends[j + self.block - 1]])
+                far = max(0, m - j - self.block)  # from here to the end of the first window that holds the block
+                i = h & self.mask
+                if far < self.shift[i]:
+                    self.shift[i] = far
+                if not far:
+                    s = j + self.block - m
+                    first.append(starts[s])
+                    last.append(ends[s + m - 1])
+                    suffix.append(h)
+                    whole.append(hash(text[starts[s] : ends[s + m - 1]]))
+                    owner.append(k)
+        a, b, c, d, e = (np.frombuffer(x, np.int64) if len(x) else np.empty(0, np.int64) for x in (suffix, whole, owner, first, last))
+        order = np.lexsort((c, b, a))
+        # A window that several items share, or one item has twice, is compared once: rows of one window lie together.
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        self.suffix, self.whole = array("q", a[order][fresh].tobytes()), array("q", b[order][fresh].tobytes())
+        self.first, self.last = array("q", d[order][fresh].tobytes()), array("q", e[order][fresh].tobytes())
+        self.edge, self.owner = array("q", np.append(np.flatnonzero(fresh), len(order)).tobytes()), array("q", c[order].tobytes())
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(first word, number of the window) of each occurrence."""
+        m, n, mask, shift, size = self.m, len(words), self.mask, self.shift, self.block
         i = m
-        if self.block == 1:
-            for i, w in enumerate(words):
-                if w in self.buckets:
-                    yield i, self.buckets[w][(w,)]
-            return
         while i <= n:
-            b = words[i - 2] + b" " + words[i - 1]
-            move = shift(b, skip)
+            b = words[i - 1] if size == 1 else words[i - 2] + b" " + words[i - 1]
+            h = hash(b)
+            move = shift[h & mask]
             if move:
                 i += move
                 continue
-            items = self.buckets[b].get(tuple(words[i - m : i]))
-            if items is not None:
-                yield i - m, items
+            low = bisect_left(self.suffix, h)
+            if low < len(self.suffix) and self.suffix[low] == h:
+                high = bisect_right(self.suffix, h, low)
+                window = b" ".join(words[i - m : i])
+                at = bisect_left(self.whole, hash(window), low, high)
+                if at < high and self.text[self.first[at] : self.last[at]] == window:
+                    yield i - m, at
             i += 1
 
+    def items(self, window: int) -> list[int]:
+        return self.owner[self.edge[window] : self.edge[window + 1]].tolist()
+
 
 def build(items: list[tuple[object, bytes]], window: int = WINDOW) -> list[WuManber]:
-    by_m: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+    by_m: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
     for k, (_, text) in enumerate(items):
         words = item_words(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_m[m][tuple(words[i : i + m])].add(k)
-    return [WuManber(m, dict(w)) for m, w in sorted(by_m.items())]
+        if words:
+            by_m[min(window, len(words))].append((k, words))
+    return [WuManber(m, x) for m, x in sorted(by_m.items())]
 
 
 def scan(words: list[bytes], tables: list[WuManber]) -> tuple[np.ndarray, set[int]]:
@@ -82,20 +114,43 @@ def scan(words: list[bytes], tables: list[WuManber]) -> tuple[np.ndarray, set[in
     edge = np.zeros(len(words) + 1, np.int64)
     found: set[int] = set()
     for t in tables:
-        for at, items in t.search(words):
+        windows = set()
+        for at, window in t.search(words):
             edge[at] += 1
             edge[at + t.m] -= 1
-            found |= items
+            windows.add(window)
+        for x in windows:
+            found.update(t.items(x))
     return np.cumsum(edge[:-1]) > 0 if found else np.zeros(len(words), bool), found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of about BLOCK_BYTES, one collected at a time, dealt by a hash of the text."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), text_bytes(text_col).alias("text")).filter(F.octet_length("text") > 0)
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    n = -(-total // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("text"), F.lit(max(1, n)))
-    return [[(r.item, bytes(r.text)) for r in items.filter(block == k).collect()] for k in range(n)]
+#: The tables that a worker built last, and of which broadcast block: the next task finds them.
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+def tables_of(name: str, items: list[tuple[str, bytes]]) -> list[WuManber]:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build(items)
+    return _BUILT[name]
+
+
+class Items:
+    """A benchmark in blocks of about BLOCK_BYTES, dealt by a hash of the text."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str):
+        item = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+        self.rows = benchmark.select(item.alias("item"), text_bytes(text_col).alias("text")).filter(F.octet_length("text") > 0)
+        total = self.rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+        self.blocks = max(1, -(-total // BLOCK_BYTES))
+
+    def block(self, k: int) -> list[tuple[str, bytes]]:
+        of = F.pmod(F.xxhash64("text"), F.lit(self.blocks)) == k
+        got = self.rows.filter(of).toArrow()
+        return list(zip(got.column("item").to_pylist(), got.column("text").to_pylist(), strict=True))
+
+
+NEW = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -104,47 +159,80 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits holds the ids (as strings) of the items with an occurring window, sorted. A null or empty
     text has no words and isn't contaminated; the digest of no items is that of the empty string.
     Items without words have no window; a null item id counts as the text "null"; items of one id count
-    once. Repeated documents get a row each. Columns of ``docs`` with the names above are replaced. Each
-    text is split once for each block of items, in a scan without a shuffle.
+    once. Texts are searched whole, however long. Repeated documents get a row each. An empty table of
+    documents gives no rows, an empty benchmark no hits. Columns of ``docs`` with the names above are
+    replaced, others pass. One block of items takes one scan without a shuffle. Of a larger benchmark
+    one block at a time is on the driver and in memory; the documents are stored once with a row
+    number, each block adds a scan, and hits alone are shuffled by it before they join the documents.
     """
-    new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"]
     spark = small_batches(docs).sparkSession
-    keep = [c for c in docs.columns if c not in new]
-    work = docs.select(*keep, text_bytes(text_col).alias("__text"), F.array().cast("array<string>").alias("__items"), F.lit(None).cast("binary").alias("__mask"))
-    for block in item_blocks(benchmark, item_col, item_text_col) or [[]]:
-        names = [k if k is not None else "null" for k, _ in block]
-        shared = spark.sparkContext.broadcast((build(block), names))
-        schema = work.schema
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tables, names = shared.value
+    keep = [c for c in docs.columns if c not in NEW]
+    items = Items(benchmark, item_col, item_text_col)
+    out = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("hits", T.ArrayType(T.StringType()))
+    work = docs.select(*keep, text_bytes(text_col).alias("__text"))
+
+    def digests(n_words: list[int], n_hit: list[int], hits: list[list[str]]) -> dict[str, pa.Array]:
+        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in hits]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+        return {c: pa.array(x, k) for c, x, k in zip(NEW, (n_words, n_hit, [len(x) for x in hits], sha, [x > 0 for x in n_hit], hits), kinds, strict=True)}
+
+    if items.blocks == 1:
+        held, name = spark.sparkContext.broadcast(items.block(0)), _block_key()
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, names = tables_of(name, held.value), held.value
             for b in batches:
-                items, masks = [], []
-                for text, had, mask in zip(b.column("__text"), b.column("__items").to_pylist(), b.column("__mask").to_pylist(), strict=True):
+                n_words, n_hit, hits = [], [], []
+                for text in b.column("__text"):
                     words = item_words(text.as_py())
                     hit, found = scan(words, tables)
-                    if mask is not None:
-                        hit |= np.unpackbits(np.frombuffer(mask[8:], np.uint8), count=len(words)).astype(bool)
-                    items.append(sorted({*had, *(names[k] for k in found)}))
-                    masks.append(len(words).to_bytes(8, "little") + np.packbits(hit).tobytes())
-                cols = {n: b.column(n) for n in b.schema.names} | {"__items": pa.array(items, pa.list_(pa.string())), "__mask": pa.array(masks, pa.binary())}
-                yield pa.RecordBatch.from_pydict(cols)
+                    n_words.append(len(words))
+                    n_hit.append(int(hit.sum()))
+                    hits.append(sorted({names[k][0] for k in found}))
+                yield pa.RecordBatch.from_pydict({n: b.column(n) for n in keep} | digests(n_words, n_hit, hits))
+
+        return work.mapInArrow(once, out)
+
+    work = written(work.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    parts = []
+    for k in range(items.blocks):
+        held, name = spark.sparkContext.broadcast(items.block(k)), _block_key()
+
+        def some(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
+            tables, names = tables_of(name, held.value), held.value
+            for b in batches:
+                rows: list[tuple] = []
+                for row, text in zip(b.column("__row").to_pylist(), b.column("__text"), strict=True):
+                    hit, found = scan(item_words(text.as_py()), tables)
+                    if found:
+                        rows.append((row, np.packbits(hit).tobytes(), sorted({names[k][0] for k in found})))
+                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(cols, names=["__row", "mask", "items"])
 
-        work = work.mapInArrow(run, schema)
+        parts.append(written(work.select("__row", "__text").mapInArrow(some, "__row long, mask binary, items array<string>"), "hits"))
+        held.destroy()
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    found = found.groupBy("__row").agg(F.collect_list("mask").alias("__masks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))  # an entry for each block
+    both = work.join(found, "__row", "left").select(*keep, "__text", "__masks", "__items")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items, masks = b.column("__items").to_pylist(), b.column("__mask").to_pylist()
-            hit = [int(np.unpackbits(np.frombuffer(m[8:], np.uint8)).sum()) for m in masks]
-            cols = {n: b.column(n) for n in keep} | {
-                "n_words": pa.array([int.from_bytes(m[:8], "little") for m in masks], pa.int64()), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), "contaminated": pa.array([h > 0 for h in hit]), "hits": b.column("__items"),
-            }
-            yield pa.RecordBatch.from_pydict(cols)
-
-    kept = docs.select(*keep).schema
-    out = kept.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean").add("hits", T.ArrayType(T.StringType()))
-    return work.drop("__text").mapInArrow(digest, out)
+            n_words, n_hit = [], []
+            for text, masks in zip(b.column("__text"), b.column("__masks").to_pylist(), strict=True):
+                n_words.append(len(item_words(text.as_py())))
+                bits = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in masks]) if masks else np.empty(0, np.uint8)
+                n_hit.append(int(np.unpackbits(bits).sum()))
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in keep} | digests(n_words, n_hit, [x or [] for x in b.column("__items").to_pylist()]))
+
+    return both.mapInArrow(merge, out)
+
+
+def _block_key() -> str:
+    import uuid
+
+    return uuid.uuid4().hex
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

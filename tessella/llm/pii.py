@@ -2,10 +2,11 @@
 
 Four kinds of entities are found by pattern. A term (a run of letters) near an entity may disclose it:
 over the whole corpus, p(kind) is the share of words that lie near an entity of the kind, and
-p(kind | term) that share among the term's own occurrences. PMI(term; kind) = log2 p(kind | term) /
-p(kind) says how much the term tells, and the kind's information content, IC = -log2 p(kind), how much
-there is to tell. A term near an entity with PMI >= REMOVE * IC is removed, one with PMI >= GENERALISE
-* IC is generalised to its kind. Terms seen near entities less than SUPPORT times aren't judged.
+p(kind | term) that share among the term's own occurrences, with PRIOR occurrences added of which as
+many lie near the kind as among all words: a term that is rarely seen is judged too, but needs more to
+be removed. PMI(term; kind) = log2 p(kind | term) / p(kind) says how much the term tells, and the kind's
+information content, IC = -log2 p(kind), how much there is to tell. A term near an entity with PMI >=
+REMOVE * IC is removed, one with PMI >= GENERALISE * IC is generalised to its kind.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, word_hashes, written
+from tessella.llm.common import bit_field, hits, small_batches, word_hashes, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words looked at on each side of an entity, and characters they lie in at most.
 NEAR_WORDS = 5
 NEAR_CHARS = 120
-SUPPORT = 5
+PRIOR = 4.0
 GENERALISE, REMOVE = 0.5, 0.8
-#: Bits of the field that tells which terms to count; other terms of the same bit are counted in vain.
-FIELD = 1 << 20
+#: Disclosing terms (20 bytes each) that are broadcast at most; more are joined by salted keys, SALTS for each.
+BROADCAST_ROWS = 500_000
+SALTS = 16
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -145,17 +147,11 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<term:long,kind:int,s:long,e:long>>")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """term (hash), kind, action (1 generalise, 2 remove) of the terms that disclose a kind, from the whole corpus."""
-    spark = docs.sparkSession
     near = scanned.filter(F.size("near") > 0).select(F.explode("near").alias("x")).groupBy("x.term", "x.kind").agg(F.count("*").alias("n"))
     near = written(near, "near")
-    bits = near.filter(F.col("n") >= support).select(F.pmod("term", F.lit(FIELD)).cast("int").alias("slot"))
-    bits = bits.groupBy(F.expr("slot div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("b"))
-    field = np.zeros(FIELD // 32, np.uint32)
-    for r in bits.collect():  # FIELD / 32 rows at most
-        field[r.w] = r.b
-    held = spark.sparkContext.broadcast(field)
+    held = docs.sparkSession.sparkContext.broadcast(bit_field(near.select("term").distinct(), "term"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, words = held.value, 0
@@ -164,8 +160,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", supp
             for t in b.column(0):
                 w = word_hashes(t.as_py().translate(_FOLD).split())
                 words += len(w)
-                s = np.mod(w.view(np.int64), FIELD)
-                terms.append(w[((f[s >> 5] >> (s & 31).astype(np.uint32)) & 1).astype(bool)])
+                terms.append(w[hits(f, w.view(np.int64))])
             u, n = np.unique(np.concatenate(terms) if terms else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([words])], names=["term", "n"])
@@ -176,8 +171,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", supp
     kinds = near.groupBy("kind").agg(F.sum("n").alias("kind_n")).crossJoin(words)  # a row for each kind
     p_kind = F.col("kind_n") / F.greatest(F.col("words"), F.col("kind_n"))
     kinds = F.broadcast(kinds.select("kind", p_kind.alias("p")))
-    told = near.filter(F.col("n") >= support).join(totals, "term").join(kinds, "kind")
-    share = F.log2(F.least(F.lit(1.0), F.col("n") / F.col("all")) / F.col("p")) / F.greatest(-F.log2("p"), F.lit(1e-9))
+    told = near.join(totals, "term").join(kinds, "kind")
+    given = (F.col("n") + prior * F.col("p")) / (F.greatest("all", "n") + prior)
+    share = F.log2(given / F.col("p")) / F.greatest(-F.log2("p"), F.lit(1e-9))
     return told.select("term", "kind", F.when(share >= remove, 2).when(share >= generalise, 1).alias("action")).filter("action is not null")
 
 
@@ -185,15 +181,21 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms for each row of ``docs``.
 
     terms: (s, e, kind, action) of disclosing terms near an entity of the document. A null text is an
-    empty one. Base spans always stay; a document without them gets no terms. Repeated rows give a row
-    each. Other columns aren't read. Texts are read twice; what is shuffled is near terms and counts.
+    empty one; texts are taken whole, however long. Base spans always stay; a document without them gets
+    no terms. Repeated rows give a row each, an empty table none. Other columns aren't read. Texts are
+    read twice; what is shuffled is near terms and counts.
     """
     found = written(scan(docs, id_col, text_col), "entities")
-    tell = disclosing(docs, found, text_col, **limits)
+    tell = written(disclosing(docs, found, text_col, **limits), "tell")
     near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hits = near.join(tell, ["term", "kind"]).groupBy("row", "s", "e").agg(F.max(F.struct("action", "kind")).alias("a"))
-    hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "a.kind", "a.action"))).alias("terms"))
-    out = found.drop("near").join(hits, "row", "left")
+    if tell.count() <= BROADCAST_ROWS:
+        both = near.join(F.broadcast(tell), ["term", "kind"])
+    else:  # a usual word may lie near millions of addresses
+        salt = F.pmod(F.xxhash64("row", "s"), F.lit(SALTS)).cast("int")
+        both = near.withColumn("salt", salt).join(tell.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "kind", "salt"])
+    told = both.groupBy("row", "s", "e").agg(F.max(F.struct("action", "kind")).alias("a"))
+    told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "a.kind", "a.action"))).alias("terms"))
+    out = found.drop("near").join(told, "row", "left")
     named = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t.s.cast("string"), t.e.cast("string")))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, F.concat_ws(",", named)))
     return out.select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), "terms")
@@ -216,7 +218,11 @@ def clean(text: str, spans: str, terms: list[dict]) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """Every column of ``docs``, with the text sanitised; a null text stays null."""
+    """Every column of ``docs``, with the text sanitised.
+
+    A null text stays null, an empty one empty; texts are taken whole. Repeated rows give a row each, an
+    empty table none. Other columns pass as they are, whatever their names.
+    """
     found = find_personal(docs, id_col, text_col, **limits).filter("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"), F.col("terms").alias("__terms")).dropDuplicates(["__row"])
     both = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(found, "__row", "left").drop("__row")
     keep = docs.columns

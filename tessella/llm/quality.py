@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import mix64, placed, small_batches, text_bytes, word_hashes, written
+from tessella.llm.common import mix64, placed, slices, small_batches, text_bytes, with_rank, word_hashes, written
 
 #: Hash table of n-grams; bounds both models.
 FEATURES = 1 << 17
@@ -24,17 +24,28 @@ TARGET_ROWS = 20_000
 #: Counts added to what a feature has in the target and to what the raw corpus leads to expect there:
 #: rare n-grams say little, whether or not a labelled text has them.
 PRIOR = 10.0
+#: Bytes of text whose words are hashed at once, about.
+SLICE = 1_000_000
 #: Rows sampled, of all rows.
 SHARE = 0.8
 
 
-def ngrams(text: bytes) -> np.ndarray:
-    """Feature numbers of the words and pairs of words of a text."""
-    h = word_hashes(text.lower().split())
-    if not len(h):
-        return np.empty(0, np.int64)
-    pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (np.concatenate((mix64(h), pair)) & np.uint64(FEATURES - 1)).astype(np.int64)
+def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature, place of the text) of the words and pairs of words of the texts (bytes), a bounded number at once, texts in order."""
+    before: tuple[int, np.uint64] | None = None  # the last word, of a text that comes in parts
+    for part, places in slices(texts, SLICE):
+        words = [t.lower().split() for t in part.to_pylist()]
+        h = word_hashes([w for ws in words for w in ws])
+        doc = np.repeat(np.array(places, np.int64), [len(ws) for ws in words])
+        features, docs = [mix64(h)], [doc]
+        if before and len(h) and before[0] == doc[0]:
+            h, doc = np.concatenate(([before[1]], h)), np.concatenate(([before[0]], doc))
+        same = doc[1:] == doc[:-1]
+        features.append(mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[same])
+        docs.append(doc[1:][same])
+        if len(h):
+            before = int(doc[-1]), h[-1]
+        yield (np.concatenate(features) & np.uint64(FEATURES - 1)).astype(np.int64), np.concatenate(docs)
 
 
 def log_ratios(docs: DataFrame, target_ids: list, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -44,19 +55,19 @@ def log_ratios(docs: DataFrame, target_ids: list, id_col: str = "doc_id", text_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, total = held.value, np.zeros((2, FEATURES), np.int64)
         for b in batches:
-            for k, t in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                n = np.bincount(ngrams(t.as_py()), minlength=FEATURES)
-                total[0] += n
-                if k in ids:
-                    total[1] += n
+            wanted = np.array([k in ids for k in b.column("id").to_pylist()], bool)
+            for f, doc in ngrams(b.column("text")):
+                total[0] += np.bincount(f, minlength=FEATURES)
+                if (use := wanted[doc]).any():
+                    total[1] += np.bincount(f[use], minlength=FEATURES)
         f = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(total[0, f]), pa.array(total[1, f])], names=["feature", "raw", "target"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    got = rows.mapInArrow(count, "feature int, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    got = rows.mapInArrow(count, "feature int, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(FEATURES), np.zeros(FEATURES)
-    raw[got["feature"]] = got["raw"]
-    target[got["feature"]] = got["target"]
+    raw[got.column("feature").to_numpy()] = got.column("raw").to_numpy()
+    target[got.column("feature").to_numpy()] = got.column("target").to_numpy()
     expected = raw * (target.sum() / max(1.0, raw.sum()))
     return np.log(target + PRIOR) - np.log(expected + PRIOR)
 
@@ -64,7 +75,7 @@ def log_ratios(docs: DataFrame, target_ids: list, id_col: str = "doc_id", text_c
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, target_rows: int = TARGET_ROWS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_importance, rank of the sampled rows, rank from 0 by the noisy key.
 
-    k is ``share`` of all rows. The target is what is labelled good: quality 1 and not toxic. Without
+    k is ``share`` of all rows. Texts are taken whole, however long. The target is what is labelled good: quality 1 and not toxic. Without
     labels all rows weigh the same. A document with conflicting labels isn't a target. A null or
     empty text has log importance 0. Equal keys are ordered by id and a hash of the text; repeated rows
     draw the same noise and count each. Labels of ids that ``docs`` lacks teach nothing. An empty table
@@ -81,19 +92,20 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, target_ro
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ratio.value
         for b in batches:
-            w = np.array([r[ngrams(t.as_py())].sum() for t in b.column("text")], np.float64)
+            w = np.zeros(len(b))
+            for f, doc in ngrams(b.column("text")):
+                w += np.bincount(doc, r[f], len(b))
             u = (mix64(b.column("row").to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(w), pa.array(w - np.log(-np.log(u)))], names=["doc_id", "row", "log_importance", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), id_col, text_col).alias("row"), text_bytes(text_col).alias("text"))
-    scored = written(rows.mapInArrow(score, f"doc_id {kind}, row long, log_importance double, key double"), "scored")
-    rows = placed(scored, F.desc("key"), F.col("doc_id"), F.col("row"))
-    runs = rows.groupBy("pid").agg(F.count("*").alias("n"))
-    total = int(round(share * scored.count()))
-    before = runs.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"))  # one row a partition
-    rank = F.col("before") + F.col("idx")
-    return rows.join(F.broadcast(before), "pid").filter(rank < total).select("doc_id", "log_importance", rank.cast("long").alias("rank"))
+    scored = rows.mapInArrow(score, f"doc_id {kind}, row long, log_importance double, key double")
+    scored = written(scored.withColumn("number", F.monotonically_increasing_id()), "scored")
+    # Repeated rows have one key and one row hash: their number in the table tells them apart.
+    rows = placed(scored, F.desc("key"), F.col("doc_id"), F.col("row"), F.col("number"))
+    total = int(round(share * rows.count()))
+    return with_rank(rows).filter(F.col("rank") < total).select("doc_id", "log_importance", "rank")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,14 +123,30 @@ def test_importance_separates_planted_text(spark):
     assert r.equals(QU.resample(docs, labels, 0.75).toPandas())
 
 
+def features_of(text):
+    return [x for f, _ in QU.ngrams(pa.array([text])) for x in f.tolist()]
+
+
+def test_ngrams_of_parts(monkeypatch):
+    texts = pa.array([b"a b c", b"", b"d " * 60 + b"e", b"f", b"a b c"])
+    want = [sorted(features_of(t)) for t in texts.to_pylist()]
+    monkeypatch.setattr(QU, "SLICE", 16)
+    got = [[] for _ in want]
+    for f, doc in QU.ngrams(texts):
+        for x, k in zip(f.tolist(), doc.tolist(), strict=True):
+            got[k].append(x)
+    assert [sorted(x) for x in got] == want and len(want[2]) == 121 and len(want[0]) == 5
+
+
 def test_log_ratio_against_brute_force(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, None)], "doc_id long, text string")
     got = QU.log_ratios(docs, [1])
     raw, target = Counter(), Counter()
     for text, t in ((b"a b a", 1), (b"c", 0)):
-        for f in QU.ngrams(text).tolist():
+        for f in features_of(text):
             raw[f] += 1
             target[f] += t
+    assert len(raw) == 5
     for f in raw:
         want = np.log(target[f] + QU.PRIOR) - np.log(raw[f] * sum(target.values()) / sum(raw.values()) + QU.PRIOR)
         assert abs(got[f] - want) < 1e-12
@@ -174,11 +191,26 @@ def test_wu_manber_against_brute_force():
 def test_blocks_of_items_add_up(spark, data, monkeypatch):
     docs, bench = docs_of(spark, data), spark.read.parquet(f"{data}/benchmark.parquet")
     one = DC.decontaminate(docs, bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(DC, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(DC, "BLOCK_BYTES", 9_000)
+    assert DC.Items(bench, "item_id", "text").blocks > 1
     assert DC.decontaminate(docs, bench).orderBy("doc_id").collect() == one
     assert any(r.contaminated for r in one)
 
 
+def test_tables_of_many_items_are_small():
+    import tracemalloc
+
+    rng = random.Random(2)
+    words = [b"w%d" % i for i in range(30_000)]
+    items = [(k, b" ".join(rng.choices(words, k=100))) for k in range(1_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    tables = DC.build(items)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 15 * size and DC.scan(DC.item_words(b"x " + items[7][1][40:200]), tables)[1] == {7}
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "x"), (2, None), (None, "WORD"), (3, " - "), (4, "beta-gamma delta")], "item_id long, text string")
     r = {(x.doc_id, x.n_words): x for x in DC.decontaminate(odd, bench).collect()}
@@ -288,8 +320,9 @@ def test_packed_rows_round_trip():
     assert len(fps) == 9 and (fps[:-1, 0] <= fps[1:, 0]).all()
     a, b, c = ND.unpack_keys(ND.pack_keys(k, place, fps))
     assert (a == k).all() and (c[b] == fps[place]).all()
-    rows = [{"node": -5 + i, "n": i, "comp": 7, "sig": bytes(i)} for i in range(4)]
-    assert ND.unpack_block(ND.pack_block(rows)) == [(r["node"], r["n"], 7, r["sig"]) for r in rows]
+    rows = [{"node": -5 + i, "n": i, "comp": 7, "copy": 2 * i, "id": i if i % 2 else None, "sig": bytes(i)} for i in range(4)]
+    assert ND.unpack_block(ND.pack_block(rows)) == rows
+    assert sorted(ND.connected([(0, 1), (2, 1), (4, 5)], [9, 8, 7, 6, 5, 5])) == [(2, 0), (2, 1)]
 
 
 def test_nodes_of_equal_first_half_stay_apart(spark, monkeypatch):
@@ -373,11 +406,61 @@ def test_disclosing_terms(spark):
     assert "<EMAIL>" in clean[3] and "contact" not in clean[3] and clean[100] == rows[40][1]
 
 
+def brute_terms(texts):
+    """The terms that disclose, by counting words in plain Python: {(document, start, end): action}."""
+    word = re.compile("[A-Za-z\x80-\U0010ffff]+")
+    near, all_, words = Counter(), Counter(), 0
+    there = defaultdict(set)
+    for k, t in enumerate(texts):
+        spans = brute_entities(t)
+        for m in word.finditer(t):
+            all_[m[0].lower()] += 1
+            words += 1
+        for kind, a, b in spans:
+            before = [m.span() for m in word.finditer(t) if m.end() <= a and m.start() > a - 120][-5:]
+            after = [m.span() for m in word.finditer(t) if m.start() >= b and m.end() < b + 120][:5]
+            for s, e in before + after:
+                if not any(x < e and s < y for _, x, y in spans):
+                    there[k].add((kind, s, e))
+        for kind, s, e in there[k]:
+            near[t[s:e].lower(), kind] += 1
+    p = {kind: sum(n for (_, k), n in near.items() if k == kind) / words for kind in BASE}
+    out = {}
+    for k, found in there.items():
+        for kind, s, e in found:
+            w = texts[k][s:e].lower()
+            given = (near[w, kind] + 4 * p[kind]) / (all_[w] + 4)
+            share = np.log2(given / p[kind]) / -np.log2(p[kind])
+            action = 2 if share >= 0.8 else 1 if share >= 0.5 else 0
+            if action:
+                out[k, s, e] = max(action, out.get((k, s, e), 0))
+    return out
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_terms_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", most)  # 0: the salted join
+    rng = random.Random(6)
+    vocab = [f"noise{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    texts = []
+    for i in range(260):
+        w = rng.choices(vocab, k=rng.randint(4, 40))
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), f"write to x{i}@mail.example.org soon")
+        if i % 13 == 0:
+            w.insert(rng.randrange(len(w)), f"once{chr(97 + i % 26)} 10.0.{i % 200}.7")
+        w += ["soon"] * 2
+        texts.append(" ".join(w))
+    got = {(r.doc_id, t.s, t.e): t.action for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect() for t in r.terms or []}
+    assert got == brute_terms(texts) and 2 in got.values()
+
+
 def test_personal_data_of_odd_rows(spark, odd, none):
     more = odd.select("doc_id", "text").union(spark.createDataFrame([(50, "4" * 30_000 + " a@b.co " + "@" * 20_000)], "doc_id long, text string"))
     r = pii.find_personal(more).toPandas()
     assert len(r) == more.count() and r.n_email.sum() == 1
     assert pii.find_personal(none).count() == 0 and pii.sanitise(odd).count() == odd.count()
+    assert pii.find_personal(odd).count() == odd.count() and pii.sanitise(odd).columns == odd.columns and pii.sanitise(none).count() == 0
 
 
 # 6 token files
@@ -397,10 +480,42 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     enc, tok, rng = TF.Encoder(TF.vocabulary_path()), Tokenizer.from_file(TF.vocabulary_path()), random.Random(4)
-    parts = ["a", "B", "É", "́", "J̌", "Don't", "'s", " ", "\n", "\x1c", " ", ".", ",", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "9", "İ", "ΑΣ", "ß", "日本", "🙂", "-", "'", "\x00", "THE"]
+    parts = ["a", "B", "É", "́", "J̌", "Don't", "'s", " ", "\n", "\x1c", " ", ".", ",", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "9", "İ", "ΑΣ", "ß", "日本", "🙂", "-", "'", "\x00", "THE", "क़", "ŉ", "ﬁ", "ÿ", "é"]
     for _ in range(3000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(enc.encode([t.encode()])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3)]
+        ids, counts = enc.encode(pa.array([t.encode() for t in texts]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
+def test_long_texts_come_in_parts():
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab \n") for _ in range(n)) for n in (0, 3, 40, 200, 0)] + [b"x" * 100, b"y" * 90 + b" z"]
+    parts, places = [], []
+    for some, where in TF.slices(pa.array(texts), 16):
+        parts += some.to_pylist()
+        places += where
+    assert places == sorted(places) and [b"".join(p for p, k in zip(parts, places, strict=True) if k == i) for i in range(7)] == texts
+    assert all(p[-1:] in (b" ", b"\n") for p, k, after in zip(parts, places, places[1:], strict=False) if k == after) and len(parts) > 10
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok = TF.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.by_piece and TF.Encoder(TF.vocabulary_path()).by_piece
+    texts = [" Two  words,\n and more", "", "Ünï"]
+    ids, counts = enc.encode(pa.array([t.encode() for t in texts]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_one_id_with_most_rows_is_spread(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    files = TF.write_tokens(docs, TF.vocabulary_path(), 1)
+    assert files.select(F.max(F.size("doc_ids"))).first()[0] < 2000
+    r = TF.read_tokens(files).orderBy("start").toPandas()
+    assert r.doc_id.is_monotonic_increasing and len(r) == 4000 and (r.start == r.n_tokens.cumsum() - r.n_tokens).all()
 
 
 def test_token_digest(spark, data, monkeypatch):
@@ -425,10 +540,75 @@ def test_tokens_of_odd_rows(spark, odd, none):
 # 7 mixing
 
 
-def test_targets():
-    assert MX.targets([10, 10, 10], [5, 2, 1], 30) == [18.75, 7.5, 3.75]
-    assert MX.targets([1, 10, 10], [5, 2, 1], 21) == [3.0, 12.0, 6.0]
-    assert MX.targets([0, 5], [5, 2], 5) == [0.0, 5.0] and MX.targets([], [], 0) == []
+def brute_targets(sizes, weights, total, most=3):
+    out, open_ = [0.0] * len(sizes), list(range(len(sizes)))
+    left = total
+    while open_:
+        w = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / w > most * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = left * weights[i] / w
+            break
+        for i in over:
+            out[i] = most * sizes[i]
+            open_.remove(i)
+        left = total - sum(out)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 10, 10], [0, 5], [1, 2, 4, 8, 16, 500], [7] * 40 + [0, 900]])
+def test_targets(spark, sizes):
+    weights = [float((5, 2, 1)[i % 3]) for i in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(range(len(sizes)), sizes, weights, strict=True)), "k int, size long, weight double")
+    got = [r.target for r in MX.targets(df, float(sum(sizes))).orderBy("k").collect()]
+    assert np.allclose(got, brute_targets(sizes, weights, sum(sizes)))
+
+
+def test_targets_of_nothing(spark):
+    assert MX.targets(spark.createDataFrame([], "size long, weight double"), 0.0).count() == 0
+
+
+def brute_plan(rows, tilt=0.5):
+    """taken and positions of (order, source, size) rows: documents laid out pass after pass, places found by bisection."""
+    names = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
+    words = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    goal = brute_targets([words[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], sum(words.values()))
+    out = {}
+    for i, s in enumerate(names):
+        want, slope, at = round(goal[i]), tilt if i % 2 else -tilt, 0
+        for k in range(3):
+            for key, _, n in sorted(r for r in rows if r[1] == s):
+                part = max(0, min(n, want - at))
+                if part:
+                    middle, low, high = at + part / 2, 0.0, 1.0
+                    for _ in range(60):
+                        t = (low + high) / 2
+                        low, high = (t, high) if goal[i] * (t * (1 + slope) - slope * t * t) < middle else (low, t)
+                    out.setdefault(key, []).append((part, low))
+                at += n
+    return out
+
+
+def test_plan_against_brute_force(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice("aaaaab") if i % 7 else None) for i in range(150)], "doc_id long, text string, source string").repartition(3)
+    plan = MX.plan_mix(docs).collect()
+    keys = {r.doc_id: (r.mixed, r.mixed2) for r in plan}
+    want = brute_plan([((*keys[r.doc_id], r.doc_id), r.source, r.size) for r in plan])
+    for r in plan:
+        mine = want.get((*keys[r.doc_id], r.doc_id), [])
+        assert [p.words for p in r.passes] == [n for n, _ in mine] and r.taken == sum(n for n, _ in mine)
+        assert np.allclose([p.position for p in r.passes], [t for _, t in mine], atol=1e-6)
+
+
+def test_many_sources_and_one_row_many_times(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("two words").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    p = MX.plan_mix(docs).toPandas()
+    assert len(p) == 3000 and p.target.groupby(p.source).first().sum() == pytest.approx(6000) and (p.taken <= 6).all()
+    m = MX.mix(docs).toPandas()
+    want = sum(sum(2 * x.words >= s for x in ps) for ps, s in zip(p.passes, p["size"], strict=True))
+    assert len(m) == want and (m.source == "hot").sum() == sum(sum(2 * x.words >= s for x in ps) for ps, s, n in zip(p.passes, p["size"], p.source, strict=True) if n == "hot")
 
 
 def test_mix_meets_targets(spark, data):
@@ -464,6 +644,7 @@ def test_mixing_of_odd_rows(spark, odd, none):
     assert MX.plan_mix(none).count() == 0 and MX.mix(none).count() == 0
     mixed = MX.mix(odd).toPandas()
     assert set(mixed.columns) == {*odd.columns, "pass_words"} and len(mixed) > 0
+    p = MX.plan_mix(odd, hashed=[c for c in odd.columns if c != "position"]).toPandas()
     same = p[p.doc_id == 2]
     assert len(mixed[mixed.doc_id == 2]) == sum(sum(2 * x.words >= s for x in ps) for ps, s in zip(same.passes, same["size"], strict=True))
 
@@ -608,26 +789,67 @@ def test_held_out_accuracy(spark, data):
     assert (r.held_out == r.doc_id.map(lambda k: zlib.crc32(str(k).encode()) % 4 == 2)).all()
 
 
+def brute_grams(text):
+    """n-grams of a text as tuples, by the definition."""
+    import unicodedata
+
+    c = [0]
+    for x in text:
+        k = ord(x.lower()[0]) if unicodedata.category(x)[0] in "LM" else 0
+        if k or c[-1]:
+            c.append(k)
+    if c[-1]:
+        c.append(0)
+    return [tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1) if n > 1 or c[i]]
+
+
+def gram_counts(texts, **options):
+    out = [Counter() for _ in texts]
+    for f, doc, _ in LA.runs([t.encode() for t in texts], **options):
+        for x, k in zip(f.tolist(), doc.tolist(), strict=True):
+            out[k][x] += 1
+    return out
+
+
+def test_each_gram_counts_once(monkeypatch):
+    texts = ["Abc, abd!", "", "  ", "ünïcode wide  " * 30, "x", "zz9zz" * 50, "İ"]
+    whole = gram_counts(texts)
+    for c, t in zip(whole, texts, strict=True):
+        assert sorted(c.values()) == sorted(Counter(brute_grams(t)).values())
+    for piece in (7, 40, 200):
+        monkeypatch.setattr(LA, "PIECE", piece)
+        assert gram_counts(texts) == whole
+
+
 def test_language_scores_against_brute_force(spark):
     rows = [(1, "aba Abc", "x"), (2, "zz zy", "y"), (3, "ab", "x")]
     m = LA.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert m.languages == ["x", "y"]
-    counts = {k: Counter(f for _, t, g in rows if g == k for f in LA.grams(LA.folded(t.encode())).tolist()) for k in "xy"}
-    f = LA.grams(LA.folded(b"abz!"))
+    counts = {k: sum((Counter(brute_grams(t)) for _, t, g in rows if g == k), Counter()) for k in "xy"}
     logs = []
     for k, docs in (("x", 2), ("y", 1)):
         total = sum(counts[k].values()) + 0.1 * LA.FEATURES
-        logs.append(np.log(docs / 3) + sum(np.log((counts[k][x] + 0.1) / total) for x in f.tolist()))
-    lang, score = m.predict(b"abz!")
-    assert lang == "xy"[int(np.argmax(logs))] and abs(score - 1 / (1 + np.exp(-abs(logs[0] - logs[1])))) < 1e-4
-
-
-def test_pieces_lose_no_trigram(monkeypatch):
-    c = LA.folded(("abcdefghij " * 50).encode())
-    whole = Counter(LA.grams(c).tolist())
-    monkeypatch.setattr(LA, "PIECE", 40)
-    cut = Counter(f for p in LA.pieces(c) for f in LA.grams(p).tolist())
-    assert all(cut[f] >= n for f, n in whole.items())
+        logs.append(np.log(docs / 3) + sum(np.log((counts[k][x] + 0.1) / total) for x in brute_grams("abz!")))
+    said, score = m.predict([b"abz!", None, b"?", b"zzz"])
+    assert said == ["xy"[int(np.argmax(logs))], "und", "und", "y"] and score[1] == score[2] == 0
+    assert abs(score[0] - 1 / (1 + np.exp(-abs(logs[0] - logs[1])))) < 1e-4
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than any list of them: none is dropped, the model stays bounded."""
+    monkeypatch.setattr(LA, "CELLS", 1 << 22)
+    word = lambda k: "".join(chr(97 + (k // 26**i * (7 + 2 * i) + 3 * k) % 26) for i in range(9))
+    docs = spark.createDataFrame([(k, f"{word(k)} {word(k)}", f"l{k:03d}") for k in range(600)], "doc_id long, text string, lang string")
+    m = LA.train(docs)
+    assert len(m.languages) == 600 and m.log_p.size <= 1 << 22
+    r = LA.identify(docs, m).toPandas()
+    assert (r.lang == r.lang_pred).mean() > 0.95
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark):
+    docs = spark.range(6000).select(F.lit(5).alias("doc_id"), F.lit("same text").alias("text"), F.when(F.col("id") % 2 > 0, "a").otherwise("b").alias("lang"))
+    n = np.exp(LA.train(docs, 500).prior)
+    assert len(n) == 2 and abs(n[0] - 0.5) < 0.15
 
 
 def test_language_of_odd_rows(spark, odd, none):

@@ -5,6 +5,7 @@ import zlib
 
 import corpus_pipeline as CP
 from test_operators import brute_components, brute_hits
+from tokenizers import Tokenizer
 
 from tessella.llm import decontaminate as DC
 from tessella.llm import mixing as MX
@@ -33,7 +34,7 @@ def test_stages(spark, data):
     kept = written(stage["decontamination"](spark, kept, data), "t")
     assert {r.doc_id for r in kept.collect()} == clean < first
 
-    plan = MX.plan_mix(kept).collect()
+    plan = MX.plan_mix(kept, hashed=kept.columns).collect()
     want = {r.doc_id: sum(2 * p.words >= r.size for p in r.passes) for r in plan}
     mixed = written(stage["mixing"](spark, kept, data), "t")
     got = dict.fromkeys(want, 0)
@@ -42,10 +43,10 @@ def test_stages(spark, data):
     assert got == want and mixed.columns == docs.columns
 
     out = written(stage["tokens"](spark, mixed, data), "t").toPandas().sort_values("start")
-    enc, texts = TF.Encoder(TF.vocabulary_path()), {r.doc_id: r.text for r in mixed.collect()}
+    tok, texts = Tokenizer.from_file(TF.vocabulary_path()), {r.doc_id: r.text for r in mixed.collect()}
     at = 0
     for k, start, n, crc in out.itertuples(index=False):
-        ids = enc.encode([texts[k].encode()])[0] + np.array([1], "<u4").tobytes()
+        ids = np.array([*tok.encode(texts[k], add_special_tokens=False).ids, 1], "<u4").tobytes()
         assert (start, n, crc) == (at, len(ids) // 4, zlib.crc32(ids))
         at += n
     assert out.doc_id.is_monotonic_increasing and len(out) == mixed.count()

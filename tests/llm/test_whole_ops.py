@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
+from test_operators import features_of
 
 import __spark_entry__ as entry
 from tessella.llm import quality as QU
@@ -28,13 +29,13 @@ def test_quality_against_brute_force(spark, tmp_path):
     good = {k for k, v in said.items() if k is not None and all(v)}
     raw, target = Counter(), Counter()
     for k, text in docs:
-        for f in QU.ngrams((text or "").encode()).tolist():
+        for f in features_of((text or "").encode()):
             raw[f] += 1
             target[f] += k in good
     share = sum(target.values()) / sum(raw.values())
     want = []
     for r in df.select("doc_id", "text", F.xxhash64(F.lit(7), "doc_id", "text").alias("row")).collect():
-        w = sum(np.log(target[f] + QU.PRIOR) - np.log(raw[f] * share + QU.PRIOR) for f in QU.ngrams((r.text or "").encode()).tolist())
+        w = sum(np.log(target[f] + QU.PRIOR) - np.log(raw[f] * share + QU.PRIOR) for f in features_of((r.text or "").encode()))
         x, m = r.row % 2**64, 2**64
         x ^= x >> 30
         x = x * 0xBF58476D1CE4E5B9 % m
