@@ -101,40 +101,54 @@ def glob_passes(url: Column, include: list[str], exclude: list[str]) -> Column:
     return ok
 
 
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of a value that is worked out once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def private_ip(name: Column) -> Column:
     """PR6: a private, reserved or malformed address literal."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"^\[", ""), r"\]$", "")
-    dotted = F.regexp_extract(h, r"^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    hi = F.conv(F.regexp_extract(h, r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", 1), 16, 10).cast("int")
-    lo = F.conv(F.regexp_extract(h, r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", 2), 16, 10).cast("int")
-    from_hex = F.concat_ws(".", *((x % d / n).cast("int").cast("string") for x in (hi, lo) for d, n in ((65536, 256), (256, 1))))
-    target = F.when(dotted != "", dotted).when(h.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), from_hex).otherwise(h)
-    p = F.transform(F.split(target, r"\."), lambda x: x.try_cast("int"))
-    a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-    v4 = (
-        F.exists(p, lambda x: x > 255) | a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168))
-        | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)) | (a >= 224)
-    )
-    v6 = h.isin("::", "::1") | h.rlike("^(fe80|fc|fd|ff|2001:db8)")
-    return F.when(target.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), v4).when(h.contains(":"), v6).otherwise(F.lit(False))
+
+    def first_two(p: Column) -> Column:
+        a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        return (
+            F.exists(p, lambda x: x > 255) | a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168))
+            | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)) | (a >= 224)
+        )
+
+    def mapped(h: Column) -> Column:
+        """The dotted address inside an IPv6 one (::ffff:), written with dots or as two hexadecimal numbers."""
+        halves = F.transform(F.array(*(F.regexp_extract(h, "^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", i) for i in (1, 2))), lambda x: F.conv(x, 16, 10).try_cast("int"))
+        dotted = F.array_join(F.flatten(F.transform(halves, lambda x: F.array(F.floor(x / 256).cast("string"), (x % 256).cast("string")))), ".")
+        return F.when(h.rlike(r"^::ffff:\d{1,3}(\.\d{1,3}){3}$"), F.substring(h, 8, 15)).when(h.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), dotted).otherwise(h)
+
+    def judged(h: Column) -> Column:
+        v6 = h.isin("::", "::1") | h.rlike("^(fe80|fc|fd|ff|2001:db8)")
+        v4 = lambda t: F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _bound(F.transform(F.split(t, r"\."), lambda x: x.try_cast("int")), first_two))
+        return F.coalesce(_bound(mapped(h), v4), F.when(h.contains(":"), v6).otherwise(F.lit(False)))
+
+    return _bound(F.regexp_replace(F.lower(F.trim(name)), r"^\[|\]$", ""), judged)
 
 
 def blocked_host(name: Column) -> Column:
     """PR5: local and internal names, metadata names, blanks and private addresses."""
-    h = F.regexp_replace(F.lower(F.trim(name)), r"\.$", "")
-    inside = h.isin("", "localhost", "metadata", "metadata.google.internal") | h.rlike(r"\.(localhost|internal|local|lan)$")
-    return F.coalesce(inside | private_ip(h), F.lit(True))
+
+    def judged(h: Column) -> Column:
+        inside = h.isin("", "localhost", "metadata", "metadata.google.internal") | h.rlike(r"\.(localhost|internal|local|lan)$")
+        return F.coalesce(inside | private_ip(h), F.lit(True))
+
+    return _bound(F.regexp_replace(F.lower(F.trim(name)), r"\.$", ""), judged)
 
 
 def public_url_reason(url: Column) -> Column:
     """PR4: why a URL may not be read; null if it may."""
-    u = F.trim(F.coalesce(url, F.lit("")))
-    scheme = F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    h = host(u)
-    return (
-        F.when(u == "", "empty").when(scheme == "", "not absolute").when(~scheme.isin("http", "https"), "scheme")
-        .when(h.isNull(), "not absolute").when(blocked_host(h), "blocked host")
-    )
+
+    def judged(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+        refused = lambda h: F.when(h.isNull(), "not absolute").when(blocked_host(h), "blocked host")
+        return F.when(u == "", "empty").when(scheme == "", "not absolute").when(~scheme.isin("http", "https"), "scheme").otherwise(_bound(host(u), refused))
+
+    return _bound(F.trim(F.coalesce(url, F.lit(""))), judged)
 
 
 def registrable_domain(name: Column) -> Column:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import clip, field_key, field_label, normalise
@@ -16,72 +14,105 @@ META = ("description", "author", "keywords")
 FIELDS, READABLE, DEPTH = 24, 200, 4
 
 
-def json_ld_objects(pages: DataFrame) -> DataFrame:
-    """JS3: page_id, i (order), v (variant): JSON-LD objects, with arrays and @graph opened up to four levels."""
-    level = pages.select("page_id", F.posexplode("structuredData").alias("pos", "s")).select("page_id", F.array("pos").alias("i"), F.try_parse_json("s").alias("v"), F.lit(1).alias("depth")).filter("v IS NOT NULL")
-    done = []
-    for depth in range(1, DEPTH + 1):
-        kind = F.schema_of_variant("v")
-        graph = F.try_variant_get("v", "$['@graph']", "array<variant>")
-        inner = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(kind.startswith("OBJECT"), graph)
-        done.append(level.filter(kind.startswith("OBJECT") & graph.isNull()).select("page_id", "i", "v"))
-        if depth < DEPTH:
-            level = level.select("page_id", "i", F.posexplode(inner).alias("p", "v")).select("page_id", F.concat("i", F.array("p")).alias("i"), "v")
-    return reduce(DataFrame.unionByName, done)
-
-
-def _rows(df: DataFrame, rank: int, source: str, order: Column, name: Column, sample: Column) -> DataFrame:
-    return df.select("page_id", F.lit(rank).alias("rank"), order.cast("array<int>").alias("ord"), field_label(name).alias("name"), field_key(name).alias("key"), clip(sample.cast("string")).alias("sample"), F.lit(source).alias("source"))
-
-
-def candidates(pages: DataFrame) -> DataFrame:
-    """Candidates of every source in order of precedence: page_id, rank, ord, name, key, sample, source."""
-    sold = pages.select("page_id", F.posexplode("commerceData").alias("p", "c"))
-    fields = F.array(*(F.struct(F.lit(label).alias("n"), F.col("c")[k].alias("v")) for k, label in COMMERCE))
-    sold = sold.select("page_id", "p", F.posexplode(fields).alias("q", "f")).filter("trim(f.v) <> ''")
-    objects = json_ld_objects(pages).lateralJoin(_variant_fields()).filter(~F.col("key").startswith("@"))
-    scalar = F.try_variant_get("value", "$", "string")
-    flat = objects.filter(~F.schema_of_variant("value").rlike("^(ARRAY|OBJECT)") & (F.trim(scalar) != ""))
-    micro = pages.select("page_id", F.posexplode("microdata").alias("p", "m")).select("page_id", "p", F.posexplode("m.properties").alias("q", "k", "v")).filter("trim(v) <> ''")
-    og = pages.select("page_id", F.posexplode("openGraph").alias("p", "k", "v")).filter("trim(v) <> ''")
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def json_ld_objects(structured: Column) -> Column:
+    """JS3: the JSON-LD objects (variant) of a page in order, with arrays and @graph opened up to four levels."""
+
+    def opened(v: Column) -> Column:
+        kind, graph = F.schema_of_variant(v), F.try_variant_get(v, "$['@graph']", "array<variant>")
+        inner = F.when(kind.startswith("ARRAY"), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), _none("variant")))
+        return inner.when(kind.startswith("OBJECT") & graph.isNotNull(), graph).otherwise(F.array(v))
+
+    level = F.filter(F.transform(F.coalesce(structured, _none("string")), lambda s: F.try_parse_json(s)), lambda v: v.isNotNull())
+    for _ in range(DEPTH - 1):
+        level = F.flatten(F.transform(level, opened))
+    return F.filter(level, lambda v: F.schema_of_variant(v).startswith("OBJECT") & F.try_variant_get(v, "$['@graph']", "array<variant>").isNull())
+
+
+def _entries(v: Column) -> Column:
+    """Key and value of each field of an object."""
+    return F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: e["value"].isNotNull())
+
+
+ITEM = "name:string,key:string,sample:string,source:string"
+
+
+def _item(source: str, name: Column, sample: Column) -> Column:
+    return F.struct(field_label(name).alias("name"), field_key(name).alias("key"), clip(sample.cast("string")).alias("sample"), F.lit(source).alias("source"))
+
+
+def _given(c: Column) -> Column:
+    return F.coalesce(F.trim(c.cast("string")) != "", F.lit(False))
+
+
+def candidates(page: dict[str, Column]) -> Column:
+    """Candidates of every source (name, key, sample, source), those that go before others first: one array for each page."""
+    pairs = lambda cells: F.filter(F.array(*(F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in cells)), lambda f: _given(f["v"]))
+    told = lambda source: lambda f: _item(source, f["n"], f["v"])
+    in_map = lambda m: F.filter(F.map_entries(m), lambda e: _given(e["value"]))
+    sold = F.flatten(F.transform(page["commerceData"], lambda c: F.transform(pairs([(label, c[k].cast("string")) for k, label in COMMERCE]), told("commerce"))))
+    text = lambda e: F.try_variant_get(e["value"], "$", "string")
+    plain = lambda e: ~e["key"].startswith("@") & ~F.schema_of_variant(e["value"]).rlike("^(ARRAY|OBJECT)") & _given(text(e))
+    flat = F.flatten(F.transform(json_ld_objects(page["structuredData"]), lambda v: F.transform(F.filter(_entries(v), plain), lambda e: _item("json-ld", e["key"], text(e)))))
+    micro = F.flatten(F.transform(page["microdata"], lambda m: F.transform(in_map(m["properties"]), lambda e: _item("microdata", e["key"], e["value"]))))
     labels = F.create_map(*(F.lit(x) for kv in OPEN_GRAPH.items() for x in kv))
-    meta = pages.select("page_id", F.posexplode(F.array(*(F.struct(F.lit(k).alias("k"), F.try_element_at("meta", F.lit(k)).alias("v")) for k in META))).alias("p", "f")).filter("trim(f.v) <> ''")
-    tables = pages.select("page_id", F.posexplode("tables").alias("p", "t")).select("page_id", "p", F.posexplode("t.headers").alias("q", "h"), "t").filter("trim(h) <> ''")
-    basic = pages.select("page_id", F.posexplode(F.array(F.struct(F.lit("title").alias("k"), F.col("title").alias("v")), F.struct(F.lit("description").alias("k"), F.col("description").alias("v")))).alias("p", "f")).filter("trim(f.v) <> ''")
-    parts = [
-        _rows(sold, 1, "commerce", F.array("p", "q"), F.col("f.n"), F.col("f.v")), _rows(flat, 2, "json-ld", F.concat("i", F.array("pos")), F.col("key"), scalar),
-        _rows(micro, 3, "microdata", F.array("p", "q"), F.col("k"), F.col("v")), _rows(og, 4, "opengraph", F.array("p"), F.coalesce(F.try_element_at(labels, F.lower("k")), F.col("k")), F.col("v")),
-        _rows(meta, 5, "meta", F.array("p"), F.col("f.k"), F.col("f.v")), _rows(tables, 6, "table", F.array("p", "q"), F.col("h"), F.get(F.get(F.col("t.rows"), F.lit(0)), F.col("q"))),
-        _rows(basic, 7, "meta", F.array("p"), F.col("f.k"), F.col("f.v")),
-    ]
-    return reduce(DataFrame.unionByName, parts).filter("key IS NOT NULL")
+    og = F.transform(in_map(page["openGraph"]), lambda e: _item("opengraph", F.coalesce(F.try_element_at(labels, F.lower(e["key"])), e["key"]), e["value"]))
+    meta = F.transform(pairs([(k, F.try_element_at(page["meta"], F.lit(k))) for k in META]), told("meta"))
+    heads = lambda t: F.filter(F.transform(t["headers"], lambda h, i: F.struct(h.alias("n"), F.get(F.get(t["rows"], F.lit(0)), i).alias("v"))), lambda f: _given(f["n"]))
+    tables = F.flatten(F.transform(page["tables"], lambda t: F.transform(heads(t), told("table"))))
+    basic = F.transform(pairs([("title", page["title"]), ("description", page["description"])]), told("meta"))
+    all_ = F.concat(*(F.coalesce(x, _none(f"struct<{ITEM}>")) for x in (sold, flat, micro, og, meta, tables, basic)))
+    return F.filter(all_, lambda x: x["key"].isNotNull())
+
+
+def field_list(page: dict[str, Column]) -> Column:
+    """FD1: position, name, sample, source: the first writer of a name wins (W5), and a later one may fill an empty sample; 24 at most."""
+
+    def chosen(c: Column) -> Column:
+        keys = F.slice(F.array_distinct(F.transform(c, lambda x: x["key"])), 1, FIELDS)
+
+        def one(k: Column, i: Column) -> Column:
+            return _bound(F.filter(c, lambda x: x["key"] == k), lambda same: F.struct(
+                i.alias("position"), F.get(same, F.lit(0))["name"].alias("name"),
+                F.coalesce(F.get(F.filter(same, lambda x: x["sample"] != ""), F.lit(0))["sample"], F.lit("")).alias("sample"), F.get(same, F.lit(0))["source"].alias("source")))
 
+        return F.transform(keys, one)
 
-def _variant_fields():  # noqa: ANN202
-    from pyspark.sql import SparkSession
+    return _bound(candidates(page), chosen)
 
-    return SparkSession.active().tvf.variant_explode(F.col("v").outer())
+
+_USED = ("commerceData", "structuredData", "microdata", "openGraph", "meta", "tables", "title", "description")
+
+
+def _page(names=_USED) -> dict[str, Column]:  # noqa: ANN001
+    return {n: F.col(n) for n in names}
 
 
 def fields(pages: DataFrame) -> DataFrame:
-    """FD1: page_id, position, name, sample, source: the first writer of a name wins (W5), and a later one may fill an empty sample; 24 at most."""
-    place = F.struct("rank", "ord")
-    won = candidates(pages).groupBy("page_id", "key").agg(
-        F.min(F.struct(place.alias("at"), "name", "source")).alias("w"), F.min(F.when(F.col("sample") != "", F.struct(place.alias("at"), "sample"))).alias("s"),
-    )
-    at = F.row_number().over(Window.partitionBy("page_id").orderBy("w.at"))
-    df = won.select("page_id", (at - 1).alias("position"), F.col("w.name").alias("name"), F.coalesce("s.sample", F.lit("")).alias("sample"), F.col("w.source").alias("source"))
-    return df.filter(F.col("position") < FIELDS)
+    """FD1: page_id, position, name, sample, source for each field of each page; no shuffle."""
+    return pages.select("page_id", F.explode(field_list(_page())).alias("f")).select("page_id", "f.*")
+
+
+def listed_items(page: dict[str, Column]) -> Column:
+    """AG11: the most items that a list of the page's structured parts has. Rows of tables never make a listing."""
+    named = lambda e: (e["key"] == "itemListElement") | (~e["key"].startswith("@") & F.lower(e["key"]).contains("item"))
+    lists = F.flatten(F.transform(json_ld_objects(page["structuredData"]), lambda v: F.filter(_entries(v), lambda e: named(e) & F.schema_of_variant(e["value"]).startswith("ARRAY"))))
+    most = F.array_max(F.transform(lists, lambda e: F.size(F.try_variant_get(e["value"], "$", "array<variant>"))))
+    return F.greatest(F.size(page["commerceData"]), F.size(page["microdata"]), F.coalesce(most, F.lit(0)))
 
 
 def record_types(pages: DataFrame) -> DataFrame:
-    """FD2, AG11: page_id, recordType, itemCount (null for single). Rows of tables never make a listing."""
-    objects = json_ld_objects(pages).lateralJoin(_variant_fields())
-    size = F.size(F.try_variant_get("value", "$", "array<variant>"))
-    lists = objects.filter((F.col("key") == "itemListElement") | (~F.col("key").startswith("@") & F.lower("key").contains("item")))
-    lists = lists.filter(F.schema_of_variant("value").startswith("ARRAY")).groupBy("page_id").agg(F.max(size).alias("listed"))
-    df = pages.select("page_id", F.size("commerceData").alias("a"), F.size("microdata").alias("b")).join(lists, "page_id", "left")
-    most = F.greatest("a", "b", F.coalesce("listed", F.lit(0)))
+    """FD2: page_id, recordType, itemCount (null for single)."""
+    most = F.col("most")
+    df = pages.select("page_id", listed_items(_page()).alias("most"))
     return df.select("page_id", F.when(most > 1, "listing").otherwise("single").alias("recordType"), F.when(most > 1, most).alias("itemCount"))
 
 
@@ -92,14 +123,16 @@ def readable(status: Column, n_fields: Column, markdown: Column, text: Column) -
 
 
 def discover(pages: DataFrame) -> DataFrame:
-    """page_id, url, recordType, itemCount, fields, readable, note for each page record."""
-    found = fields(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "name", "sample", "source"))).alias("fields"))
-    df = pages.join(record_types(pages), "page_id").join(found, "page_id", "left")
+    """page_id, url, recordType, itemCount, fields, readable, note for each page record; pages are read once, without a shuffle."""
+    df = pages.select("page_id", "url", "status", "error", "markdown", "text", field_list(_page()).alias("found"), listed_items(_page()).alias("most"))
     failed = F.col("status") == "error"
-    ok = readable(F.col("status"), F.size("fields"), F.col("markdown"), F.col("text"))
+    ok = readable(F.col("status"), F.size("found"), F.col("markdown"), F.col("text"))
     note = F.when(failed, F.concat_ws(": ", F.lit("The page couldn't be read"), "error")).when(~ok, "The page looks empty, or needs a browser: nothing usable was found.")
-    listing = F.when(failed, "single").otherwise(F.col("recordType"))
-    return df.select("page_id", "url", listing.alias("recordType"), F.when(~failed, F.col("itemCount")).alias("itemCount"), F.when(~failed, F.col("fields")).alias("fields"), ok.alias("readable"), note.alias("note"))
+    several = ~failed & (F.col("most") > 1)
+    return df.select(
+        "page_id", "url", F.when(several, "listing").otherwise("single").alias("recordType"), F.when(several, F.col("most")).alias("itemCount"),
+        F.when(~failed & (F.size("found") > 0), F.col("found")).alias("fields"), ok.alias("readable"), note.alias("note"),
+    )
 
 
 def merge_proposed(base: dict, proposal: dict | None, source: str) -> dict:

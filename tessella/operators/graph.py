@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.storage import new_path, stored
 from tessella.functions.urls import glob_passes, with_scheme
 from tessella.schema import CAPS
 
@@ -40,38 +41,26 @@ def crawl(start: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int,
     """CR1, J2: url, depth of the pages that a breadth-first crawl reaches.
 
     start: url; links: url, href; pages: url (what can be fetched). Each address is visited once, at its
-    least depth. Within a depth, addresses come in order, and the page budget cuts there (PR3). Each
-    round joins the frontier only, and is written to the shared folder, so that lineage stays short.
+    least depth. Within a depth, addresses come in order, and the page budget cuts there (PR3). Pages
+    and links are read once and stored as narrow rows; each round joins the last frontier to the links
+    and adds one part, by depth, to the table of what was seen.
     """
     spark = start.sparkSession
-    have = pages.select("url").distinct()
-    seen = _stored(start.select("url").distinct().join(have, "url", "left_semi").withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(links, "url").select(F.col("href").alias("url")).distinct()
-        frontier = _stored(reached.join(have, "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    have, links = stored(pages.select("url").distinct(), "pages"), stored(links.select("url", "href").distinct(), "links")
+    path = new_path(spark, "seen")
+    start.select("url").distinct().join(have, "url", "left_semi").write.parquet(f"{path}/depth=0")
+    for depth in range(max_depth + 1):
+        seen = spark.read.schema("url string, depth int").parquet(path)
+        if depth == max_depth or (max_pages is not None and depth and seen.count() >= max_pages):
             break
-        seen = seen.unionByName(frontier)
-        if max_pages is not None and seen.count() >= max_pages:
+        frontier = seen.filter(F.col("depth") == depth)
+        if frontier.isEmpty():
             break
-    _ = spark
+        reached = frontier.join(links, "url").select(F.col("href").alias("url")).distinct()
+        reached.join(have, "url", "left_semi").join(seen, "url", "left_anti").write.parquet(f"{path}/depth={depth + 1}")
     return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tessella-crawl-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reach(spark, edges_view: str, start: str, depth: int) -> DataFrame:
     """CR1 for bounded depth as one recursive query: node, depth (least) over a view (src, dst)."""
     return spark.sql(f"""
@@ -114,19 +103,23 @@ def cache_log(log: DataFrame, ttl: float, key: str = "key", ts: str = "ts") -> D
     """SS2 over a table: for each request in time order, whether the cache of unbounded size answers it.
 
     An entry lives ``ttl`` seconds from when it was written, reads don't extend it, and at the exact
-    end it still counts. The fold is per key: rows of one key are in one array, which is what the
-    expiry chain needs; batches of a long log go through the streaming version.
+    end it still counts. Rows are dealt and sorted by key and time; a task holds the expiry of one key.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col("id").alias("id"))))
-
-    def step(acc: Column, r: Column) -> Column:
-        hit = acc["expiry"].isNotNull() & (r["t"] <= acc["expiry"])
-        out = F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), hit.alias("hit"))))
-        return F.struct(F.when(hit, acc["expiry"]).otherwise(r["t"] + ttl).alias("expiry"), out.alias("out"))
-
-    start = F.struct(F.lit(None).cast("double").alias("expiry"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
-    folded = log.groupBy(key).agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("x")).select(key, "x.id", "x.hit")
+    rows = log.select(F.col(key), F.col("id").cast("long").alias("id"), F.col(ts).cast("double").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, expiry = None, None
+        for b in batches:
+            hits = []
+            for k, t in zip(b.column(0).to_pylist(), b.column("t").to_pylist(), strict=True):
+                if (k,) != last:
+                    last, expiry = (k,), None
+                hits.append(expiry is not None and t <= expiry)
+                if not hits[-1]:
+                    expiry = t + ttl
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column("id"), pa.array(hits, pa.bool_())], names=[key, "id", "hit"])
+
+    return rows.repartition(key).sortWithinPartitions(key, "t", "id").mapInArrow(run, rows.select(key, "id").schema.add("hit", "boolean"))
 
 
 def ranked_links(edges: DataFrame, most: int) -> DataFrame:

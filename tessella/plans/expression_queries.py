@@ -46,12 +46,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("flat"))
 
 
-@query("st4_normalise", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS plain FROM documents WHERE lang IN ('fr', 'es')")
-def _(spark, d):
-    return table(spark, d, "documents").filter("lang IN ('fr', 'es')").select("doc_id", G.normalised("text").alias("plain"))
-
-
-@query("st4_normalise_all")
+@query("st4_normalise")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", G.normalised("text").alias("plain"))
 
@@ -358,41 +353,11 @@ def _(spark, d):
     return df.select("o_orderkey", F.col("contract.name").alias("contract"), "validation.valid")
 
 
-def pairs(spark, d):  # noqa: ANN001, ANN201
-    """Each document with one benchmark item."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("value"))
-    return docs.join(items, F.col("doc_id") % 40 == F.col("item_id"))
-
-
-_PAIRS = "SELECT doc_id, d.text AS text, b.text AS value FROM documents d JOIN benchmark b ON doc_id % 40 = item_id"
-
-
-@query("g2_contains", rf"SELECT doc_id, contains(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), trim(regexp_replace(lower(value), '\s+', ' ', 'g'))) AS found FROM ({_PAIRS})")
-def _(spark, d):
-    return pairs(spark, d).select("doc_id", G.contains_value(F.col("value"), F.col("text")).alias("found"))
-
-
-@query("g2_grounded")
-def _(spark, d):
-    return pairs(spark, d).select("doc_id", G.grounded_text("value", "text").alias("grounded"))
-
-
-@query("g3_ground_records")
-def _(spark, d):
-    rec = F.to_json(F.struct(F.substring("value", 1, 40).alias("title"), F.struct(F.lit(19.9).alias("amount"), F.lit(True).alias("ok")).alias("price")))
-    return pairs(spark, d).select("doc_id", G.ground_json(rec, F.col("text")).alias("g")).select("doc_id", "g.data", F.array_join("g.nulledFields", ",").alias("nulled"))
-
-
 @query("ag12_tokens", r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}'))) AS words, len(list_distinct(list_transform(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?'), lambda x: replace(x, ',', '')))) AS numbers FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(G.source_tokens(F.col("text"))).cast("long").alias("words"), F.size(G.source_numbers(F.col("text"))).cast("long").alias("numbers"))
 
 
-@query("j8_token_share", rf"SELECT doc_id, round(len(list_intersect(v, t)) / nullif(len(v), 0), 6) AS share FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]{{3,}}')) AS v, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{3,}}')) AS t FROM ({_PAIRS}))")
-def _(spark, d):
-    return pairs(spark, d).select("doc_id", F.round(G.token_share(F.col("value"), F.col("text")), 6).alias("share"))
-
-
 #: Benchmark items that are held against all documents at a time.
 ITEMS = 4096
 
@@ -405,23 +370,23 @@ def each_item(spark, d, doc, item, f):  # noqa: ANN001, ANN201
     return functools.reduce(DataFrame.union, [f(docs, items.filter(F.pmod(F.xxhash64("item_id", "value"), F.lit(n)) == b)) for b in range(n)])
 
 
-@query("g2_contains_all", r"SELECT doc_id, item_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents) JOIN (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS v FROM benchmark) ON contains(t, v)")
+@query("g2_contains", r"SELECT doc_id, item_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents) JOIN (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS v FROM benchmark) ON contains(t, v)")
 def _(spark, d):
     return each_item(spark, d, G.flat, G.flat, lambda docs, items: docs.join(F.broadcast(items), F.col("text").contains(F.col("value")))).select("doc_id", "item_id")
 
 
-@query("g2_grounded_all")
+@query("g2_grounded")
 def _(spark, d):
     return each_item(spark, d, lambda c: c, lambda c: c, G.grounded_pairs)
 
 
-@query("g3_ground_records_all")
+@query("g3_ground_records")
 def _(spark, d):
     rec = lambda c: F.to_json(F.struct(F.substring(c, 1, 40).alias("title"), F.struct(F.lit(19.9).alias("amount"), F.lit(True).alias("ok")).alias("price")))
     return each_item(spark, d, lambda c: c, rec, G.ground_pairs)
 
 
-@query("j8_token_share_all", r"SELECT doc_id, item_id, round(len(list_intersect(v, t)) / nullif(len(v), 0), 6) AS share FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS t FROM documents) CROSS JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS v FROM benchmark)")
+@query("j8_token_share", r"SELECT doc_id, item_id, round(len(list_intersect(v, t)) / nullif(len(v), 0), 6) AS share FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS t FROM documents) CROSS JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS v FROM benchmark)")
 def _(spark, d):
     return each_item(spark, d, G.source_tokens, G.source_tokens, G.token_shares).withColumn("share", F.round("share", 6))
 

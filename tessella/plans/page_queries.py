@@ -274,7 +274,7 @@ def _(spark, d):
     return diagnosed(spark, d).select("page_id", F.explode("signals").alias("s")).select("page_id", "s.name", "s.evidence")
 
 
-@query("dg6_next_step", GENERIC_SQL + "SELECT page_id, CASE WHEN verdict = 'ready' THEN 'run-contract-extraction' ELSE 'manual-review' END AS action, CASE WHEN verdict = 'ready' THEN 'Source has enough domain signals for contract extraction.' WHEN n < 500 THEN 'Page content is too thin to trust automatic extraction.' ELSE 'Source has partial signals and needs review before extraction.' END AS reason FROM v")
+@query("dg6_next_step", GENERIC_SQL + "SELECT page_id, CASE WHEN verdict = 'ready' THEN 'run-contract-extraction' ELSE 'manual-review' END AS action, CASE WHEN verdict = 'ready' THEN 'The page shows what the contract asks for; extract it.' WHEN n < 500 THEN 'There is too little text on the page to rely on.' ELSE 'Some of what the contract asks for is missing; look at the page first.' END AS reason FROM v")
 def _(spark, d):
     return diagnosed(spark, d).select("page_id", "recommendedNextStep.action", "recommendedNextStep.reason")
 

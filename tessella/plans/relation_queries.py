@@ -50,20 +50,10 @@ def _(spark, d):
     return R.summarise(verdicts(spark, d)).drop("workflowVerdict", "recommendedNextStep")
 
 
-_FLOWS = f"SELECT event_type || user_id % 7 AS contract, count(*) AS n, count(*) FILTER (verdict = 'ready') AS r, count(*) FILTER (verdict = 'blocked') AS b, count(*) FILTER (verdict = 'failed') AS f FROM (SELECT * FROM ({_VERDICTS}) WHERE id % 97 = user_id % 97 OR id % 31 = 3) GROUP BY 1"
+_FLOWS = f"SELECT event_type || '-' || user_id AS contract, count(*) AS n, count(*) FILTER (verdict = 'ready') AS r, count(*) FILTER (verdict = 'blocked') AS b, count(*) FILTER (verdict = 'failed') AS f FROM ({_VERDICTS}) GROUP BY 1"
 
 
-@query("dg7_workflow_verdict", f"SELECT contract, CASE WHEN r = n THEN 'ready' WHEN b = n THEN 'blocked' WHEN f = n THEN 'failed' WHEN r > 0 THEN 'mixed' ELSE 'needs-review' END AS workflow, CASE WHEN r = n THEN 'run-contract-extraction' WHEN b = n THEN 'fix-access-first' WHEN f = n THEN 'do-not-automate' WHEN r > 0 THEN 'extract-ready-subset' ELSE 'manual-review' END AS action FROM ({_FLOWS})")
-def _(spark, d):
-    o = outcomes(spark, d).filter("id % 97 = user_id % 97 OR id % 31 = 3").select("id", F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("contract"))
-    s = R.summarise(verdicts(spark, d).drop("contract").join(o, "id"))
-    return s.select("contract", F.col("workflowVerdict").alias("workflow"), F.col("recommendedNextStep.action").alias("action"))
-
-
-_ALL_FLOWS = f"SELECT event_type || '-' || user_id AS contract, count(*) AS n, count(*) FILTER (verdict = 'ready') AS r, count(*) FILTER (verdict = 'blocked') AS b, count(*) FILTER (verdict = 'failed') AS f FROM ({_VERDICTS}) GROUP BY 1"
-
-
-@query("dg7_workflow_verdict_all", f"SELECT contract, n, CASE WHEN r = n THEN 'ready' WHEN b = n THEN 'blocked' WHEN f = n THEN 'failed' WHEN r > 0 THEN 'mixed' ELSE 'needs-review' END AS workflow, CASE WHEN r = n THEN 'run-contract-extraction' WHEN b = n THEN 'fix-access-first' WHEN f = n THEN 'do-not-automate' WHEN r > 0 THEN 'extract-ready-subset' ELSE 'manual-review' END AS action FROM ({_ALL_FLOWS})")
+@query("dg7_workflow_verdict", f"SELECT contract, n, CASE WHEN r = n THEN 'ready' WHEN b = n THEN 'blocked' WHEN f = n THEN 'failed' WHEN r > 0 THEN 'mixed' ELSE 'needs-review' END AS workflow, CASE WHEN r = n THEN 'run-contract-extraction' WHEN b = n THEN 'fix-access-first' WHEN f = n THEN 'do-not-automate' WHEN r > 0 THEN 'extract-ready-subset' ELSE 'manual-review' END AS action FROM ({_FLOWS})")
 def _(spark, d):
     s = R.summarise(verdicts(spark, d, "event_type || '-' || user_id"))
     return s.select("contract", F.col("totalUrls").cast("long").alias("n"), F.col("workflowVerdict").alias("workflow"), F.col("recommendedNextStep.action").alias("action"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,17 @@ def append_table(pages: DataFrame, path: str) -> None:
     pages.write.mode("append").parquet(path)
 
 
+def put_values(values: DataFrame, path: str) -> None:
+    """SNK4: a store by key (key, content, contentType): what is written last under a key counts."""
+    values.select("key", F.col("content").cast("binary").alias("content"), "contentType", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def get_values(spark: SparkSession, path: str) -> DataFrame:
+    """key, content, contentType of the store."""
+    last = F.max_by(F.struct("content", "contentType"), "at")
+    return spark.read.parquet(path).groupBy("key").agg(last.alias("v")).select("key", "v.*")
+
+
 def json_document(pages: DataFrame) -> DataFrame:
     """SNK3: one JSON text a page, null fields left out; a file of them is one ``write.text``."""
     return pages.select(F.to_json(F.struct("*")).alias("value"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import ipaddress
 import re
 import zipfile
 import zlib
+from collections.abc import Callable, Iterator
 from typing import Protocol
+from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,70 @@ class SearchProvider(Protocol):
     def search(self, query: str, limit: int) -> str: ...
 
 
+#: Redirects followed, and tries of a failed request: fixed values.
+HOPS, TRIES = 5, 3
+FETCHED = "url string, finalUrl string, statusCode int, html string, headers map<string,string>, error string, attempts int, hops int"
+
+
+def fetch_one(fetcher: PageFetcher, resolve_host: Callable[[str], list[str]], url: str, options: dict, tries: int = TRIES) -> dict:
+    """SRC5, SS4, PR7: one page. Each hop's host and every address it resolves to must be public; redirects are followed by hand.
+
+    The fetcher gives status, headers and html, or raises. A failure, 429 and 5xx are tried again.
+    """
+    row = {"url": url, "finalUrl": url, "statusCode": None, "html": None, "headers": {}, "error": None, "attempts": 0, "hops": 0}
+    at = url
+    while True:
+        name = urlsplit(at).hostname or ""
+        if urlsplit(at).scheme not in ("http", "https") or not name or private_host(name) or any(private_host(a) for a in resolve_host(name)):
+            return row | {"error": f"blocked address: {at}"}
+        got, why = None, None
+        for _ in range(tries):
+            row["attempts"] += 1
+            try:
+                got, why = fetcher.fetch(at, options), None
+            except Exception as e:
+                why = str(e) or type(e).__name__
+                continue
+            if got["status"] != 429 and got["status"] < 500:
+                break
+        if got is None or why:
+            return row | {"error": why}
+        headers = {k.lower(): v for k, v in got.get("headers", {}).items()}
+        row |= {"finalUrl": at, "statusCode": got["status"], "headers": headers, "html": got.get("html")}
+        if got["status"] not in (301, 302, 303, 307, 308) or not headers.get("location"):
+            return row | {"error": f"HTTP {got['status']}" if got["status"] >= 400 else None}
+        row["hops"] += 1
+        if row["hops"] > HOPS:
+            return row | {"error": "too many redirects"}
+        at = urljoin(at, headers["location"])
+
+
+def private_host(name: str) -> bool:
+    """PR5, PR6 for one host or address, on an executor."""
+    n = name.strip("[]").rstrip(".").lower()
+    try:
+        a = ipaddress.ip_address(n)
+    except ValueError:
+        return n in ("", "localhost", "metadata", "metadata.google.internal") or n.endswith((".localhost", ".internal", ".local", ".lan"))
+    a = getattr(a, "ipv4_mapped", None) or a
+    return not a.is_global or a.is_multicast
+
+
+def fetched(urls: DataFrame, fetcher: PageFetcher, resolve_host: Callable[[str], list[str]], options: dict | None = None, tries: int = TRIES) -> DataFrame:
+    """SRC5: a row for each url: what came back, or why nothing did. Calls run in partitions: their number bounds what runs at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32())
+        names = ["url", "finalUrl", "statusCode", "html", "headers", "error", "attempts", "hops"]
+        for b in batches:
+            for s in range(0, len(b), 100):
+                rows = [fetch_one(fetcher, resolve_host, u, options or {}, tries) for u in b.column("url")[s : s + 100].to_pylist()]
+                cols = [[list(r[n].items()) if n == "headers" else r[n] for r in rows] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    return urls.filter("url IS NOT NULL").select("url").mapInArrow(run, FETCHED)
+
+
 def asked_results(limit: int) -> int:
     """Results asked of a provider: two more than wanted, twenty at most."""
     return min(limit + 2, 20)
@@ -75,26 +143,59 @@ def expand_sitemaps(maps: DataFrame, roots: DataFrame | None = None, most: int |
     return per.select("root", F.posexplode(F.slice(urls, 1, most) if most else urls).alias("pos", "url"))
 
 
-_SHOWN = re.compile(r"\(((?:\\.|[^\\()])*)\)\s*(?:T[jJ]|')", re.S)
-_ARRAY = re.compile(r"\[((?:\([^)]*\)\s*-?\d*\s*)+)\]\s*TJ")
-_STRING = re.compile(r"\(((?:\\.|[^\\()])*)\)", re.S)
+#: Escapes in a string of a page's content.
+ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": ""}
+_LEXEME = re.compile(r"[()\[\]]|%[^\r\n]*|<[^<>]*>|[^\s()\[\]<>%]+")
 
 
-def _unescape(s: str) -> str:
-    s = re.sub(r"\\([()\\])", r"\1", s)
-    for mark, c in (("n", "\n"), ("r", "\r"), ("t", "\t")):
-        s = s.replace("\\" + mark, c)
-    return re.sub(r"\\(\d{1,3})", lambda m: chr(int(m[1], 8) & 0xFF) if set(m[1]) <= set("01234567") else m[0], s)
+def _literal(raw: str, at: int) -> tuple[str, int]:
+    """The string whose bracket is before ``at``, with balanced brackets inside, and where it ends."""
+    out, depth, n = [], 1, len(raw)
+    while at < n:
+        c = raw[at]
+        at += 1
+        if c == "\\" and at < n:
+            octal = re.compile("[0-7]{1,3}").match(raw, at)
+            out.append(chr(int(octal[0], 8) & 255) if octal else ESCAPES.get(raw[at], raw[at]))
+            at = octal.end() if octal else at + 1
+            continue
+        depth += (c == "(") - (c == ")")
+        if not depth:
+            break
+        out.append(c)
+    return "".join(out), at
+
+
+def shown_strings(raw: str) -> Iterator[tuple[str, str]]:
+    """("text" or "array", string) for each operator that shows text, in order."""
+    held: list[str] = []
+    array: list[str] | None = None
+    at = 0
+    while m := _LEXEME.search(raw, at):
+        word, at = m[0], m.end()
+        if word == "(":
+            text, at = _literal(raw, at)
+            (held if array is None else array).append(text)
+        elif word == "[":
+            array = []
+        elif word == "]" and array is not None:
+            held, array = ["".join(array)], None
+            shown = _LEXEME.search(raw, at)
+            if shown and shown[0] == "TJ" and held[0]:
+                yield "array", held[0]
+            held = []
+        elif array is None:
+            if word in ("Tj", "TJ", "'") and held:
+                yield "text", held[-1]
+            held = []
 
 
 def lenient_pdf_text(data: bytes) -> str:
-    """SRC9: what text shows in uncompressed streams of a broken PDF."""
-    raw = data.decode("latin-1")
-    out = [t for t in (_unescape(m[1]) for m in _SHOWN.finditer(raw)) if t.strip()]
-    if not out:
-        out = ["".join(_STRING.findall(m[1])) for m in _ARRAY.finditer(raw) if _STRING.search(m[1])]
-    text = re.sub(r"[ \t]+", " ", " ".join(out))
-    return re.sub(r"\s*\n\s*", "\n", text).strip()
+    """SRC9: what text shows in uncompressed streams of a broken PDF; arrays of strings count only where nothing else shows."""
+    found = list(shown_strings(data.decode("latin-1")))
+    plain = [t for kind, t in found if kind == "text" and t.strip()] or [t for kind, t in found if kind == "array"]
+    lines = (" ".join(x.replace("\t", " ").split(" ")).strip() for x in " ".join(plain).splitlines())
+    return "\n".join(x for x in (re.sub(" +", " ", line) for line in lines) if x)
 
 
 def _inflated(data: bytes) -> bytes:
@@ -113,7 +214,7 @@ def read_pdf(data: bytes | None) -> dict | None:
     if not data or b"%PDF" not in data[:1024]:
         return None
     full = _inflated(data)
-    meta = {k.decode(): _unescape(v.decode("latin-1")) for k, v in re.findall(rb"/(Title|Author|Subject|Keywords|Creator|Producer)\s*\(((?:\\.|[^\\()])*)\)", full)}
+    meta = {k.decode(): _literal(v.decode("latin-1") + ")", 0)[0] for k, v in re.findall(rb"/(Title|Author|Subject|Keywords|Creator|Producer)\s*\(((?:\\.|[^\\()])*)\)", full)}
     return {"text": lenient_pdf_text(full)[:TEXT_CAP], "pages": len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", full)), "metadata": list(meta.items())}
 
 

@@ -66,6 +66,16 @@ def cache_stream(requests: DataFrame, ttl: float) -> DataFrame:
     return requests.groupBy("key").transformWithStateInPandas(TtlCache(ttl), outputStructType="key long, id long, hit boolean", outputMode="Append", timeMode="None")
 
 
+_CURRENT: list = []
+
+
+def current_cache(capacity: int, ttl: float) -> LruCache:
+    """SS5: the process's cache; other settings than before give a new, empty one."""
+    if not _CURRENT or _CURRENT[0] != (capacity, ttl):
+        _CURRENT[:] = [(capacity, ttl), LruCache(capacity, ttl)]
+    return _CURRENT[1]
+
+
 class LruCache:
     """SS2, W7: the bounded cache itself, for one fetcher process: capacity evicts what was used longest ago, also when a key is written again."""
 

@@ -5,6 +5,7 @@ import json
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,8 @@ from tessella.functions.text import chunk_text
 from tessella.functions.urls import resolve
 from tessella.operators import contracts as CT
 from tessella.operators import discover as FD
-from tessella.operators.brand import css_variables, organisation
+from tessella.operators.brand import css_variables, png_pixels
+from tessella.operators.brand import organisation as brand_organisation
 from tessella.operators.extract import ExtractOptions, LlmError, ask, extract_one, parsed, repaired
 from tessella.operators.ground import Source, ground, grounded
 from tessella.sources.web import lenient_pdf_text, read_docx, read_pdf
@@ -92,7 +94,7 @@ def test_schema_translation():
         CT.contract("x")
 
 
-@pytest.mark.parametrize(("text", "want"), [('{"a": [1, 2', {"a": [1, 2]}), ('{"a": "x', {"a": "x"}), ('{"a": 1, "b":', {"a": 1, "b": None} and None), ('{"a": 1, ', {"a": 1}), ('[{"a": 1},', [{"a": 1}]), ("nope", None)])
+@pytest.mark.parametrize(("text", "want"), [('{"a": [1, 2', {"a": [1, 2]}), ('{"a": "x', {"a": "x"}), ('{"a": 1, "b":', {"a": 1}), ('{"a": 1, "b', {"a": 1}), ('{"a": {"b": [true, {"c": "x\\\\', {"a": {"b": [True, {"c": "x\\"}]}}), ('{"a": tru', None), ("", None), ('{"a": 1, ', {"a": 1}), ('[{"a": 1},', [{"a": 1}]), ("nope", None)])
 def test_json_repair(text, want):
     assert repaired(text) == want
 
@@ -137,12 +139,56 @@ def test_css_variables():
     assert css_variables("--a: var(--b); --b: var(--a)")
 
 
-def test_organisation():
+def test_organisation(spark):
+    def organisation(texts):
+        r = spark.createDataFrame([(texts,)], "t array<string>").select(brand_organisation(F.col("t")).alias("o")).first().o
+        return r.asDict() if r else None
+
     ld = json.dumps([{"@type": "WebSite", "name": "S"}, {"@graph": [{"@type": ["Thing", "NewsOrganization"], "legalName": " L ", "image": [{"contentUrl": "i"}], "sameAs": "https://www.x.com/a"}]}])
     assert organisation([ld]) == {"name": "L", "description": None, "logo": "i", "socialLinks": ["https://www.x.com/a"]}
     assert organisation(['{"@type":"WebSite","name":"S"}'])["name"] == "S" and organisation(['{"@type":"Person"}']) is None and organisation([]) is None
 
 
+def png(width, height, colour, rows, palette=None):
+    import struct
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_png_pixels():
+    rng = np.random.default_rng(1)
+    for colour, n in ((2, 3), (6, 4), (0, 1), (4, 2)):
+        px = rng.integers(0, 256, (7, 5, n))
+        lines, above = b"", np.zeros((5, n), int)
+        for y, row in enumerate(px):  # each row by another filter
+            left = np.concatenate((np.zeros((1, n), int), row[:-1]))
+            corner = np.concatenate((np.zeros((1, n), int), above[:-1]))
+            guess = left + above - corner
+            paeth = np.where((abs(guess - left) <= abs(guess - above)) & (abs(guess - left) <= abs(guess - corner)), left, np.where(abs(guess - above) <= abs(guess - corner), above, corner))
+            by = (0 * row, left, above, (left + above) // 2, paeth)[y % 5]
+            lines += bytes([y % 5]) + ((row - by) % 256).astype(np.uint8).tobytes()
+            above = row
+        got = png_pixels(png(5, 7, colour, lines))
+        flat = px.reshape(-1, n)
+        assert (got[:, :3] == (flat[:, :3] if n > 2 else flat[:, :1])).all() and (got[:, 3] == (flat[:, -1] if n in (2, 4) else 255)).all()
+    assert png_pixels(png(2, 1, 3, b"\x00\x01\x00", b"\x01\x02\x03\x09\x08\x07")).tolist() == [[9, 8, 7, 255], [1, 2, 3, 255]]
+    assert png_pixels(b"GIF89a") is None and png_pixels(None) is None and png_pixels(png(9, 9, 2, b"\0")) is None
+
+
+def test_logo_colours(spark):
+    from tessella.operators.brand import logo_colours
+
+    red = png(2, 2, 2, (b"\0" + b"\xf0\x10\x10" * 2) * 2)
+    grey = png(1, 1, 2, b"\0\x80\x80\x80")
+    ranked = [(1, 1, "g.png"), (1, 2, "data:image/svg+xml;utf8,%3Csvg%3E%3Cpath%20fill%3D%22%231155cc%22%2F%3E%3C%2Fsvg%3E"), (1, 3, "r.png"), (2, 1, "r.png"), (3, 4, "r.png"), (4, 1, "gone.png"), (5, 1, "d.svg")]
+    files = spark.createDataFrame([("g.png", grey), ("r.png", red), ("d.svg", b"<svg><rect fill='#00aa00'/></svg>")], "url string, content binary")
+    got = {tuple(r) for r in logo_colours(spark.createDataFrame(ranked, "page_id long, rank int, url string"), files).collect()}
+    assert got == {(1, "#1155cc"), (2, "#f01010"), (5, "#00aa00")}
+
+
 def test_proposals_are_merged():
     base = {"fields": [{"name": "Unit price", "sample": "1", "source": "meta"}], "recordType": "single", "itemCount": None}
     got = FD.merge_proposed(base, {"fields": [{"name": "unit_price"}, {"name": "Colour", "sample": "Réd"}, {"name": "size", "sample": "9"}, {"name": "@x"}], "recordType": "listing", "itemCount": 3.7}, "it is RED")

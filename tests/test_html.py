@@ -108,7 +108,7 @@ def test_logos():
 
 def test_svg_is_cleaned():
     s = safe_svg('<svg onload="x()"><script>bad()</script><use href="http://e/x"/><a xlink:href="#in" href="javascript:1"><path/></a></svg>')
-    assert s == '<svg><a xlink:href="#in"><path/></a></svg>'
+    assert s == '<svg><a xlink:href="#in"><path></path></a></svg>'
     assert safe_svg("<div/>") is None and safe_svg("<svg>" + "x" * 25_000 + "</svg>") is None
 
 

@@ -33,10 +33,10 @@ def test_every_document_meets_every_item(spark, grounds, monkeypatch, block):
     pairs = [(i, j, t, v) for i, t in docs for j, v in items]
     want = [(i, j) for i, j, t, v in pairs if t is not None and v is not None and plain(v) in plain(t)]
     assert {(0, 59), (1, 41), (3, 40)} <= set(want)
-    assert rows(registry.QUERIES["g2_contains_all"](spark, d)) == sorted(want, key=repr)
+    assert rows(registry.QUERIES["g2_contains"](spark, d)) == sorted(want, key=repr)
     want = [(i, j) for i, j, t, v in pairs if v is None or G.grounded(v, G.Source.of(t or ""))]
-    assert (7, 62) in want and rows(registry.QUERIES["g2_grounded_all"](spark, d)) == sorted(want, key=repr)
-    got = registry.QUERIES["g3_ground_records_all"](spark, d).collect()
+    assert (7, 62) in want and rows(registry.QUERIES["g2_grounded"](spark, d)) == sorted(want, key=repr)
+    got = registry.QUERIES["g3_ground_records"](spark, d).collect()
     assert len(got) == len(pairs)
     text, value = dict(docs), dict(items)
     for r in got:
@@ -45,7 +45,7 @@ def test_every_document_meets_every_item(spark, grounds, monkeypatch, block):
         assert (json.loads(r.data), r.nulled) == (data, ",".join(nulled))
     old = spark.createDataFrame(pairs, "doc_id long, item_id long, text string, value string")
     want = old.select("doc_id", "item_id", F.round(G.token_share(F.col("value"), F.col("text")), 6))
-    assert rows(registry.QUERIES["j8_token_share_all"](spark, d)) == rows(want)
+    assert rows(registry.QUERIES["j8_token_share"](spark, d)) == rows(want)
 
 
 def test_workflow_verdict_of_all_events(spark, tmp_path):
@@ -54,7 +54,7 @@ def test_workflow_verdict_of_all_events(spark, tmp_path):
     groups = {"ready-1": (70, 90), "blocked-2": (20, 40), "failed-3": (4, 24), "mixed-4": (70, 4, 1), "review-5": (1, 2, 20), "again-6": (4, 4)}
     rows_ = [(k, int(g[-1]), g[:-2]) for g, ks in groups.items() for k in ks]
     spark.createDataFrame(rows_, "event_id long, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
-    got = {r.contract: (r.n, r.workflow, r.action) for r in registry.QUERIES["dg7_workflow_verdict_all"](spark, d).collect()}
+    got = {r.contract: (r.n, r.workflow, r.action) for r in registry.QUERIES["dg7_workflow_verdict"](spark, d).collect()}
     assert got == {
         "ready-1": (2, "ready", "run-contract-extraction"), "blocked-2": (2, "blocked", "fix-access-first"), "failed-3": (2, "failed", "do-not-automate"),
         "mixed-4": (3, "mixed", "extract-ready-subset"), "review-5": (3, "needs-review", "manual-review"), "again-6": (2, "failed", "do-not-automate"),
@@ -63,7 +63,7 @@ def test_workflow_verdict_of_all_events(spark, tmp_path):
 
 def test_workflow_verdict_counts_every_event(spark):
     d = "/root/testdata/sf0.001"
-    got = registry.QUERIES["dg7_workflow_verdict_all"](spark, d).agg(F.sum("n")).first()[0]
+    got = registry.QUERIES["dg7_workflow_verdict"](spark, d).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{d}/events.parquet").count()
 
 
@@ -78,12 +78,12 @@ def test_normalise_all_documents(spark, tmp_path):
     langs = ["en", "de", "fr", "es", None, "xx"]
     docs = [(i, t, langs[i % 6]) for i, t in enumerate(cases)] + [(99, None, "en")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
-    got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise_all"](spark, d).collect()}
+    got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise"](spark, d).collect()}
     assert got == {**dict(enumerate(cases.values())), 99: None}
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").collect()
-    got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise_all"](spark, d).collect()}
+    got = {r.doc_id: r.plain for r in registry.QUERIES["st4_normalise"](spark, d).collect()}
     brute = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")).lower().split())
     assert got == {r.doc_id: brute(r.text) for r in docs} and len({r.lang for r in docs}) > 2
 
