@@ -12,14 +12,14 @@ from tessella.functions.urls import resolve
 from tessella.schema import CrawlOptions
 
 
-@F.udtf(returnType="index int, text string, section string, char_count int, hash string")
+@F.udtf(returnType="index int, text string, section string, char_count int, hash string", useArrow=True)
 class Chunks:
     def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple]:
         for c in chunk_text(text, size, overlap):
             yield c["index"], c["text"], c["section"], c["charCount"], c["hash"]
 
 
-@F.udtf(returnType="pos int, href string, text string, is_external boolean, rel string")
+@F.udtf(returnType="pos int, href string, text string, is_external boolean, rel string", useArrow=True)
 class Links:
     def eval(self, html: str, url: str) -> Iterator[tuple]:
         from tessella.operators.parse import parse_page

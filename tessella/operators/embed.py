@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.storage import stored
 from tessella.functions.text import chunk_text
 
 BATCH = 16
@@ -21,10 +22,23 @@ class Embedder(Protocol):
 
 
 def requests(texts: DataFrame, key: str, order: str, text: str, size: int = BATCH) -> DataFrame:
-    """EM1, W6: key, batch, input: the texts of each key in order, ``size`` a batch."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = texts.select(key, F.col(order).alias("o"), F.col(text).alias("t"), F.floor(at / max(1, size)).alias("batch"))
-    return rows.groupBy(key, "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x.t).alias("input"))
+    """EM1, W6: key, batch, input: the texts of each key in order, ``size`` a batch.
+
+    Rows are range-sorted by key and order, then stored with their place, so a key with most rows is
+    spread over partitions; a window sees one row for each key and partition.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("t"))
+    rows = rows.repartitionByRange(n, "k", "o").sortWithinPartitions("k", "o")
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stored(rows.select("*", F.spark_partition_id().alias("pid"), low.alias("at")), "texts")
+    runs = rows.groupBy("k", "pid").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("k").orderBy("pid")) - F.col("n") - F.col("first")
+    runs = runs.select(F.col("k").alias("rk"), F.col("pid").alias("rp"), before.alias("shift"))
+    placed = rows.join(runs, F.col("k").eqNullSafe(F.col("rk")) & (F.col("pid") == F.col("rp")))
+    batch = F.floor((F.col("at") + F.col("shift")) / max(1, size))
+    got = placed.groupBy("k", batch.alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "at", "t"))), lambda x: x.t).alias("input"))
+    return got.select(F.col("k").alias(key), "batch", "input")
 
 
 def response_vectors(response: Column) -> Column:

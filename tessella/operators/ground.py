@@ -6,6 +6,7 @@ import functools
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,9 +104,9 @@ def ground_json(data, text):  # noqa: ANN001, ANN201
     """struct(data, nulledFields) of records as JSON texts and their source texts."""
     import pandas as pd
 
-    out = []
+    out, of = [], lru_cache(maxsize=64)(Source.of)
     for d, t in zip(data, text, strict=True):
-        value, paths = ground(json.loads(d), Source.of(t or "")) if d else (None, [])
+        value, paths = ground(json.loads(d), of(t or "")) if d else (None, [])
         out.append({"data": json.dumps(value, ensure_ascii=False), "nulledFields": paths})
     return pd.DataFrame(out, columns=["data", "nulledFields"])
 
@@ -115,7 +116,8 @@ def grounded_text(value, text):  # noqa: ANN001, ANN201
     """G2 for text columns."""
     import pandas as pd
 
-    return pd.Series([v is None or grounded(v, Source.of(t or "")) for v, t in zip(value, text, strict=True)], dtype=bool)
+    of = lru_cache(maxsize=64)(Source.of)  # many values share a page's text
+    return pd.Series([v is None or grounded(v, of(t or "")) for v, t in zip(value, text, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(T.StringType())

@@ -16,7 +16,7 @@ from tessella.operators import contracts as CT
 from tessella.operators import embed as EM
 from tessella.operators import ground as G
 from tessella.operators.records import ADVICE, error_message
-from tessella.plans.generated import MESSAGES, STATUSES, outcomes, table
+from tessella.plans.generated import MESSAGES, STATUSES, outcomes, say, table
 from tessella.schema import CrawlOptions
 from tessella.sources import sinks, web
 
@@ -279,10 +279,15 @@ def _(spark, d):
     return rgb(spark, d).select("p_partkey", K.hex_rgba(h).alias("c")).select("p_partkey", "c.r", "c.g", "c.b", F.round("c.a", 6).alias("a"))
 
 
-@query("co2_rgb", f"SELECT p_partkey, r, g, CAST(round(LEAST(form * 25, 100) * 255 / 100.0) AS INTEGER) AS b FROM ({_RGB}) WHERE form < 5 AND false UNION ALL SELECT p_partkey, r, g, b FROM ({_RGB})")
+@query("co2_rgb", f"""SELECT p_partkey, CASE WHEN form = 3 THEN round(p * 255 / 100.0) ELSE r END::DOUBLE AS r, CASE WHEN form = 3 THEN 0 ELSE g END::DOUBLE AS g, CASE WHEN form = 3 THEN 255 ELSE b END::DOUBLE AS b,
+  CASE form WHEN 1 THEN 0.5 WHEN 2 THEN p / 100.0::DOUBLE ELSE 1 END::DOUBLE AS a FROM (SELECT *, p_partkey % 101 AS p FROM ({_RGB}))""")
 def _(spark, d):
-    text = F.concat(F.lit("rgb( "), F.col("r").cast("string"), F.lit(" , "), F.col("g").cast("string"), F.lit(" , "), F.col("b").cast("string"), F.lit(" )"))
-    return rgb(spark, d).select("p_partkey", K.rgb_rgba(text).alias("c")).select("p_partkey", "c.r", "c.g", "c.b")
+    """Commas; commas and alpha; blanks, slash and percent alpha; percent channels; blanks."""
+    r, g, b, p = (F.col(c).cast("string") for c in ("r", "g", "b", "p"))
+    df = rgb(spark, d).withColumn("p", F.col("p_partkey") % 101)
+    forms = (say("rgb( ", r, " , ", g, " , ", b, " )"), say("rgba(", r, ",", g, ",", b, ",0.5)"), say("RGB(", r, " ", g, " ", b, " / ", p, "%)"), say("rgb(", p, "%, 0%, 100%)"), say("rgb(", r, " ", g, " ", b, ")"))
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return df.select("p_partkey", K.rgb_rgba(text).alias("c")).select("p_partkey", *(F.col(f"c.{x}").cast("double").alias(x) for x in "rgba"))
 
 
 @query("co3_hsl", """

@@ -259,7 +259,8 @@ def _(spark, d):
     return g.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("page_id", "rank", "hex")
 
 
-@query("br1_css_hits")
+@query("br1_css_hits", """WITH h AS (SELECT p_partkey AS page_id, '#' || lower(printf('%06x', p_partkey * 7919 % 16777216)) AS own, '#' || printf('%02x', p_partkey % 256) || '0a14' AS a FROM part)
+SELECT page_id, own AS value, 'style:var--brand' AS source, 0.4::DOUBLE AS weight FROM h UNION ALL SELECT page_id, own, 'style', 0.12::DOUBLE FROM h UNION ALL SELECT page_id, a, 'style', 0.12::DOUBLE FROM h UNION ALL SELECT page_id, '#ffffff', 'style', 0.12::DOUBLE FROM h""")
 def _(spark, d):
     k = F.col("p_partkey")
     css = F.concat(F.lit(":root{--brand: var(--x); --x: #"), F.lpad(F.hex(k * 7919 % 16777216), 6, "0"), F.lit("; --gap: 4px} a{color: rgb("), (k % 256).cast("string"), F.lit(",10,20)} b{color:#fff}"))
