@@ -19,7 +19,7 @@
    the sets of those that stay, and compares what it can't prune.
 4. Connected components over the links found. In a second round, whole stars (with the stars of their
    members from single tasks) that still lie in several components and hold pairs that no block has
-   seen are joined by blocks again. A block holds members of one component, or of small components
+   seen are joined by blocks again, those with centres in one component together. A block holds members of one component, or of small components
    only, and is packed into one row with its size range; two blocks are paired where they hold
    different components and sizes allow a link, so that a large group of copies that the first
    round has connected isn't compared with itself. The same tree joins each pair of blocks.
@@ -716,10 +716,12 @@ class NearDuplicates:
         open_ = written(open_, "open")
         if open_.isEmpty():
             return labels
-        star = written(spread(self.stars, ["centre"], open_.withColumn("blocks", F.lit(1))).filter("blocks IS NOT NULL").select("centre", "node", "top"), "star")
-        below = star.filter("top = 1").select("centre", F.col("node").alias("mid")).join(self.local, "mid").select("centre", "node")
-        group = star.select("centre", "node").union(below).union(open_.select("centre", F.col("centre").alias("node"))).distinct()
-        group = written(group.join(comp, "node").select("centre", "node", "n", "comp"), "groups")
+        # Stars with their centres in one component overlap: they are taken as one group.
+        open_ = written(open_.join(comp.select(F.col("node").alias("centre"), F.col("comp").alias("all")), "centre"), "open")
+        star = written(spread(self.stars, ["centre"], open_).filter("all IS NOT NULL").select("all", "node", "top").distinct(), "star")
+        below = star.filter("top = 1").select("all", F.col("node").alias("mid")).join(self.local, "mid").select("all", "node")
+        group = star.select("all", "node").union(below).union(open_.select("all", F.col("centre").alias("node"))).distinct()
+        group = written(group.join(comp, "node").select(F.col("all").alias("centre"), "node", "n", "comp"), "groups")
         more = written(self.block_links(self.pair_survivors(self.pairs(group))), "found")
         if more.isEmpty():
             return labels
@@ -781,9 +783,11 @@ class NearDuplicates:
         known = self.full.join(self.labels(), "node").select(F.col("first").alias("node"), "node2", "comp")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy"))
         some = self.rows.filter("n > 0").groupBy("node", "node2").agg(best.alias("best"))
-        some = some.join(known, ["node", "node2"], "left")
-        least = some.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("best").alias("least"))
-        own = some.join(least, "comp", "left").select("node", "node2", F.coalesce("least", "best").alias("b"))
+        some = written(some.join(known, ["node", "node2"], "left"), "best")
+        linked = some.filter("comp IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("node2"), F.lit(SALTS)).cast("int"))
+        least = linked.groupBy("comp", "salt").agg(F.min("best").alias("b")).groupBy("comp").agg(F.min("b").alias("b"), F.collect_list("salt").alias("salts"))  # SALTS rows of a component at most
+        own = linked.join(least.select("comp", "b", F.explode("salts").alias("salt")), ["comp", "salt"]).select("node", "node2", "b")
+        own = own.union(some.filter("comp IS NULL").select("node", "node2", F.col("best").alias("b")))
         full = self.rows.filter("n > 0").join(own, ["node", "node2"]).select("doc_id", "copy", "n", F.col("b.doc_id").alias("component_id"), F.col("b.copy").alias("kept"))
         return full.union(self.rows.filter("n = 0").select("doc_id", "copy", "n", F.col("doc_id").alias("component_id"), F.col("copy").alias("kept")))
 
