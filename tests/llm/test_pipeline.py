@@ -4,6 +4,7 @@ import numpy as np
 import zlib
 
 import corpus_pipeline as CP
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_hits
 from tokenizers import Tokenizer
 
@@ -57,6 +58,16 @@ def test_run(spark, data):
     assert r.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and r.count() > 0
 
 
+def test_language_stage_names_what_has_no_language(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("lang_pred", F.lit("own"))
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
+    got = {r.doc_id: r for r in CP.language_stage(spark, some, data).collect()}
+    said = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(r.lang_pred == "own" for r in got.values())
+    right = [r.lang == said[k] for k, r in got.items() if said[k] is not None]
+    assert sum(right) / len(right) > 0.98 and all(r.lang == said[k] for k, r in got.items() if k % 4 and said[k] is not None)
+
+
 def test_stages_of_odd_and_empty_rows(spark, odd, none, data):
     for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none):
         for name, stage in CP.STAGES:
