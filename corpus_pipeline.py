@@ -21,13 +21,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents without a letter (null and empty texts among them), and those of no clear language.
 
     The model learns from the labelled rows of its input. Where no row has a language, only documents
-    without a letter go.
+    without a letter go. A document that stays without a language gets the one predicted. Texts are read
+    whole; of equal scores the first language by name counts; repeated rows are judged each; an empty
+    table stays empty; other columns pass, whatever their names.
     """
     model = language.train(docs)
-    if not model.languages:
+    known = bool(model.languages)
+    if not known:
         model = language.train(docs.withColumn("lang", F.lit("any")))
-    said = language.identify(docs, model)
-    return said.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    away = {c: f"__{c}" for c in ("lang_pred", "lang_score") if c in docs.columns}  # the operator's own names
+    said = language.identify(docs.withColumnsRenamed(away), model)
+    said = said.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    if known:
+        said = said.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return said.select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +49,33 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word in a benchmark window go."""
+    """Documents with a word in a benchmark window go.
+
+    Null and empty texts have no words and stay, and so do texts without a whole window, however long.
+    Repeated rows go or stay alike. An empty benchmark takes nothing, an empty table stays empty. Other
+    columns pass, but for those named as the operator's own.
+    """
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass of a document, in order of training position."""
+    """A row for each pass of a document, in order of training position.
+
+    A pass of which the mix wants at least half stays, with its whole text; documents without words
+    (null and empty texts) have none. Sources that are null are one source. Repeated rows have passes
+    each. Rows of one position are in order of id. An empty table stays empty; other columns pass.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all rows in order of id, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of all rows in order of id, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null ids come first; rows of one id are in the order of the table. A null or empty text is the end id
+    alone; long texts are whole; repeated rows give a row each; an empty table gives none. Other columns
+    aren't read.
+    """
     return token_file.token_digest(docs)
 
 
