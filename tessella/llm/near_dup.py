@@ -9,7 +9,8 @@
    the size class of the larger set, so a set emits keys for its own class, and for the next one if a
    partner may lie there. Keys hold several shingles each: a line or passage that many documents share
    doesn't bring them together. Keys travel as sorted, delta-coded blobs, one for each task and bucket;
-   where more than LOCAL nodes share a key within a task, they are starred there and one goes on.
+   where more than LOCAL nodes share a key within a task, they are starred there, overlapping stars as
+   one, and its smallest node goes on for all.
 3. Nodes that share a key form a star around the smallest node. In a first round each node goes to the
    star it shares most keys with. Stars become blocks of bounded size, each with the centre, and a
    signature tree joins each block with itself: tree nodes hold OR-combined token bitmaps and size
@@ -393,6 +394,19 @@ def _star_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return pairs[0], pairs[1], n
 
 
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that pairs lead to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, a, new[b])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _features(split, width: int, m: Measure, buckets: int):
     """Batches (doc_id, copy, text bytes) -> a row for each document, local stars (node, other), and blobs of keys."""
 
@@ -407,7 +421,12 @@ def _features(split, width: int, m: Measure, buckets: int):
         many = np.repeat(np.diff(np.append(at, len(k))) > LOCAL, np.diff(np.append(at, len(k))))
         if many.any():
             a, b, n = _star_pairs(k[many], v[many])
-            yield _rows(len(a), bucket=(fps[a, 0] % np.uint64(buckets)).astype(np.int32), **_two("node", fps[a]), **_two("other", fps[b]), shared=n)
+            root = _least_reached(len(fps), a, b)
+            total = np.bincount(b, n, len(fps)).astype(np.int64)
+            b = np.flatnonzero(np.bincount(b, minlength=len(fps)) + np.bincount(a, minlength=len(fps)))
+            b = b[root[b] != b]
+            yield _rows(len(b), bucket=(fps[root[b], 0] % np.uint64(buckets)).astype(np.int32), **_two("node", fps[root[b]]), **_two("other", fps[b]), shared=np.maximum(1, total[b]))
+            v = np.where(many, root[v], v)
             k, v = k[~many | first], v[~many | first]
         edges = np.fromiter(((i << KEY_BITS) // buckets for i in range(1, buckets)), np.uint64, buckets - 1)
         cut = np.concatenate(([0], np.searchsorted(k, edges), [len(k)]))

@@ -325,6 +325,18 @@ def test_packed_rows_round_trip():
     assert sorted(ND.connected([(0, 1), (2, 1), (4, 5)], [9, 8, 7, 6, 5, 5])) == [(2, 0), (2, 1)]
 
 
+def test_least_reached():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 30))))
+        up = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                up[x] = up[y] = min(up[x], up[y])
+        assert ND._least_reached(n, a, b).tolist() == up
+
+
 def test_nodes_of_equal_first_half_stay_apart(spark, monkeypatch):
     """Fingerprints cut to few bits in their first half: their sets aren't taken for one."""
     texts = planted(11, n=25, words=30)
