@@ -54,6 +54,8 @@ LOCAL = 8
 KEY_BITS = 48
 #: Rows that a key of many members is dealt to when it meets its one row of another table.
 SALTS = 32
+#: Most rows of that table that are broadcast as they are.
+LOOKUP = 20_000
 
 
 class Measure:
@@ -525,18 +527,26 @@ def components(links: DataFrame) -> DataFrame:
 def spread(df: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
     """``df`` (a stored table with ``node``) and the other columns of the row of ``sizes`` (stored; keys, blocks, ...) with its keys, else nulls.
 
-    Only rows that may find one are shuffled, and those of one key are dealt to SALTS places.
+    Only rows that may find one meet it. A table of LOOKUP rows or fewer is broadcast; a larger one is joined
+    by a sort, rows of one key dealt to SALTS places. It is never broadcast, whatever Spark's threshold: that is
+    held against the stored file, which says nothing of the SALTS rows that a row becomes.
     """
     names, more = df.columns, [f for f in sizes.schema if f.name not in keys]
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in more]
-    if sizes.isEmpty():
+    count = sizes.count()
+    if not count:
         return df.select(*names, *none)
     field = bit_field(sizes.select(F.xxhash64(*keys).alias("h")), "h")
     marked = df.withColumn("__h", F.xxhash64(*keys))
-    near = in_field(marked, "__h", field).withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    salted = sizes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = in_field(marked, "__h", field)
     far = in_field(marked, "__h", field, inside=False).select(*names, *none)
-    return near.join(salted, [*keys, "__salt"], "left").select(*names, *(f.name for f in more)).union(far)
+    if count <= LOOKUP:
+        met = near.join(F.broadcast(sizes), keys, "left")
+    else:
+        salted = sizes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = near.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        met = near.join(salted.hint("merge"), [*keys, "__salt"], "left")
+    return met.select(*names, *(f.name for f in more)).union(far)
 
 
 PACKED = "block string, centre long, comp long, low long, high long, payload binary"

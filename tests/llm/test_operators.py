@@ -21,6 +21,7 @@ from tessella.llm import quality as QU
 from tessella.llm import sharding as SH
 from tessella.llm import token_file as TF
 from tessella.llm import topk as TK
+from tessella.llm.common import written
 
 
 def docs_of(spark, data):
@@ -367,6 +368,18 @@ def test_one_group_with_stragglers(spark, monkeypatch):
     assert 1 < len(set(want)) < len(want) and r.component_id.tolist() == want
 
 
+@pytest.mark.parametrize("keys", [40, 3000])
+def test_spread_broadcasts_no_salted_table(spark, monkeypatch, keys):
+    """Few rows are broadcast as they are, more aren't at all: the driver never holds a row SALTS times."""
+    monkeypatch.setattr(ND, "LOOKUP", 1000, raising=False)
+    sizes = written(spark.range(keys).select(F.xxhash64("id").alias("centre"), (F.col("id") * 7).alias("all")), "sizes")
+    rows = written(spark.range(20_000).select(F.xxhash64(F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id"))).alias("centre"), F.col("id").alias("node")), "rows")
+    got = ND.spread(rows, ["centre"], sizes)
+    assert {r.node: r.all for r in got.collect()} == {i: 35 if i % 2 == 0 else 7 * i if i < keys else None for i in range(20_000)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastExchange" in plan, "Generate" in plan) == ((True, False) if keys < 1000 else (False, True))
+
+
 def test_rows_are_told_apart_by_id_and_text(spark):
     a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six"
     rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "z"), (7, b, "y"), (None, a, "n"), (None, "of its own and nobody else", "n"), (8, None, "e"), (8, "", "e"), (9, "twice the very same row here", "r"), (9, "twice the very same row here", "q")]
