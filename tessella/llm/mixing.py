@@ -5,8 +5,10 @@ negative and linear: its share moves from (1 + tilt) to (1 - tilt) of its mean,
 The integral of the schedule up to t, times the mix's words, is the source's cumulative token demand
 D_s(t), and D_s(1) is its target. The source's documents, in an order by hash, are laid out one after
 another, pass after pass. A document's middle token m gets the position where the demand reaches it:
-the t with D_s(t) = m. The mix is range-sorted by position. A document that the last pass reaches only
-in part gives the words up to the demand.
+the t with D_s(t) = m. The mix is range-sorted by position. A pass of a document holds the part of the
+mix between the positions of its first and last token, and gives the words that the schedule asks for
+there, its integral over that part: a document that the last pass reaches only in part gives the words up
+to the demand's end.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def position(words: Column, target: Column, tilt: Column) -> Column:
     """The t at which the demand reaches ``words``: the inverse of ``demand`` on [0, 1]."""
     u = words / target
     root = F.sqrt(F.greatest(F.lit(0.0), (1 + tilt) * (1 + tilt) - 4 * tilt * u))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * u / (1 + tilt + root)))
+    return F.when(u > 0, F.least(F.lit(1.0), 2 * u / (1 + tilt + root))).otherwise(F.lit(0.0))
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +117,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     # A row for each source and partition; small beside the documents, and joined by both.
     offsets = shift.join(table, shift.source.eqNullSafe(table.source)).select(shift.source.alias("s"), F.col("pid").alias("p"), "shift", "source_size", "target", "tilt")
     all_ = laid.join(offsets, laid.source.eqNullSafe(F.col("s")) & (laid.pid == F.col("p")))
-    start, want = F.col("before") + F.col("shift"), F.round("target").cast("long")
+    start, curve = F.col("before") + F.col("shift"), (F.col("target"), F.col("tilt"))
 
-    def one(k: Column) -> Column:
+    # A place is bound once by each transform, as expressions in them are evaluated as often as they are written.
+    def part(k: Column) -> Column:
         at = k * F.col("source_size") + start
-        words = F.greatest(F.lit(0), F.least(F.col("size"), want - at))
-        return F.struct(words.cast("long").alias("words"), position(at + words / 2, F.col("target"), F.col("tilt")).alias("position"))
+        return F.struct(at.alias("at"), position(at, *curve).alias("low"), position(at + F.col("size"), *curve).alias("high"))
 
-    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)) - 1)), one), lambda p: p.words > 0)
+    def asked(p: Column) -> Column:
+        return F.struct(p["at"].alias("at"), (F.round(demand(p["high"], *curve)) - F.round(demand(p["low"], *curve))).cast("long").alias("words"))
+
+    def one(p: Column) -> Column:
+        return F.struct(p.words.alias("words"), position(p["at"] + p.words / 2, *curve).alias("position"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.lit(int(np.ceil(most)) - 1)), part)
+    passes = F.transform(F.filter(F.transform(parts, asked), lambda p: p.words > 0), one)
     passes = F.when(F.col("size") > 0, passes).otherwise(F.array().cast("array<struct<words:bigint,position:double>>"))
     out = all_.select("doc_id", "source", "size", "source_size", "target", "mixed", "mixed2", passes.alias("passes"))
     return out.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p.words))
@@ -153,4 +162,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    """The plan's rows, with the places of a document's first and last pass in the mix (null: it has none)."""
+    plan = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    places = F.transform("passes", lambda p: p.position)
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_min(places).alias("first_position"), F.array_max(places).alias("last_position"))

@@ -655,6 +655,25 @@ def test_curriculum_moves(spark, data):
     assert np.mean(early[1::2]) > 0.55 > 0.45 > np.mean(early[::2])
 
 
+def test_schedule_decides_what_op7_returns(spark, data, monkeypatch):
+    p = MX.op7_mixing(spark, data).toPandas()
+    assert (p.first_position.isna() == (p.taken == 0)).all() and (p.first_position.dropna() <= p.last_position.dropna()).all()
+    assert p.first_position.dropna().between(0, 1).all() and p.last_position.dropna().between(0, 1).all()
+    whole = MX.demand  # a schedule that ends in the middle: 0.5 - 0.25 * 0.5 of a late source's target, 0.5 + 0.25 * 0.5 of an early one's
+    monkeypatch.setattr(MX, "demand", lambda t, target, tilt: whole(F.least(t, F.lit(0.5)), target, tilt))
+    half = MX.op7_mixing(spark, data).toPandas()
+    said = half.doc_id.map({r.doc_id: r.source for r in docs_of(spark, data).collect()})
+    for i, name in enumerate(sorted(said.dropna().unique())):
+        g = half[said == name]
+        assert abs(g.taken.sum() - (0.625 if i % 2 else 0.375) * g.target.iloc[0]) < 1
+
+
+def test_steepest_schedules_take_the_same_words(spark, data):
+    docs = docs_of(spark, data)
+    flat, steep = ({r.doc_id: (r.taken, [p.position for p in r.passes]) for r in MX.plan_mix(docs, tilt=t).collect()} for t in (0.0, 1.0))
+    assert {k: n for k, (n, _) in flat.items()} == {k: n for k, (n, _) in steep.items()} and flat != steep
+
+
 def test_demand_is_inverted(spark):
     df = spark.range(101).select((F.col("id") / 100).alias("t"), F.lit(1000.0).alias("g"))
     for tilt in (-0.5, 0.0, 0.5):
