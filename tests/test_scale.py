@@ -45,3 +45,19 @@ def test_plain_addresses_resolve_as_all_do():
 @pytest.mark.parametrize("pages", ["product_pages", "customer_pages", "order_pages"])
 def test_all_cores_share_the_pages_of_one_file(spark, pages):
     assert getattr(generated, pages)(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@here
+def test_crawls_parse_each_page_once(spark, monkeypatch):
+    from tessella.operators import graph
+    from tessella.plans import registry
+
+    asked = []
+    monkeypatch.setattr(graph, "crawl", lambda start, links, pages, *rest: asked.append((links, pages)) or pages)
+    for name in ("cr1_crawl", "pr2_depth_limit", "pr3_page_budget"):
+        registry.QUERIES[name](spark, DATA)
+    assert [(plan(a).count("MapInArrow"), plan(b).count("MapInArrow")) for a, b in asked] == [(1, 0)] * 3
