@@ -61,3 +61,11 @@ def test_crawls_parse_each_page_once(spark, monkeypatch):
     for name in ("cr1_crawl", "pr2_depth_limit", "pr3_page_budget"):
         registry.QUERIES[name](spark, DATA)
     assert [(plan(a).count("MapInArrow"), plan(b).count("MapInArrow")) for a, b in asked] == [(1, 0)] * 3
+
+
+@here
+def test_social_links_parse_the_pages_asked_for(spark):
+    from tessella.plans import registry
+
+    text = plan(registry.QUERIES["ex17_social_links"](spark, DATA))
+    assert not [x for x in text[: text.index("MapInArrow")].splitlines() if "Filter" in x and "page_id" in x]
