@@ -69,3 +69,18 @@ def test_social_links_parse_the_pages_asked_for(spark):
 
     text = plan(registry.QUERIES["ex17_social_links"](spark, DATA))
     assert not [x for x in text[: text.index("MapInArrow")].splitlines() if "Filter" in x and "page_id" in x]
+
+
+def test_hits_come_in_batches(spark, monkeypatch):
+    import pyarrow as pa
+    from tessella.operators import brand
+
+    css = ["a{color:#123456}", None, "b{color:red}", "c{color:#fff;background:#000}", ""]
+    pages = spark.createDataFrame(list(enumerate(css)), "page_id long, css string")
+    kept, frame = [], type(pages)
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a: kept.append(f) or real(self, f, *a))
+    got = sorted((r.page_id, r.value) for r in brand.mine_css(pages).collect())
+    assert got == [(0, "#123456"), (3, "#000000"), (3, "#ffffff")]
+    batch = pa.RecordBatch.from_pydict({"page_id": range(5), "css": css})
+    assert [b.num_rows for b in kept[0](iter([batch, batch]))] == [3, 3]
