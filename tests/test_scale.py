@@ -84,3 +84,11 @@ def test_hits_come_in_batches(spark, monkeypatch):
     assert got == [(0, "#123456"), (3, "#000000"), (3, "#ffffff")]
     batch = pa.RecordBatch.from_pydict({"page_id": range(5), "css": css})
     assert [b.num_rows for b in kept[0](iter([batch, batch]))] == [3, 3]
+
+
+@here
+@pytest.mark.parametrize("name", ["ag9_svg_colour", "src10_docx"])
+def test_all_cores_share_work_that_is_long_for_each_row(spark, name):
+    from tessella.plans import registry
+
+    assert "RepartitionByExpression" in plan(registry.QUERIES[name](spark, DATA))
