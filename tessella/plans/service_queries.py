@@ -17,7 +17,7 @@ from tessella.operators import contracts as CT
 from tessella.operators import discover as FD
 from tessella.operators import extract as X
 from tessella.operators.records import records
-from tessella.plans.generated import say, table
+from tessella.plans.generated import say, spread, table
 from tessella.schema import CrawlOptions
 from tessella.sources import sinks, web
 from tessella.streaming import pages as S
@@ -111,7 +111,7 @@ def docx(title: str, line: str) -> bytes:
 @query("src10_docx", "SELECT c_custkey, c_name || chr(10) || chr(10) || c_mktsegment AS text, '## ' || c_name || chr(10) || chr(10) || '**' || c_mktsegment || '**' AS markdown FROM customer")
 def _(spark, d):
     read = lambda a, b: json.dumps(web.read_docx(docx(a, b)))
-    got = mapped(table(spark, d, "customer"), read, "c_custkey", "c_name", "c_mktsegment")
+    got = mapped(spread(table(spark, d, "customer"), "c_custkey"), read, "c_custkey", "c_name", "c_mktsegment")
     return got.select("c_custkey", F.get_json_object("value", "$.text").alias("text"), F.get_json_object("value", "$.markdown").alias("markdown"))
 
 
