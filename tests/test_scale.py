@@ -92,3 +92,10 @@ def test_all_cores_share_work_that_is_long_for_each_row(spark, name):
     from tessella.plans import registry
 
     assert "RepartitionByExpression" in plan(registry.QUERIES[name](spark, DATA))
+
+
+def test_links_of_a_page_make_no_frame_of_their_own():
+    from pyspark.util import PythonEvalType
+    from tessella.functions.sql import Links
+
+    assert Links.evalType == PythonEvalType.SQL_TABLE_UDF  # as an Arrow function each row makes and converts a data frame
