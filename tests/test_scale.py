@@ -99,3 +99,10 @@ def test_links_of_a_page_make_no_frame_of_their_own():
     from tessella.functions.sql import Links
 
     assert Links.evalType == PythonEvalType.SQL_TABLE_UDF  # as an Arrow function each row makes and converts a data frame
+
+
+def test_pages_of_one_address_are_rows_of_their_own(spark, tmp_path):
+    from tessella.plans import registry
+
+    spark.createDataFrame([(i, "https://a.example/", "<p>x") for i in range(3)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in registry.QUERIES["ex32_defaults"](spark, str(tmp_path)).collect()) == [0, 1, 2]
