@@ -155,7 +155,7 @@ _SIZE = "CASE WHEN n <= 30000 THEN n ELSE 30000 END"
   CAST(CASE WHEN c = 0 OR c = 1 THEN {_SIZE} WHEN c = 2 THEN CASE WHEN n <= 9000 THEN n WHEN least(n, 30000) // 2 <= 9000 THEN greatest(4000, least(n, 30000) // 2) ELSE greatest(4000, least(n, 30000) // 2 // 2) END END AS BIGINT) AS size
   FROM (SELECT doc_id, doc_id % 6 AS c, length(text) AS n FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')""")
 def _(spark, d):
-    docs = table(spark, d, "documents").filter(F.trim(F.lit(" \t\n\r"), F.col("text")) != "").select(say("https://d.example/", F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("markdown"))
+    docs = table(spark, d, "documents").filter(F.trim(F.col("text"), F.lit(" \t\n\r")) != "").select(say("https://d.example/", F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("markdown"))
     options = X.ExtractOptions(schema={"type": "object", "properties": {"k": {"type": "integer"}}})
     got = X.extract(docs, FakeModel(), options)
     return got.select(F.regexp_extract("url", "[0-9]+$", 0).cast("long").alias("doc_id"), "status", F.col("errorType").alias("type"), F.get_json_object("data", "$.form").alias("form"), F.get_json_object("data", "$.size").cast("long").alias("size"))

@@ -106,3 +106,29 @@ def test_pages_of_one_address_are_rows_of_their_own(spark, tmp_path):
 
     spark.createDataFrame([(i, "https://a.example/", "<p>x") for i in range(3)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(r.page_id for r in registry.QUERIES["ex32_defaults"](spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, tmp_path_factory):
+    import duckdb
+
+    d = str(tmp_path_factory.mktemp("odd"))
+    texts = ["", " ", "\n \t", None, "plain words", "tab\tline\nreturn\r and blanks " * 3, "N/A", " n/a ", "null and void", "x" * 40_000, "word " * 3_000, "Content: x", "  n/a  ", " " * 20 + "late"]
+    spark.createDataFrame([(i + 12 * k, t) for k in range(6) for i, t in enumerate(texts[:12])] + list(enumerate(texts[12:], 100)), "doc_id long, text string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    return d, con
+
+
+def as_sql(spark, odd_documents, name):
+    from tessella.plans import registry
+
+    d, con = odd_documents
+    df, want = registry.QUERIES[name](spark, d), con.sql(registry.ORACLE_SQL[name])
+    assert df.columns == want.columns
+    return sorted(map(repr, map(tuple, df.collect()))), sorted(map(repr, want.fetchall()))
+
+
+def test_calls_leave_out_blank_documents_only(spark, odd_documents):
+    got, want = as_sql(spark, odd_documents, "lm_calls")
+    assert [x for x in got if "no-page-content" not in x] and got == want
