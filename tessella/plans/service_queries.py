@@ -218,11 +218,18 @@ def _(spark, d):
 
 
 # Streams and the cache.
+def arriving(spark, d, folder):  # noqa: ANN001, ANN201
+    """The pages as files of a stream, two for each core; gives the number of cores: so many at a time keep all of them busy, and make two batches."""
+    cores = spark.sparkContext.defaultParallelism
+    table(spark, d, "pages").select("page_id", "url", "html").repartition(2 * cores).write.parquet(folder)
+    return cores
+
+
 @query("ss1_record_stream", "SELECT page_id, url, 'success' AS status FROM pages")
 def _(spark, d):
     source, sink = new_path(spark, "stream-in"), new_path(spark, "stream-out")
-    table(spark, d, "pages").select("page_id", "url", "html").repartition(4).write.parquet(source)
-    out = S.record_stream(S.page_stream(spark, source, 2)).select("page_id", "url", "status")
+    cores = arriving(spark, d, source)
+    out = S.record_stream(S.page_stream(spark, source, cores)).select("page_id", "url", "status")
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", new_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
@@ -230,8 +237,8 @@ def _(spark, d):
 @query("ss3_readiness_stream", "SELECT 'docs-page' AS contract, count(*) AS n FROM pages")
 def _(spark, d):
     source, sink = new_path(spark, "stream-in"), new_path(spark, "stream-out")
-    table(spark, d, "pages").select("page_id", "url", "html").repartition(4).write.parquet(source)
-    out = S.readiness_stream(S.page_stream(spark, source, 2))
+    cores = arriving(spark, d, source)
+    out = S.readiness_stream(S.page_stream(spark, source, cores))
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{sink}/batch={batch}")  # a batch that is run again replaces itself

@@ -140,3 +140,12 @@ def test_extraction_asks_about_documents_that_begin_with_a_title(spark, odd_docu
     spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 12 <> 2").write.parquet(f"{d}/some/documents.parquet")
     got, want = as_sql(spark, (f"{d}/some", con), "lm1_extract")
     assert len(got) > 30 and got == want
+
+
+@here
+def test_a_stream_keeps_all_cores_busy(spark, tmp_path):
+    from tessella.plans.service_queries import arriving
+
+    cores = arriving(spark, DATA, str(tmp_path / "in"))
+    assert cores == spark.sparkContext.defaultParallelism and len(list((tmp_path / "in").glob("part-*.parquet"))) == 2 * cores
+    assert spark.read.parquet(str(tmp_path / "in")).count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
