@@ -16,7 +16,7 @@ from tessella.operators import contracts as CT
 from tessella.operators import embed as EM
 from tessella.operators import ground as G
 from tessella.operators.records import ADVICE, error_message
-from tessella.plans.generated import MESSAGES, STATUSES, outcomes, say, table
+from tessella.plans.generated import MESSAGES, STATUSES, outcomes, say, spread, table
 from tessella.schema import CrawlOptions
 from tessella.sources import sinks, web
 
@@ -369,7 +369,7 @@ ITEMS = 4096
 
 def each_item(spark, d, doc, item, f):  # noqa: ANN001, ANN201
     """``f`` over all documents (doc_id, ``doc`` of the text) and all items (item_id, ``item`` of the value), by blocks of items."""
-    docs = table(spark, d, "documents").select("doc_id", doc(F.col("text")).alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", doc(F.col("text")).alias("text"))
     items = table(spark, d, "benchmark").select("item_id", item(F.col("text")).alias("value"))
     n = max(1, -(-items.count() // ITEMS))
     return functools.reduce(DataFrame.union, [f(docs, items.filter(F.pmod(F.xxhash64("item_id", "value"), F.lit(n)) == b)) for b in range(n)])

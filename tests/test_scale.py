@@ -149,3 +149,11 @@ def test_a_stream_keeps_all_cores_busy(spark, tmp_path):
     cores = arriving(spark, DATA, str(tmp_path / "in"))
     assert cores == spark.sparkContext.defaultParallelism and len(list((tmp_path / "in").glob("part-*.parquet"))) == 2 * cores
     assert spark.read.parquet(str(tmp_path / "in")).count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
+
+
+@here
+@pytest.mark.parametrize("name", ["g2_grounded", "g3_ground_records", "j8_token_share", "g2_contains"])
+def test_all_cores_share_the_documents_of_one_file(spark, name):
+    from tessella.plans import registry
+
+    assert "RepartitionByExpression" in plan(registry.QUERIES[name](spark, DATA))
